@@ -11,8 +11,10 @@ WEEKDAYS = ("Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag"
 
 
 def date_mdy(x: ColumnOrName) -> Column:
-    """``1/22/20`` to a date, NULL when it does not parse."""
-    return F.try_to_date(as_col(x), "M/d/yy")
+    """``1/22/20`` or ``1/22/2020`` to a date, NULL when it does not parse; years 69 to 99 are 19xx."""
+    short = F.try_to_date(as_col(x), "M/d/yy")
+    in_century = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(in_century, F.try_to_date(as_col(x), "M/d/yyyy"))
 
 
 def date_ymd(x: ColumnOrName) -> Column:

@@ -54,7 +54,7 @@ def query(fn: Query) -> Query:
 
 def _round(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     """Rounded copies of columns whose last bits differ between engines (logarithms, fits)."""
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in cols})
 
 
 def _en(spark: SparkSession, sf: str) -> DataFrame:
@@ -363,7 +363,7 @@ def linreg_by_group(spark, sf):
 
 
 def _trend_columns(df, key="region", date="date", y="last_7"):
-    return _round(df.select(q(key).alias("region"), q(date).alias("at"), "step", q(y).alias("y"), "intercept", "slope", "trend"), "intercept", "slope")
+    return _round(df.select(q(key).alias("region"), q(date).alias("stamp"), "step", q(y).alias("y"), "intercept", "slope", "trend"), "intercept", "slope")
 
 
 @query
@@ -796,12 +796,12 @@ def recovery_estimate(spark, sf):
 
 @query
 def scenario_exponential(spark, sf):
-    return _round(reports.scenario_totals(_en(spark, sf)), "value")
+    return _round(reports.scenario_totals(_en(spark, sf)), "value", digits=3)
 
 
 @query
 def scenario_recurrent(spark, sf):
-    return _round(reports.scenario_active(_en(spark, sf)), "value")
+    return _round(reports.scenario_active(_en(spark, sf)), "value", digits=3)
 
 
 def _age_tables(spark, sf):
