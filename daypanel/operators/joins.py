@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from daypanel.operators.reshape import q
+from daypanel.operators.reshape import q, quoted
 
 
 def join_null_safe(
@@ -22,7 +22,7 @@ def join_null_safe(
     shared = set(left.columns) & set(right.columns) - set(on)
     key = {k: f"_key_{i}" for i, k in enumerate(on)}
     renamed = right.select(*[q(c).alias(key.get(c, c + suffix if c in shared else c)) for c in right.columns])
-    same = reduce(lambda a, b: a & b, [left[_quoted(k)].eqNullSafe(renamed[key[k]]) for k in on])
+    same = reduce(lambda a, b: a & b, [left[quoted(k)].eqNullSafe(renamed[key[k]]) for k in on])
     return left.join(renamed, same, how).drop(*key.values())
 
 
@@ -57,7 +57,3 @@ def drop_listed(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 def with_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
     """Add the single value of a one-row frame to every row, as a scalar subquery."""
     return df.withColumn(name, one_row.scalar())
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"

@@ -9,9 +9,13 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def q(name: str) -> Column:
     """Column by its exact name, also when the name holds dots or slashes."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def select_range(df: DataFrame, positions: int = 0, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -60,9 +64,10 @@ def unpivot_some(
     value_type: str = "double",
 ) -> DataFrame:
     """Wide to long over the named columns; the other columns are kept (or only those in ``keep``)."""
-    keep = [n for n in df.columns if n not in cols] if keep is None else list(keep)
-    typed = df.select(*[q(n) for n in keep], *[q(n).try_cast(value_type).alias(n) for n in cols])
-    return typed.unpivot([q(n) for n in keep], [q(n) for n in cols], variable, value)
+    keep = [quoted(n) for n in (df.columns if keep is None else keep) if n not in cols]
+    cells = [quoted(n) for n in cols]
+    typed = df.selectExpr(*keep, *[f"try_cast({c} AS {value_type}) AS {c}" for c in cells])
+    return typed.unpivot(keep, cells, variable, value)
 
 
 def pivot_declared(
@@ -70,12 +75,26 @@ def pivot_declared(
 ) -> DataFrame:
     """Long to wide with the output columns declared up front, so no extra job looks for them.
 
-    ``unique=True`` raises when one cell would get two values.
+    A few columns are filled by conditional aggregates in one shuffle; many columns by Spark's pivot, whose
+    cost per row does not grow with them. ``unique=True`` raises when one cell would get two values.
     """
-    cell = F.first(q(value), ignorenulls=True)
-    if unique:
-        cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("pivot: duplicate cell"))).otherwise(cell)
-    return df.groupBy(*[q(n) for n in ids]).pivot(key, list(values)).agg(cell)
+    if len(values) > 16:
+        cell = F.first(q(value), ignorenulls=True)
+        if unique:
+            cell = F.when(F.count(F.lit(1)) > 1, _duplicate()).otherwise(cell)
+        return df.groupBy(*[q(n) for n in ids]).pivot(key, list(values)).agg(cell)
+    cells = []
+    for v in values:
+        here = q(key) == F.lit(v)
+        cell = F.first(F.when(here, q(value)), ignorenulls=True)
+        if unique:
+            cell = F.when(F.count(F.when(here, 1)) > 1, _duplicate()).otherwise(cell)
+        cells.append(cell.alias(str(v)))
+    return df.groupBy(*[q(n) for n in ids]).agg(*cells)
+
+
+def _duplicate() -> Column:
+    return F.raise_error(F.lit("pivot: duplicate cell"))
 
 
 def with_label(df: DataFrame, key: str, labels: Mapping[str, str], out: str = "label") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from daypanel.operators.reshape import q, union_fill
+from daypanel.operators.reshape import q
 
 
 def top_k_ties(df: DataFrame, k: int, weight: str, largest: bool = True) -> DataFrame:
@@ -15,10 +15,14 @@ def top_k_ties(df: DataFrame, k: int, weight: str, largest: bool = True) -> Data
     The k-th weight comes from a per-task top-k, and one filter keeps every row that reaches it: no
     sort of the whole frame and no single-task window, however many rows tie.
     """
-    w = q(weight)
-    ordered = df.where(w.isNotNull()).select(w.alias("w")).orderBy(F.desc("w") if largest else F.asc("w"))
-    kth = ordered.limit(k).agg(F.min("w") if largest else F.max("w"))
-    return df.where(w >= kth.scalar() if largest else w <= kth.scalar())
+    kth = _kth_weight(df, k, weight, largest).scalar()
+    return df.where(q(weight) >= kth if largest else q(weight) <= kth)
+
+
+def _kth_weight(df: DataFrame, k: int, weight: str, largest: bool) -> DataFrame:
+    present = df.where(q(weight).isNotNull()).select(q(weight).alias("w"))
+    ordered = present.orderBy(F.desc("w") if largest else F.asc("w"))
+    return ordered.limit(k).agg(F.min("w") if largest else F.max("w"))
 
 
 def bottom_k_ties(df: DataFrame, k: int, weight: str) -> DataFrame:
@@ -73,7 +77,7 @@ def global_row_number(
         F.filter(F.array_sort(F.collect_list("_key")), lambda _, i: i % per_cut == per_cut - 1).alias("cuts")
     )
     sliced = keyed.withColumn("_cuts", cuts.scalar()).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))
+        "_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0))
     )
     # At most slices + 1 rows, so the unpartitioned window and the broadcast are bounded.
     before = (
@@ -106,9 +110,15 @@ def pick_regions(
 ) -> DataFrame:
     """Region list: the first ``k`` by the weight on their last day, plus a manual list.
 
-    A region may appear twice, so use the list in a semi-join.
+    A region in both appears twice, so use the list in a semi-join. The panel is read twice, once for the
+    k-th weight; stage it when it is costly.
     """
     latest = panel.groupBy(q(region)).agg(F.max_by(q(weight), q(date)).alias("_weight"))
-    listed = top_k_ties(latest, k, "_weight", largest).select(region)
+    w = F.col("_weight")
+    kth = _kth_weight(latest, k, "_weight", largest).scalar()
+    reached = (w >= kth) if largest else (w <= kth)
     names = list(manual)
-    return union_fill(latest.where(q(region).isin(names)).select(region), listed) if names else listed
+    if not names:
+        return latest.where(reached).select(region)
+    times = q(region).isin(names).cast("int") + F.coalesce(reached, F.lit(False)).cast("int")
+    return latest.select(F.explode(F.array_repeat(q(region), times)).alias(region))

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from daypanel.functions.missing import cut_right, sum_or_zero, try_div
-from daypanel.functions.text import daily_per_100, implied_thousands, num, num_comma, repair_thousands, replace_first
+from daypanel.functions.text import daily_per_100, implied_thousands, num, repair_thousands, replace_first
 from daypanel.operators.filters import exclude_cells, matching, positive, same_weekday, two_snapshots, within
 from daypanel.operators.joins import keep_listed
 from daypanel.operators.loess import loess_fit
@@ -22,7 +22,7 @@ from daypanel.operators.metrics import (
 )
 from daypanel.operators.projection import exponential_fan, recurrent_fan
 from daypanel.operators.reshape import map_columns, pivot_declared, q, union_tagged, unpivot_some, with_label
-from daypanel.operators.select import global_row_number, last_per_group, pick_regions, top_n_per
+from daypanel.operators.select import global_row_number, pick_regions, top_n_per
 from daypanel.operators.stats import box_stats, order_by_aggregate, trend_class
 from daypanel.operators.windows import lead_growth, rate_per_previous, series
 from daypanel.sources.json_items import items_by_title

@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests and benches, and scratch folders for staged files."""
+"""Session helpers: a local session for tests and benches, scratch folders, staged frames."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = 8, app: str = "daypanel") -> SparkSession:
@@ -18,6 +18,7 @@ def local_session(cpus: str | int = 8, app: str = "daypanel") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("DAYPANEL_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
@@ -35,3 +36,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.mkdtemp(prefix="daypanel-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write a frame once to the shared folder and read it back.
+
+    For frames that several branches of a plan use, such as a panel that gives both the region list and
+    the rows of a report: otherwise every branch scans the raw records again, since each prunes other
+    columns. The panel is far smaller than its records, and a lost executor costs no recomputation.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

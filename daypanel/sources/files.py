@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DataType, DecimalType, DoubleType, StructField, StructType
 
-from daypanel.functions.dates import date_mdy
-from daypanel.operators.reshape import q, unpivot_rest
+from daypanel.operators.reshape import q, quoted
 
 _DECIMAL = DecimalType(38, 12)
 
@@ -19,9 +19,33 @@ def read_wide(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
+def header_date(name: str) -> dt.date | None:
+    """Date of an ``M/d/yy`` or ``M/d/yyyy`` column header, by the rule of ``date_mdy``."""
+    found = re.fullmatch(r"(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})", name)
+    if not found:
+        return None
+    month, day, year = (int(g) for g in found.groups())
+    if len(found.group(3)) == 2:
+        year += 2000 if year < 69 else 1900
+    try:
+        return dt.date(year, month, day)
+    except ValueError:
+        return None
+
+
 def wide_to_long(df: DataFrame, ids: int | Sequence[str], value: str) -> DataFrame:
-    """Wide panel to (ids, date, value) with ``M/d/yy`` headers; a header that is no date gives a NULL date."""
-    return unpivot_rest(df, ids, "date", value).withColumn("date", date_mdy("date"))
+    """Wide panel to (ids, date, value) with ``M/d/yy`` headers; a header that is no date gives a NULL date.
+
+    The headers are read once when the plan is made, so no row parses a date.
+    """
+    names = df.columns[:ids] if isinstance(ids, int) else list(ids)
+    cells = []
+    for c in df.columns:
+        if c not in names:
+            day = header_date(c)
+            shown = f"DATE'{day.isoformat()}'" if day else "CAST(NULL AS DATE)"
+            cells.append(f"struct({shown} AS date, try_cast({quoted(c)} AS DOUBLE) AS {quoted(value)})")
+    return df.selectExpr(*[quoted(n) for n in names], f"inline(array({', '.join(cells)}))")
 
 
 def as_decimal_schema(schema: StructType) -> StructType:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from daypanel.operators.metrics import PanelSpec, enrich_panel
 from daypanel.operators.reshape import pivot_declared
+from daypanel.session import stage
 
 AS_OF = dt.date(2024, 1, 31)
 MANUAL = ("C1", "C2")
@@ -75,7 +76,7 @@ def has_rec():
 
 def country_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three long tables (ids, date, conf | dea | rec); the third lacks some users."""
-    days = user_days(spark, sf)
+    days = stage(user_days(spark, sf), "user-days")
     return _ids(days, "conf"), _ids(days, "dea"), _ids(days.where(has_rec()), "rec")
 
 

@@ -37,7 +37,7 @@ from daypanel.functions import (
 from daypanel.operators import filters, joins, loess, metrics, projection, reshape, select, stats, windows
 from daypanel.operators.reshape import q
 from daypanel.plans import panels as pipelines, reports
-from daypanel.session import scratch_dir
+from daypanel.session import scratch_dir, stage
 from daypanel.sources import files, html, sinks
 from daypanel.sources import json_items as json_items_module
 from daypanel.streaming import ingest
@@ -61,8 +61,21 @@ def _en(spark: SparkSession, sf: str) -> DataFrame:
     return P.country_enriched(spark, sf)
 
 
+def _staged(spark: SparkSession, sf: str) -> DataFrame:
+    """The enriched panel, written once: for queries in which several branches use it."""
+    return stage(_en(spark, sf), "panel")
+
+
+def _districts(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(P.district_enriched(spark, sf), "districts")
+
+
+def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(P.district_snapshots(spark, sf), "snapshots")
+
+
 def _listed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    panel = _en(spark, sf)
+    panel = _staged(spark, sf)
     return panel, select.pick_regions(panel, 10, manual=P.MANUAL)
 
 
@@ -305,7 +318,7 @@ def inner_one_key(spark, sf):
 
 @query
 def inner_suffix_join(spark, sf):
-    fan = projection.exponential_fan(_en(spark, sf)).select("region", "date", "status", "scenario", "need")
+    fan = projection.exponential_fan(_staged(spark, sf)).select("region", "date", "status", "scenario", "need")
     one, two, three = [fan.where(F.col("scenario") == i).drop("scenario") for i in (1, 2, 3)]
     pair = joins.join_suffixed(one, two, ["region", "date", "status"], ("_rate_1", "_rate_2"))
     return joins.join_suffixed(pair, three, ["region", "date", "status"], ("", ""))
@@ -319,7 +332,7 @@ def semi_join_list(spark, sf):
 
 @query
 def scalar_cross(spark, sf):
-    panel = _en(spark, sf).select("region", "date", "conf")
+    panel = _staged(spark, sf).select("region", "date", "conf")
     newest = panel.agg(F.max("date"))
     return joins.with_scalar(panel, newest, "newest").withColumn("age_days", F.datediff("newest", "date"))
 
@@ -392,13 +405,13 @@ def weekday_box(spark, sf):
 
 @query
 def category_order(spark, sf):
-    rows = P.district_snapshots(spark, sf)
+    rows = _snapshots(spark, sf)
     return _plain(stats.order_by_aggregate(rows, P.DISTRICT, P.LAST_7, "median"))
 
 
 @query
 def category_order_max(spark, sf):
-    rows = P.district_snapshots(spark, sf)
+    rows = _snapshots(spark, sf)
     return _plain(stats.order_by_aggregate(rows, P.DISTRICT, P.INCIDENCE, "max"))
 
 
@@ -475,17 +488,17 @@ def quality_flag(spark, sf):
 
 @query
 def loess_growth(spark, sf):
-    return _round(reports.growth_smoothed(_en(spark, sf)), "fit")
+    return _round(reports.growth_smoothed(_staged(spark, sf)), "fit")
 
 
 @query
 def loess_rate(spark, sf):
-    return _round(reports.rate_smoothed(_en(spark, sf)), "fit")
+    return _round(reports.rate_smoothed(_staged(spark, sf)), "fit")
 
 
 @query
 def loess_curve(spark, sf):
-    rates = _en(spark, sf).select("region", "date", windows.lead_growth("conf", windows.series()).alias("g"))
+    rates = _staged(spark, sf).select("region", "date", windows.lead_growth("conf", windows.series()).alias("g"))
     return _round(loess.loess_grid(filters.within(rates, "g", 0, 1), "region", "date", "g", 0.5), "x", "fit")
 
 
@@ -537,14 +550,14 @@ def pick_region_list(spark, sf):
 
 @query
 def union_fill(spark, sf):
-    panel = _en(spark, sf).select("region", "date", "conf", "active")
+    panel = _staged(spark, sf).select("region", "date", "conf", "active")
     later = panel.groupBy("region").agg(F.max("date").alias("date"), F.max("conf").alias("conf"))
     return reshape.union_fill(panel, later.withColumn("status", F.lit("Prognose")))
 
 
 @query
 def union_tagged(spark, sf):
-    panel = _en(spark, sf)
+    panel = _staged(spark, sf)
     return reshape.union_tagged({"tested": panel.select("region", "date", F.col("conf").alias("x")), "death": panel.select("region", "date", F.col("dea").alias("x"))})
 
 
@@ -572,7 +585,7 @@ def exclude_cell(spark, sf):
 
 @query
 def exclude_cell_list(spark, sf):
-    panel = _en(spark, sf).select("region", "date", "conf_1")
+    panel = _staged(spark, sf).select("region", "date", "conf_1")
     worst = select.top_n_per(panel, "region", 1, "conf_1").select("region", "date")
     return joins.drop_listed(panel, worst, ["region", "date"])
 
@@ -685,7 +698,7 @@ def enrich_district(spark, sf):
 @query
 def report_current(spark, sf):
     """From three wide files to the current table of the top ten and the manual list."""
-    panel = pipelines.country_panel(*P.country_wide(spark, sf))
+    panel = stage(pipelines.country_panel(*P.country_wide(spark, sf)), "panel")
     return reports.current_table(panel, select.pick_regions(panel, 10, manual=P.MANUAL))
 
 
@@ -744,7 +757,7 @@ def report_trajectory_last(spark, sf):
 @query
 def report_incidence_rank(spark, sf):
     """Web-table text per nation: total and newest orders, rate per 100,000 customers."""
-    last = select.top_n_per(P.district_enriched(spark, sf), "region", 1, "date")
+    last = select.top_n_per(_districts(spark, sf), "region", 1, "date")
     people = P.table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("people"))
     named = people.join(P.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("region"), "people")
     rate = F.round(try_div("conf", "people") * 100000, 1)
@@ -756,7 +769,7 @@ def report_incidence_rank(spark, sf):
 
 @query
 def report_two_snapshot(spark, sf):
-    return reports.snapshot_change(P.district_snapshots(spark, sf), P.DISTRICT, P.INCIDENCE, dt.date(2024, 1, 30))
+    return reports.snapshot_change(_snapshots(spark, sf), P.DISTRICT, P.INCIDENCE, dt.date(2024, 1, 30))
 
 
 @query
@@ -771,12 +784,12 @@ def report_timeline_named(spark, sf):
 
 @query
 def report_district_top(spark, sf):
-    return reports.district_extremes(P.district_enriched(spark, sf))
+    return reports.district_extremes(_districts(spark, sf))
 
 
 @query
 def report_district_bottom(spark, sf):
-    return reports.district_extremes(P.district_enriched(spark, sf), largest=False)
+    return reports.district_extremes(_districts(spark, sf), largest=False)
 
 
 @query
@@ -786,7 +799,7 @@ def report_district_daily(spark, sf):
 
 @query
 def report_district_table(spark, sf):
-    return reports.district_table(P.district_enriched(spark, sf))
+    return reports.district_table(_districts(spark, sf))
 
 
 @query
@@ -796,12 +809,12 @@ def recovery_estimate(spark, sf):
 
 @query
 def scenario_exponential(spark, sf):
-    return _round(reports.scenario_totals(_en(spark, sf)), "value", digits=3)
+    return _round(reports.scenario_totals(_staged(spark, sf)), "value", digits=3)
 
 
 @query
 def scenario_recurrent(spark, sf):
-    return _round(reports.scenario_active(_en(spark, sf)), "value", digits=3)
+    return _round(reports.scenario_active(_staged(spark, sf)), "value", digits=3)
 
 
 def _age_tables(spark, sf):
