@@ -142,7 +142,8 @@ def loess_fit(df: DataFrame, key: str, x: str, y: str, span: float, out: str = "
     """Add the smoothed value to every row; ``x`` is a date or a number, one row per (key, x).
 
     Rows without ``y`` take no part in the fit but get a value inside the fitted range of their series.
-    Series with fewer than four points in a neighbourhood have no fit.
+    Series with fewer than four points in a neighbourhood have no fit, nor has the surrounding of a vertex
+    at which fewer than three points carry weight.
     """
     points = _points(df, key, x, y)
     fits = _vertex_fits(points, _vertices(points, key, span))
