@@ -56,12 +56,18 @@ def last_per_group(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(q(key)).agg(last.alias("_last")).select(q(key), *[F.col("_last")[c].alias(c) for c in rest])
 
 
+def nth_last(df: DataFrame, key: str, n: int, order: str) -> DataFrame:
+    """The n-th last row of each group (one is the last); groups with fewer rows have none."""
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(q(key)).orderBy(q(order).desc())))
+    return numbered.where(F.col("_n") <= n).where(F.col("_n") == n).drop("_n")
+
+
 def preview(df: DataFrame, n: int = 6) -> DataFrame:
     return df.limit(n)
 
 
 def global_row_number(
-    df: DataFrame, by: str, tie: str, out: str = "ordinal", descending: bool = False, slices: int = 256
+    df: DataFrame, by: str, tie: str, out: str = "ordinal", descending: bool = False, slices: int = 128
 ) -> DataFrame:
     """Position of every row in the whole sorted frame, from one; missing values come last.
 

@@ -45,6 +45,10 @@ def stage(df: DataFrame, name: str = "staged") -> DataFrame:
     the rows of a report: otherwise every branch scans the raw records again, since each prunes other
     columns. The panel is far smaller than its records, and a lost executor costs no recomputation.
     """
-    path = scratch_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # The file system removes the folder when the application ends.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)

@@ -40,11 +40,12 @@ def write_snapshot(df: DataFrame, folder: str, as_of: dt.date, fmt: str = "parqu
 def write_daily_csv2(df: DataFrame, folder: str, day: str) -> str:
     """Write a frame of many days as one csv2 sub-folder per day.
 
-    The days are cut out by the writer inside each task, so a day with most of the rows needs no shuffle
-    and ends up in several files.
+    Rows are rebalanced by day: Spark splits a day with very many rows over several tasks and files and
+    packs small days together, so neither one huge file nor many tiny ones come out.
     """
     flat = decimal_comma(df).withColumn("snapshot", F.to_date(q(day)))
-    flat.write.mode("overwrite").partitionBy("snapshot").option("header", True).option("sep", ";").csv(folder)
+    balanced = flat.hint("rebalance", F.col("snapshot"))
+    balanced.write.mode("overwrite").partitionBy("snapshot").option("header", True).option("sep", ";").csv(folder)
     return folder
 
 

@@ -292,6 +292,7 @@ sql("topk_ties", "SELECT * FROM users QUALIFY rank() OVER (ORDER BY n DESC) <= 1
 sql("bottomk_ties", "SELECT * FROM users QUALIFY rank() OVER (ORDER BY n) <= 10")
 sql("topn_per_region", "SELECT region, date, conf_1 FROM en QUALIFY rank() OVER (PARTITION BY region ORDER BY conf_1 DESC) <= 3")
 sql("last_rows_per_region", "SELECT region, date, conf FROM en QUALIFY row_number() OVER (PARTITION BY region ORDER BY date DESC) <= 10")
+sql("pick_from_end", "SELECT region, date, active, conf_1 FROM en QUALIFY row_number() OVER (PARTITION BY region ORDER BY date DESC) = 13")
 sql("ordinal_before_filter", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY n DESC, user_id) AS ordinal FROM users) WHERE user_id % 3 = 1")
 sql("sort_preview", "SELECT region, date, conf FROM cp ORDER BY conf DESC, region, date LIMIT 6")
 sql("pick_region_list", "SELECT region FROM picked")

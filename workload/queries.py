@@ -529,6 +529,11 @@ def last_rows_per_region(spark, sf):
     return select.last_rows(_en(spark, sf), "region", 10, "date").select("region", "date", "conf")
 
 
+@query
+def pick_from_end(spark, sf):
+    return select.nth_last(_en(spark, sf), "region", projection.DELAY_ROWS, "date").select("region", "date", "active", "conf_1")
+
+
 @query
 def ordinal_before_filter(spark, sf):
     numbered = select.global_row_number(_user_totals(spark, sf), "n", "user_id", descending=True)
