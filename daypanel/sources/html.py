@@ -34,7 +34,9 @@ class _Tables(HTMLParser):
         elif self.open and tag in ("td", "th") and self.open[-1]["cells"] is not None:
             self._end_cell()
             self.open[-1]["text"] = []
-            self.open[-1]["span"] = int(dict(attrs).get("colspan") or 1) if (dict(attrs).get("colspan") or "1").isdigit() else 1
+            span = dict(attrs).get("colspan") or ""
+            # A cell spans at most 1000 columns, the limit of the HTML standard.
+            self.open[-1]["span"] = min(max(int(span), 1), 1000) if span.isdecimal() else 1
         elif self.open and tag == "br" and self.open[-1]["text"] is not None:
             self.open[-1]["text"].append(" ")
 
@@ -73,7 +75,7 @@ class _Tables(HTMLParser):
             top["cells"] = None
 
 
-@udtf(returnType="table_idx int, row_idx int, cells array<string>")
+@udtf(returnType="table_idx int, row_idx int, cells array<string>", useArrow=True)
 class html_tables:
     """Table function: every table of a page as (table_idx, row_idx, cells), counted from zero."""
 

@@ -15,8 +15,22 @@ MANUAL = ("C1", "C2")
 OUTLIERS = ((("C3"), dt.date(2024, 1, 13)),)
 
 
+# The columns of the given tables, so that no footer is read to infer them.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def user_days(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,6 +54,8 @@ def user_days(spark: SparkSession, sf: str) -> DataFrame:
         *[F.sum(c).over(w).cast("double").alias(c) for c in ("conf", "dea", "rec")],
         F.lead("date").over(w).alias("next"),
         F.row_number().over(w).alias("n"),
+        lo.alias("lo"),
+        hi.alias("hi"),
     )
 
     def span(first, last, *counts):
@@ -47,10 +63,10 @@ def user_days(spark: SparkSession, sf: str) -> DataFrame:
 
     zero = F.lit(0.0)
     own = span(
-        F.col("date"), F.coalesce(F.date_sub("next", 1), hi), F.col("conf"), F.col("dea"), F.col("rec")
+        F.col("date"), F.coalesce(F.date_sub("next", 1), F.col("hi")), F.col("conf"), F.col("dea"), F.col("rec")
     )
-    before = span(lo, F.date_sub("date", 1), zero, zero, zero)
-    spans = F.when((F.col("n") == 1) & (F.col("date") > lo), F.array(before, own)).otherwise(F.array(own))
+    before = span(F.col("lo"), F.date_sub("date", 1), zero, zero, zero)
+    spans = F.when((F.col("n") == 1) & (F.col("date") > F.col("lo")), F.array(before, own)).otherwise(F.array(own))
     return running.select("user_id", F.inline(spans)).select(
         "user_id", F.explode(F.sequence("a", "b")).alias("date"), "conf", "dea", "rec"
     )
