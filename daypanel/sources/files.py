@@ -83,8 +83,11 @@ def read_folder(spark: SparkSession, folder: str, schema: StructType) -> DataFra
 
 
 def stamp(df: DataFrame, at: dt.datetime, name: str = "update") -> DataFrame:
-    """Add the snapshot time, given by the caller so that a rerun gives the same rows."""
-    return df.withColumn(name, F.lit(at).cast("timestamp_ntz"))
+    """Add the snapshot time, given by the caller so that a rerun gives the same rows.
+
+    It is written as a wall-clock time; the time zone of the session does not shift it.
+    """
+    return df.withColumn(name, F.lit(at.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz"))
 
 
 def read_range(spark: SparkSession, path: str, skip: int, n_max: int, sep: str = ";") -> DataFrame:

@@ -144,7 +144,16 @@ def test_published_table(spark, tmp_path, rows):
     assert rows(spark.table("aktu_data")) == [("A", 1.5)]
 
 
-def test_stamp_and_stage(spark, rows):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_stamp_and_stage(spark, rows, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        _stamp_and_stage(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def _stamp_and_stage(spark, rows):
     df = files.stamp(spark.createDataFrame([("A",)], "k string"), dt.datetime(2020, 5, 1, 9))
     assert dict(df.dtypes)["update"] == "timestamp_ntz"
     assert rows(stage(df)) == [("A", dt.datetime(2020, 5, 1, 9))]
