@@ -58,17 +58,18 @@ def user_days(spark: SparkSession, sf: str) -> DataFrame:
         hi.alias("hi"),
     )
 
-    def span(first, last, *counts):
-        return F.struct(first.alias("a"), last.alias("b"), *[c.alias(n) for c, n in zip(counts, ("conf", "dea", "rec"))])
-
-    zero = F.lit(0.0)
-    own = span(
-        F.col("date"), F.coalesce(F.date_sub("next", 1), F.col("hi")), F.col("conf"), F.col("dea"), F.col("rec")
-    )
-    before = span(F.col("lo"), F.date_sub("date", 1), zero, zero, zero)
-    spans = F.when((F.col("n") == 1) & (F.col("date") > F.col("lo")), F.array(before, own)).otherwise(F.array(own))
-    return running.select("user_id", F.inline(spans)).select(
-        "user_id", F.explode(F.sequence("a", "b")).alias("date"), "conf", "dea", "rec"
+    def span(first, last, counted):
+        return F.struct(first.alias("a"), last.alias("b"), F.lit(counted).alias("counted"))
+
+    own = span(F.col("date"), F.coalesce(F.date_sub("next", 1), F.col("hi")), 1.0)
+    before = span(F.col("lo"), F.date_sub("date", 1), 0.0)
+    late = (F.col("n") == 1) & (F.col("date") > F.col("lo"))
+    spans = F.when(late, F.array(before, own)).otherwise(F.array(own))
+    counts = ("conf", "dea", "rec")
+    return running.select("user_id", *counts, F.inline(spans)).select(
+        "user_id",
+        F.explode(F.sequence("a", "b")).alias("date"),
+        *[(F.col(c) * F.col("counted")).alias(c) for c in counts],
     )
 
 
