@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +25,16 @@ def local_session(cpus: str | int = 8, app: str = "daypanel") -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for staged files under ``spark.checkpoint.dir``, which every executor can reach.
+    """A new folder for staged files, which every executor can reach; removed when the application ends.
 
-    A machine-local folder is used only where that setting is missing and the session itself is local.
+    It lies under ``spark.checkpoint.dir``, or where that is unset under the warehouse, which is shared
+    by contract. Both are resolved by the Hadoop file system of their scheme.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="daypanel-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def stage(df: DataFrame, name: str = "staged") -> DataFrame:
@@ -45,10 +44,6 @@ def stage(df: DataFrame, name: str = "staged") -> DataFrame:
     the rows of a report: otherwise every branch scans the raw records again, since each prunes other
     columns. The panel is far smaller than its records, and a lost executor costs no recomputation.
     """
-    spark = df.sparkSession
-    path = scratch_dir(spark, name)
+    path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
-    # The file system removes the folder when the application ends.
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,5 +26,6 @@ def test_query(spark, con, name):
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns[:2] == ["region", "date"]
