@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daypanel.llm import ngram_join, quality_rules, suffix_dedup
+from daypanel.llm import decontaminate, ngram_join, packing, quality_rules, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_best_fit_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
 @query
 def op5_suffix_dedup(spark, sf):
     return suffix_dedup.removed(table(spark, sf, "documents"))
@@ -32,6 +37,11 @@ def op6_ngram_join(spark, sf):
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op7_benchmark_decontamination(spark, sf):
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op10_quality_rules(spark, sf):
     return quality_rules.judge(table(spark, sf, "documents"))
