@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daypanel.llm import decontaminate, ngram_join, packing, quality_rules, suffix_dedup
+from daypanel.llm import decontaminate, ngram_join, packing, quality_rules, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -27,6 +27,11 @@ def op1_best_fit_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
 
 
+@query
+def op2_token_counts(spark, sf):
+    return token_counts.token_counts(table(spark, sf, "documents"))
+
+
 @query
 def op5_suffix_dedup(spark, sf):
     return suffix_dedup.removed(table(spark, sf, "documents"))
