@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from daypanel.llm import decontaminate, ngram_join, packing, quality_rules, suffix_dedup, token_counts
+from daypanel.llm import decontaminate, ngram_join, packing, quality_rules, suffix_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -33,6 +33,49 @@ def op2_token_counts(spark, sf):
     return token_counts.token_counts(table(spark, sf, "documents"))
 
 
+@query
+def op3_url_filter(spark, sf):
+    pages = table(spark, sf, "pages")
+    return url_filter.judge(pages, url_filter.pages_of_labelled(pages, table(spark, sf, "labels")))
+
+
+LLM_ORACLE["op3_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(rest, ''), '^[^?#]*\?([^#]*)', 1) AS query
+  FROM cut
+),
+params AS (
+  SELECT *, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS ps
+  FROM parts
+),
+keyed AS (
+  SELECT page_id, host, path, CASE WHEN host <> '' THEN
+    regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '(/index\.html?)?/*$', '')
+    || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END END AS key,
+    try_cast(regexp_extract(path, '/([0-9]{1,18})', 1) AS BIGINT) AS number
+  FROM params
+),
+listed AS (
+  SELECT DISTINCT key FROM keyed WHERE key IS NOT NULL AND number IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0)
+),
+judged AS (
+  SELECT page_id, host, path, key IS NOT NULL AND key IN (SELECT key FROM listed) AS listed, CASE
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule
+  FROM keyed
+)
+SELECT page_id, host, path, rule, listed, CASE
+  WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+
 @query
 def op5_suffix_dedup(spark, sf):
     return suffix_dedup.removed(table(spark, sf, "documents"))
