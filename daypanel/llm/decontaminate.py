@@ -7,8 +7,9 @@ found from prefix sums, one subtraction per window and bit. Candidates are all (
 radius differs in at most ``RADIUS // BLOCKS`` bits of some block, so looking up every block with that many
 flips misses none. Candidates are verified by the weighted Jaccard similarity of their shingle sets.
 
-Windows without any shingle of the benchmark cannot reach a positive similarity and are not fingerprinted.
-That bound is exact; it keeps the work at the text's size plus its suspicious stretches.
+A window shares with an item no more weight than its shingles known to the benchmark have, so a window
+whose known weight is below the threshold times the lightest item of its size is not fingerprinted. That
+bound is exact; it keeps the work at the text's size plus its suspicious stretches.
 
 The benchmark is split into parts of at most ``PART_WORDS`` words; each part is broadcast to the tasks in
 turn, so its size is bounded whatever the benchmark's.
@@ -21,7 +22,6 @@ row; of repeated items each is reported; an empty table gives an empty table; ot
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +60,11 @@ class Items:
         self.weight = np.log(1 + len(texts) / count) if weights is None else np.array([weights[int(k)] for k in self.known])
         self.unknown = float(np.log(1 + len(texts)))
         self.prints = np.array([self.fingerprint(x) for x in self.lists], dtype=np.uint64)
-        width = BITS // BLOCKS
-        spare = RADIUS // BLOCKS
-        self.flips = np.array([sum(1 << b for b in c) for r in range(spare + 1) for c in combinations(range(width), r)], dtype=np.uint64)
+        holder = np.repeat(np.arange(len(self.lists)), [len(np.unique(x)) for x in self.lists])
+        order = np.argsort(flat, kind="stable")
+        self.holders, self.holders_at = holder[order], np.concatenate([[0], np.cumsum(count)])
+        self.mass = np.array([self.weights_of(np.unique(x)).sum() for x in self.lists])
+        self.sizes = [_Size(self, w, n) for w, n in sorted(set(zip(self.widths.tolist(), self.words.tolist()))) if n]
 
     def weights_of(self, shingles: np.ndarray) -> np.ndarray:
         """Rarity in the benchmark; a shingle that it lacks weighs as one that it has once."""
@@ -74,30 +76,6 @@ class Items:
     def fingerprint(self, shingles: np.ndarray) -> np.uint64:
         return _pack((_signs(shingles) * self.weights_of(shingles)[:, None]).sum(axis=0)[None])[0]
 
-    def tables(self, items: np.ndarray) -> list[dict[int, np.ndarray]]:
-        """For each block of the fingerprint: the items by block value."""
-        out = []
-        for b in range(BLOCKS):
-            value = _block(self.prints[items], b)
-            out.append({int(v): items[value == v] for v in np.unique(value)})
-        return out
-
-    def candidates(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (window, item) pairs within the radius, by the multi-index."""
-        pairs = set()
-        for b, table in enumerate(self.tables(items)):
-            value = _block(prints, b)
-            for v in np.unique(value):
-                near = [table[int(x)] for x in (v ^ self.flips) if int(x) in table]
-                if near:
-                    near = np.concatenate(near)
-                    rows = np.flatnonzero(value == v)
-                    far = np.bitwise_count(prints[rows][:, None] ^ self.prints[near][None, :])
-                    i, j = np.nonzero(far <= RADIUS)
-                    pairs.update(zip(rows[i].tolist(), near[j].tolist()))
-        found = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
-        return found[:, 0], found[:, 1]
-
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of two shingle sets."""
         a, b = np.unique(window), np.unique(self.lists[item])
@@ -105,6 +83,35 @@ class Items:
         return float(self.weights_of(both).sum() / self.weights_of(either).sum()) if len(either) else 0.0
 
 
+class _Size:
+    """The items of one size: their fingerprints, and for each block and value the items near it."""
+
+    def __init__(self, items: Items, width: int, words: int):
+        self.width, self.shingles = width, words - width + 1
+        self.items = np.flatnonzero((items.widths == width) & (items.words == words))
+        self.prints = items.prints[self.items]
+        self.lightest = float(items.mass[self.items].min())
+        values = np.arange(1 << (BITS // BLOCKS), dtype=np.uint64)
+        self.near = []
+        for b in range(BLOCKS):
+            value, item = np.nonzero(np.bitwise_count(values[:, None] ^ _block(self.prints, b)[None, :]) <= RADIUS // BLOCKS)
+            self.near.append((np.searchsorted(value, np.arange(len(values) + 1)), item))
+
+    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (window, item) pairs within the radius, by the multi-index."""
+        pairs = []
+        for b, (at, item) in enumerate(self.near):
+            value = _block(prints, b).astype(np.int64)
+            many = at[value + 1] - at[value]
+            row = np.repeat(np.arange(len(prints)), many)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + at[value][row]
+            pairs.append(row * len(self.prints) + item[place])
+        found = np.unique(np.concatenate(pairs))
+        row, item = found // len(self.prints), found % len(self.prints)
+        good = np.bitwise_count(prints[row] ^ self.prints[item]) <= RADIUS
+        return row[good], self.items[item[good]]
+
+
 def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words (none for an empty text)."""
     return A.window_hash(hashes, int(width)) + np.uint64(width) if width else np.zeros(0, np.uint64)
@@ -117,7 +124,7 @@ def _signs(shingles: np.ndarray) -> np.ndarray:
 
 
 def _pack(sums: np.ndarray) -> np.ndarray:
-    return ((sums > 0).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _block(prints: np.ndarray, b: int) -> np.ndarray:
@@ -128,42 +135,73 @@ def _block(prints: np.ndarray, b: int) -> np.ndarray:
 def matches(items: Items, hashes: np.ndarray, threshold: float) -> dict[int, tuple[float, int]]:
     """Items found in a text, given its word hashes: the best similarity and where its window starts."""
     best: dict[int, tuple[float, int]] = {}
-    for width in np.unique(items.widths[items.widths > 0]):
+    for width in sorted({s.width for s in items.sizes}):
         runs = _runs(hashes, width)
-        if not len(runs):
+        known = _member(runs, items.known)
+        if not known.any():
             continue
-        hit = np.flatnonzero(_member(runs, items.known))
-        if not len(hit):
+        held = np.concatenate([[0.0], np.cumsum(np.where(known, items.weights_of(runs), 0.0))])
+        picked = []
+        for size in items.sizes:
+            if size.width == width:
+                # A text shorter than the item is one window.
+                starts = np.arange(max(1, len(runs) - size.shingles + 1))
+                ends = np.minimum(starts + size.shingles, len(runs))
+                heavy = held[ends] - held[starts] >= threshold * size.lightest - 1e-6
+                if heavy.any():
+                    picked.append((size, starts[heavy], ends[heavy]))
+        if not picked:
             continue
-        mine = items.widths == width
-        for size in np.unique(items.words[mine]):
-            many = int(size - width + 1)  # shingles of an item-sized window
-            of_size = np.flatnonzero(mine & (items.words == size))
-            # Windows at the text's border hold what there is of it.
-            reach = len(runs) - many if len(runs) >= many else 0
-            starts = np.unique(np.clip((hit[:, None] - np.arange(many)[None, :]).ravel(), 0, reach))
+        used = np.zeros(len(runs) + 1, dtype=np.int64)
+        for _, starts, ends in picked:
+            np.add.at(used, starts, 1)
+            np.add.at(used, ends, -1)
+        place = np.flatnonzero(np.cumsum(used[:-1]) > 0)
+        prints = _Prints(items, runs, place)
+        shared = _Shared(items, runs, np.flatnonzero(known))
+        for size, starts, ends in picked:
             for low in range(0, len(starts), _SLICE):
-                part = starts[low : low + _SLICE]
-                for i, item in zip(*_near(items, runs, part, many, of_size)):
-                    at = int(part[i])
-                    score = items.similarity(runs[at : at + many], int(item))
+                a, b = starts[low : low + _SLICE], ends[low : low + _SLICE]
+                row, item = size.candidates(prints(a, b))
+                good = shared(item, a[row], b[row]) >= threshold * items.mass[item] - 1e-6
+                for i, item in zip(row[good], item[good]):
+                    score = items.similarity(runs[a[i] : b[i]], int(item))
                     if score >= threshold - 1e-9 and score > best.get(int(item), (0.0, 0))[0]:
-                        best[int(item)] = (score, at)
+                        best[int(item)] = (score, int(a[i]))
     return best
 
 
-def _near(items: Items, runs: np.ndarray, starts: np.ndarray, many: int, of_size: np.ndarray):
-    """Candidate (window, item) pairs among the windows at ``starts``, from prefix sums over the runs they span."""
-    ends = np.minimum(starts + many, len(runs))
-    used = np.zeros(len(runs) + 1, dtype=np.int64)
-    np.add.at(used, starts, 1)
-    np.add.at(used, ends, -1)
-    place = np.flatnonzero(np.cumsum(used[:-1]) > 0)
-    value = _signs(runs[place]) * items.weights_of(runs[place])[:, None]
-    sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(value, axis=0)])
-    a, b = np.searchsorted(place, starts), np.searchsorted(place, ends)
-    # Rounding keeps equal windows at equal prints wherever they stand.
-    return items.candidates(_pack(np.round(sums[b] - sums[a], 6)), of_size)
+class _Prints:
+    """Fingerprints of windows over the runs at ``place``, from prefix sums of their signed weights."""
+
+    def __init__(self, items: Items, runs: np.ndarray, place: np.ndarray):
+        self.place = place
+        value = _signs(runs[place]) * items.weights_of(runs[place])[:, None]
+        self.sums = np.concatenate([np.zeros((1, BITS)), np.cumsum(value, axis=0)])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        a, b = np.searchsorted(self.place, starts), np.searchsorted(self.place, ends)
+        # Rounding keeps equal windows at equal prints wherever they stand.
+        return _pack(np.round(self.sums[b] - self.sums[a], 6))
+
+
+class _Shared:
+    """Upper bound of the weight that a window shares with an item: its runs that the item has, repeats included."""
+
+    def __init__(self, items: Items, runs: np.ndarray, at: np.ndarray):
+        k = np.searchsorted(items.known, runs[at])
+        many = items.holders_at[k + 1] - items.holders_at[k]
+        row = np.repeat(np.arange(len(at)), many)
+        item = items.holders[items.holders_at[k][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
+        self.length = len(runs) + 1
+        key = item * self.length + at[row]
+        order = np.argsort(key)
+        self.key = key[order]
+        self.sums = np.concatenate([[0.0], np.cumsum(items.weight[k][row][order])])
+
+    def __call__(self, item: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        a, b = (np.searchsorted(self.key, item * self.length + x) for x in (starts, ends))
+        return self.sums[b] - self.sums[a]
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:

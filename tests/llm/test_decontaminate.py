@@ -83,7 +83,8 @@ def test_index_finds_all_within_the_radius():
     for i in range(400):
         for b in rng.choice(64, rng.integers(0, 34), replace=False):
             prints[i] ^= np.uint64(1) << np.uint64(b)
-    w, j = items.candidates(prints, np.arange(60))
+    (size,) = items.sizes
+    w, j = size.candidates(prints)
     far = np.bitwise_count(prints[:, None] ^ items.prints[None, :])
     assert set(zip(w.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(far <= D.RADIUS))))
 
