@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from daypanel.llm import decontaminate, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_counts, url_filter
+from daypanel.llm import decontaminate, lm_score, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -96,6 +96,11 @@ def op8_quality_classifier(spark, sf):
     return quality_model.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op9_lm_scoring(spark, sf):
+    return lm_score.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op10_quality_rules(spark, sf):
     return quality_rules.judge(table(spark, sf, "documents"))
