@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from daypanel.llm import decontaminate, lm_score, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_counts, url_filter
+from daypanel.llm import decontaminate, html_extract, lm_score, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_counts, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -76,6 +76,11 @@ FROM judged
 """
 
 
+@query
+def op4_html_extraction(spark, sf):
+    return html_extract.extract(table(spark, sf, "pages"))
+
+
 @query
 def op5_suffix_dedup(spark, sf):
     return suffix_dedup.removed(table(spark, sf, "documents"))
