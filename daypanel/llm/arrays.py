@@ -29,7 +29,7 @@ CHUNK = 2 << 20
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
@@ -102,8 +102,10 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 def rolling_hash(buf: np.ndarray, k: int) -> np.ndarray:
     """Hash of the ``k`` bytes that start at each byte."""
     n = max(0, len(buf) - k + 1)
-    at = np.arange(n)
-    return span_hash(buf, at, at + k)
+    up, down = _sized(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * down[:n]) if n else np.zeros(0, np.uint64)
 
 
 _STEP = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

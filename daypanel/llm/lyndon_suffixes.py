@@ -32,26 +32,26 @@ def suffix_arrays(symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
     base = 1 + np.concatenate([[0], np.cumsum(lengths + 1)])
     n = int(base[-1])
     owner = np.repeat(np.arange(texts), lengths + 1)
-    s = np.full(n, -1, dtype=np.int64)
+    s = np.full(n, -1, dtype=np.int32)
     body = np.ones(n, dtype=bool)
     body[0] = False
     body[base[1:] - 1] = False
-    s[body] = np.asarray(symbols, dtype=np.int64) - (int(symbols.min()) if len(symbols) else 0)
-    low = np.concatenate([[0], base[owner]])
+    s[body] = np.asarray(symbols, dtype=np.int32) - (int(symbols.min()) if len(symbols) else 0)
+    low = np.concatenate([[0], base[owner]]).astype(np.int32)
 
-    member = np.concatenate([[0], 1 + np.lexsort((s[1:], owner))])
-    place = np.empty(n, dtype=np.int64)
+    member = np.concatenate([[0], 1 + np.lexsort((s[1:], owner))]).astype(np.int32)
+    place = np.empty(n, dtype=np.int32)
     place[member] = np.arange(n)
     new = np.ones(n, dtype=bool)
     new[2:] = (s[member[2:]] != s[member[1:-1]]) | (low[member[2:]] != low[member[1:-1]])
     first = np.flatnonzero(new)
-    size = np.zeros(n, dtype=np.int64)
+    size = np.zeros(n, dtype=np.int32)
     size[first] = np.diff(np.append(first, n))
-    head = np.zeros(n, dtype=np.int64)  # by last place of a group: its first
+    head = np.zeros(n, dtype=np.int32)  # by last place of a group: its first
     head[first + size[first] - 1] = first
-    key = np.empty(n, dtype=np.int64)
+    key = np.empty(n, dtype=np.int32)
     key[member] = np.repeat(first, size[first])
-    back = np.arange(-1, n - 1)
+    back = np.arange(-1, n - 1, dtype=np.int32)
     back[0] = 0
     split = np.zeros(n, dtype=bool)
 
@@ -96,8 +96,8 @@ def suffix_arrays(symbols: np.ndarray, offs: np.ndarray) -> np.ndarray:
         more = now > floor
         now, floor = head[now[more] - 1], floor[more]
 
-    out = np.full(n, -1, dtype=np.int64)
-    filled = np.zeros(n, dtype=np.int64)
+    out = np.full(n, -1, dtype=np.int32)
+    filled = np.zeros(n, dtype=np.int32)
     placed = np.zeros(n, dtype=bool)
     placed[0] = True
     live = np.argsort(-lengths, kind="stable")

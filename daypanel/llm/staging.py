@@ -7,11 +7,22 @@ from pyspark.sql import DataFrame
 from daypanel.session import scratch_dir
 
 
+#: Spark removes the shuffle files of a finished write at once instead of when the driver collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the folder all executors share and read it back.
 
-    It cuts the lineage: a lost executor costs no more than the tasks that were running on it.
+    It cuts the lineage: a lost executor costs no more than the tasks that were running on it, and the
+    shuffle files behind the table are removed, since nothing needs them any more.
     """
-    path = scratch_dir(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_dir(spark, f"llm-{name}")
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)

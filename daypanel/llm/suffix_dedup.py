@@ -3,11 +3,14 @@
 1. Anchors. In each text, every window of ``length`` bytes picks the lowest hash among its 32-byte strings.
    Equal windows pick the same string at the same place, so a repeated window has a repeated anchor. Only
    anchor hashes are shuffled and counted, about one per 35 bytes.
-2. Texts with a repeated anchor give, for each, the stretch of bytes that its windows cover. Equal stretches
-   of one anchor are folded to the first; every later one repeats it whole and is removed whole.
-3. The different stretches of one anchor share a window only in part. Their suffix array is built by the
-   linear grouping construction (``lyndon_suffixes``), many anchors at a time; neighbours with ``length``
-   bytes in common form the classes of equal windows, and all but the first of a class are removed.
+2. A repeated anchor stands for the stretch of bytes that its windows cover. Equal stretches of one anchor
+   (by a hash of all their bytes) are folded to the first; every later one repeats it whole and is removed whole.
+3. The different stretches of one anchor share a window only in part. They are cut into parts of ``PART``
+   neighbouring windows, which all hold one core of bytes; equal parts are folded, and a core that only one
+   part has is done. Of the rest, the core is written as one symbol, and the suffix array of the parts that
+   share it is built by the linear grouping construction (``lyndon_suffixes``), very many at a time.
+   Neighbours with a window in common (checked byte by byte) form the classes of equal windows, and all
+   but the first of a class are removed.
 4. An anchor with more than ``MOST`` different stretches (a hot passage among near copies) is cut by window
    instead: equal windows are folded in the same way by a distributed group, exactly.
 
@@ -34,9 +37,12 @@ from daypanel.llm.staging import staged
 LENGTH = 100
 ANCHOR = 32
 #: Different stretches of one anchor that are compared in one suffix array; more are compared by window.
-MOST = 256
-#: Bytes of stretches whose suffix arrays are built in step.
-BATCH = 1 << 20
+MOST = 8192
+#: Neighbouring windows of a part.
+PART = 9
+#: Bytes of stretches that are solved at a time, and symbols whose suffix arrays are built in step.
+BATCH = 2 << 20
+_KEEP = ["h", "stretch", "id", "at", "fold", "lead"]
 _NO_ID = -(1 << 63)
 _U32 = np.uint64(32)
 
@@ -96,8 +102,20 @@ def _mine(column: pa.Array, value: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, own), len(listed) - 1)] == own
 
 
-def _stretches(rows: DataFrame, length: int) -> DataFrame:
-    """(h, stretch, id, at) of the repeated anchors: the bytes their windows cover, the place of the anchor.
+def _find(row, at, fold, own_row, own_at, own_fold) -> tuple[np.ndarray, np.ndarray]:
+    """Which listed (row, at, fold) equal an own one: (index in the list, index among the own), own ascending."""
+    key = lambda r, a, f: A.mix(f ^ A.mix(r.astype(np.uint64) << np.uint64(40) ^ a.astype(np.uint64)))
+    listed, own = key(row, at, fold), key(own_row, own_at, own_fold)
+    if not len(listed):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(listed)
+    found = order[np.minimum(np.searchsorted(listed[order], own), len(listed) - 1)]
+    hit = np.flatnonzero(listed[found] == own)
+    return found[hit], hit
+
+
+def _folds(rows: DataFrame, length: int) -> DataFrame:
+    """(h, fold, id, at) of the repeated anchors: hashes of the anchor and of its stretch, and its place.
 
     Of equal stretches in a batch only the first by (id, at) is emitted.
     """
@@ -107,63 +125,123 @@ def _stretches(rows: DataFrame, length: int) -> DataFrame:
         owner, place, value, first, last = anchors(buf, offs, length)
         own = np.flatnonzero(_mine(batch.column(2), value, owner))
         ids, at = batch.column(0).to_numpy(zero_copy_only=False)[owner[own]], place[own] - offs[owner[own]]
-        key = A.mix(value[own] ^ A.mix(A.span_hash(buf, first[own], last[own] + length)))
-        sort = np.lexsort((at, ids, key))
-        keep = np.sort(sort[np.append(True, key[sort][1:] != key[sort][:-1])[: len(sort)]])
-        own, ids, at = own[keep], ids[keep], at[keep]
+        fold = A.span_hash(buf, first[own], last[own] + length)
+        key = A.mix(value[own] ^ A.mix(fold))
+        keep = np.ones(len(own), dtype=bool)
+        again = np.flatnonzero(A.repeated(key))
+        again = again[np.lexsort((at[again], ids[again], key[again]))]
+        keep[again[np.append(False, key[again][1:] == key[again][:-1])[: len(again)]]] = False
+        cols = [value[own][keep].view(np.int64), fold[keep].view(np.int64), ids[keep], at[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "fold", "id", "at"])
+
+    return A.map_texts(rows, "text", run, "h long, fold long, id long, at long")
+
+
+def _stretches(rows: DataFrame, length: int) -> DataFrame:
+    """(h, stretch, id, at, fold, n, lead) of the anchors listed in ``want`` (at, fold, n) of each text."""
+
+    def run(batch):
+        buf, offs = A.utf8(batch.column(1))
+        owner, place, value, first, last = anchors(buf, offs, length)
+        fold = A.span_hash(buf, first, last + length)
+        lists = batch.column(2)
+        at, listed, many = lists.flatten().flatten()
+        row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+        found, own = _find(row, np.asarray(at), np.asarray(listed).view(np.uint64), owner, place - offs[owner], fold)
         size = last[own] - first[own] + length
         ends = np.concatenate([[0], np.cumsum(size)])
         span = np.arange(ends[-1]) + np.repeat(first[own] - ends[:-1], size)
         return pa.RecordBatch.from_arrays(
-            [pa.array(value[own].view(np.int64)), A.ragged(buf[span], ends), pa.array(ids), pa.array(at)],
-            names=["h", "stretch", "id", "at"],
+            [pa.array(value[own].view(np.int64)), A.ragged(buf[span], ends), batch.column(0).take(pa.array(owner[own])),
+             pa.array((place - offs[owner])[own]), pa.array(fold[own].view(np.int64)), many.take(pa.array(found)), pa.array((place - first)[own])],
+            names=["h", "stretch", "id", "at", "fold", "n", "lead"],
         )
 
-    return A.map_texts(rows, "text", run, "h long, stretch binary, id long, at long")
+    return A.map_texts(rows, "text", run, "h long, stretch binary, id long, at long, fold long, n long, lead long")
 
 
 _FIRST = "min(struct(id, at)) AS p"
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges ``start .. start + size - 1``, range after range."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 def _classes(table: pa.Table, length: int) -> np.ndarray:
     """Windows, as places in the joined stretches of ``table``, that an earlier stretch of their anchor holds.
 
-    Rows are the different stretches of several anchors, the rows of an anchor together.
+    Rows are the different stretches of several anchors; ``lead`` is the place of the anchor in its stretch.
     """
-    h = table["h"].to_numpy()
+    h, lead = table["h"].to_numpy().view(np.uint64), table["lead"].to_numpy()
     buf, offs = A.utf8(table["stretch"].combine_chunks())
-    size = np.diff(offs)
-    text = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
-    # Every stretch is followed by a separator below all bytes.
-    at = offs[:-1] + np.arange(len(size))
-    symbols = np.zeros(len(buf) + len(size), dtype=np.int64)
-    real = np.ones(len(symbols), dtype=bool)
-    real[at + size] = False
-    symbols[real] = buf.astype(np.int64) + 1
-    bounds = np.concatenate([at[np.flatnonzero(np.append(True, text[1:] != text[:-1]))], [len(symbols)]])
+    many = np.diff(offs) - length + 1
+    # Order by (id, place of the anchor); ties are equal places of rows that share an id.
+    ids, places = table["id"].to_numpy(), table["at"].to_numpy()
+    sort = np.lexsort((places, ids))
+    rank = np.empty(len(ids), dtype=np.int64)
+    rank[sort] = np.cumsum(np.append(True, (ids[sort][1:] != ids[sort][:-1]) | (places[sort][1:] != places[sort][:-1])))
+    # Parts: windows whose start lies PART * p .. PART * p + PART - 1 bytes before the anchor.
+    low = (lead - many + 1) // PART
+    count = lead // PART - low + 1
+    row = np.repeat(np.arange(len(h)), count)
+    part = _ranges(low, count)
+    first = np.maximum(0, lead[row] - (PART * part + PART - 1))
+    last = np.minimum(many[row] - 1, lead[row] - PART * part)
+    core = offs[row] + lead[row] - PART * part
+    core_end = core + length - PART + 1
+    start, end = offs[row] + first, offs[row] + last + length
+    key = A.mix(h[row] ^ A.mix(A.span_hash(buf, core, core_end) + part.astype(np.uint64)))
+    same = A.span_hash(buf, start, end) ^ A.mix((core - start).astype(np.uint64))
+    order = np.lexsort((rank[row], same, key))
+    k, f, r = key[order], same[order], rank[row][order]
+    new_key = np.append(True, k[1:] != k[:-1])
+    new = new_key | np.append(True, f[1:] != f[:-1])
+    heads = np.flatnonzero(new)
+    later = order[r > np.repeat(r[heads], np.diff(np.append(heads, len(order))))]
+    gone = [_ranges(start[later], (last - first + 1)[later])]
+    # Cores that several different parts have.
+    group = np.cumsum(new_key)[heads]
+    shared = np.bincount(group, minlength=1)[group] > 1
+    pick, group = order[heads[shared]], group[shared]
+    if len(pick):
+        width = np.bincount(group, weights=(end - start)[pick] - (core_end - core)[pick] + 2, minlength=1)
+        bundle = (np.cumsum(width) - width)[group] // BATCH
+        for at in np.split(np.arange(len(pick)), np.flatnonzero(np.diff(bundle)) + 1):
+            i = pick[at]
+            gone.append(_windows(buf, start[i], end[i], core[i], core_end[i], group[at], rank[row[i]], length))
+    return np.concatenate(gone)
+
+
+def _windows(buf, start, end, core, core_end, group, rank, length: int) -> np.ndarray:
+    """Starts of the windows of parts that an earlier part of their group holds; parts of a group lie together."""
+    left, right = core - start, end - core_end
+    size = left + 1 + right
+    # Per part: the bytes before the core, the core as one symbol, the bytes after it, a separator below all.
+    at = np.cumsum(size + 1) - (size + 1)
+    symbols = np.zeros(int((size + 1).sum()), dtype=np.int64)
+    symbols[_ranges(at, left)] = buf[_ranges(start, left)].astype(np.int64) + 1
+    symbols[at + left] = 257
+    symbols[_ranges(at + left + 1, right)] = buf[_ranges(core_end, right)].astype(np.int64) + 1
+    bounds = np.append(at[np.flatnonzero(np.append(True, group[1:] != group[:-1]))], len(symbols))
     order = suffix_arrays(symbols, bounds)
-    row = np.repeat(np.arange(len(size)), size + 1)
-    inside = np.arange(len(symbols)) - at[row] <= size[row] - length
+    part = np.repeat(np.arange(len(start)), size + 1)
+    inside = np.arange(len(symbols)) - at[part] <= end[part] - start[part] - length
     order = order[inside[order]]
-    # Neighbours with `length` bytes in common: equal window hashes, then equal bytes.
-    flat = order - row[order]
+    flat = start[part[order]] + order - at[part[order]]
+    # Neighbours with a window in common: equal hashes, then equal bytes.
     value = A.span_hash(buf, flat, flat + length)
-    same = np.append(False, (value[1:] == value[:-1]) & (text[row[order[1:]]] == text[row[order[:-1]]]))
+    same = np.append(False, (value[1:] == value[:-1]) & (group[part[order[1:]]] == group[part[order[:-1]]]))
     pairs = np.flatnonzero(same)
     for low in range(0, len(pairs), 4096):
         i = pairs[low : low + 4096]
         span = np.arange(length)
         same[i] = (buf[flat[i][:, None] + span] == buf[flat[i - 1][:, None] + span]).all(axis=1)
-    group = np.cumsum(~same)
-    # The first of a class by (id, place of the anchor); ties are equal places of rows that share an id.
-    ids, places = table["id"].to_numpy(), table["at"].to_numpy()
-    rank = np.empty(len(ids), dtype=np.int64)
-    sort = np.lexsort((places, ids))
-    rank[sort] = np.cumsum(np.append(True, (ids[sort][1:] != ids[sort][:-1]) | (places[sort][1:] != places[sort][:-1])))
-    mine = rank[row[order]]
-    best = np.full(group[-1] + 1 if len(group) else 1, np.iinfo(np.int64).max)
-    np.minimum.at(best, group, mine)
-    return flat[mine > best[group]]
+    kind = np.cumsum(~same)
+    mine = rank[part[order]]
+    best = np.full(int(kind[-1]) + 1 if len(kind) else 1, np.iinfo(np.int64).max)
+    np.minimum.at(best, kind, mine)
+    return flat[mine > best[kind]]
 
 
 def _partly(rows: DataFrame, length: int) -> DataFrame:
@@ -218,55 +296,36 @@ def _portions(table: pa.Table, h: np.ndarray, rows: int) -> list[int]:
     return [int(e) for e in ends[np.append(part[1:] != part[:-1], True)]]
 
 
-def _fold_hash(stretch: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return A.span_hash(stretch, offs[:-1], offs[1:])
-
-
-def _with_fold(rows: DataFrame) -> DataFrame:
-    """Add the hash of the stretch, by which the last step finds it again in its text."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                buf, offs = A.utf8(batch.column(1))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(_fold_hash(buf, offs).view(np.int64))], names=[*batch.schema.names, "fold"]
-                )
-
-    return rows.mapInArrow(run, StructType(rows.schema.fields + [StructField("fold", LongType())]))
+def _by_window(rows: DataFrame, length: int) -> DataFrame:
+    """The same as ``_partly`` for hot anchors: one row per window, folded by a group of equal windows (128-bit hash)."""
 
+    def cut(batch):
+        buf, offs = A.utf8(batch.column(1))
+        many = np.maximum(0, np.diff(offs) - length + 1)
+        row = np.repeat(np.arange(len(many)), many)
+        i = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        at = offs[row] + i
+        w = np.stack([A.span_hash(x, at, at + length) for x in (buf, buf ^ np.uint8(0xA5))], axis=1)
+        ids, places, fold = (batch.column(c).take(pa.array(row)) for c in (2, 3, 4))
+        return pa.RecordBatch.from_arrays(
+            [A.ragged(w.reshape(-1).view(np.uint8), np.arange(len(row) + 1) * 16), ids, places, fold, pa.array(i.astype(np.int32))],
+            names=["w", "id", "at", "fold", "i"],
+        )
 
-def _by_window(rows: DataFrame, length: int) -> DataFrame:
-    """The same as ``_partly`` for hot anchors: one row per window, folded by a group of equal windows."""
+    windows = A.map_texts(rows, "stretch", cut, "w binary, id long, at long, fold long, i int")
+    best = windows.groupBy("w").agg(F.expr(_FIRST)).select("w", "p.id", "p.at")
+    held = windows.join(staged(best, "first-windows"), ["w", "id", "at"]).groupBy("id", "at", "fold").agg(F.collect_set("i").alias("held"))
 
-    def cut(batches):
-        for batch in batches:
-            h, stretch, ids, at, fold = (c.to_pylist() for c in batch.columns)
-            for r in range(batch.num_rows):
-                n = len(stretch[r]) - length + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h[r]] * n, pa.int64()), pa.array([stretch[r][i : i + length] for i in range(n)], pa.binary()),
-                     pa.array([ids[r]] * n, pa.int64()), pa.array([at[r]] * n, pa.int64()), pa.array([fold[r]] * n, pa.int64()),
-                     pa.array(np.arange(n, dtype=np.int32))],
-                    names=["h", "w", "id", "at", "fold", "i"],
-                )
-
-    windows = rows.mapInArrow(cut, "h long, w binary, id long, at long, fold long, i int")
-    best = staged(windows.groupBy("h", "w").agg(F.expr(_FIRST)), "first-windows")
-    later = windows.join(best, ["h", "w"]).where("id <> p.id OR at <> p.at").groupBy("id", "at", "fold")
-    gone = later.agg(F.sort_array(F.collect_list("i")).alias("i"))
-
-    def pack(batches):
-        for batch in batches:
-            lists = batch.column(3)
-            ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]) if len(lists) else np.zeros(1, int)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], A.ragged(np.asarray(lists.flatten()).astype(np.int32), ends)], names=["id", "at", "fold", "gone"]
-            )
+    def pack(batch):
+        out = []
+        for size, held in zip(np.diff(A.utf8(batch.column(0))[1]), batch.column(4).to_pylist()):
+            gone = np.ones(max(0, size - length + 1), dtype=bool)
+            gone[held or []] = False
+            out.append(np.flatnonzero(gone).astype(np.int32).tobytes())
+        return pa.RecordBatch.from_arrays([*batch.columns[1:4], pa.array(out, pa.binary())], names=["id", "at", "fold", "gone"])
 
-    some = gone.mapInArrow(pack, "id long, at long, fold long, gone binary")
-    none = rows.select("id", "at", "fold", F.unhex(F.lit("")).alias("gone"))
-    return some.unionByName(none.join(some.select("id", "at", "fold"), ["id", "at", "fold"], "left_anti"))
+    packed = rows.join(held, ["id", "at", "fold"], "left").select("stretch", "id", "at", "fold", "held")
+    return A.map_texts(packed, "stretch", pack, "id long, at long, fold long, gone binary")
 
 
 def _spans(buf, offs, lists: pa.Array, firsts: pa.Array, length: int) -> list[np.ndarray]:
@@ -274,24 +333,18 @@ def _spans(buf, offs, lists: pa.Array, firsts: pa.Array, length: int) -> list[np
     owner, place, value, first, last = anchors(buf, offs, length)
     own = _mine(lists, value, owner)
     owner, place, first, last = owner[own], place[own], first[own], last[own]
-    fold = A.span_hash(buf, first, last + length).view(np.int64)
+    fold = A.span_hash(buf, first, last + length)
     cover = np.zeros(len(buf) + 1, dtype=np.int64)
-    held = firsts.to_pylist()
-    maps: dict[int, dict] = {}
+    at, listed, gone = firsts.flatten().flatten()
+    row = np.repeat(np.arange(len(firsts)), np.asarray(firsts.value_lengths().fill_null(0)))
+    found, hit = _find(row, np.asarray(at), np.asarray(listed).view(np.uint64), owner, place - offs[owner], fold)
     whole = np.ones(len(owner), dtype=bool)
-    for r in np.unique(owner):
-        if held[r]:
-            maps[int(r)] = {(x["at"], x["fold"]): x["gone"] for x in held[r]}
-    for i, r in enumerate(owner.tolist()):
-        if r in maps:
-            gone = maps[r].get((int(place[i] - offs[r]), int(fold[i])))
-            if gone is not None:
-                whole[i] = False
-                starts = first[i] + np.frombuffer(gone, np.int32)
-                np.add.at(cover, starts, 1)
-                np.add.at(cover, starts + length, -1)
-    np.add.at(cover, first[whole], 1)
-    np.add.at(cover, last[whole] + length, -1)
+    whole[hit] = False
+    if len(hit):
+        raw, ends = A.utf8(gone.take(pa.array(found)))
+        starts = np.frombuffer(raw.tobytes(), np.int32) + np.repeat(first[hit], np.diff(ends) // 4)
+        cover += np.bincount(starts, minlength=len(cover)) - np.bincount(starts + length, minlength=len(cover))
+    cover += np.bincount(first[whole], minlength=len(cover)) - np.bincount(last[whole] + length, minlength=len(cover))
     covered = np.cumsum(cover[:-1]) > 0
     starts, ends = A._edges(covered, offs)
     at = np.searchsorted(starts, offs)
@@ -308,7 +361,7 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, length: int, hollow: bool
     plain = docs.toDF(*[f"d{i}" for i in range(len(names))])
     t = f"d{names.index(text)}"
     plain = plain.withColumn("id", F.coalesce(f"d{names.index(doc_id)}", F.lit(_NO_ID)))
-    rows = _anchor_rows(plain.select("id", F.col(t).alias("text")), length)
+    rows = staged(_anchor_rows(plain.select("id", F.col(t).alias("text")), length), "anchors")
     again = staged(rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")
     lists = rows.select("id", "h").join(again, "h").groupBy("id").agg(F.collect_set("h").alias("hs"))
     joined = plain.join(lists, "id", "left")
@@ -322,16 +375,19 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, length: int, hollow: bool
             }
         )
     joined = staged(joined, "candidates")
-    found = _stretches(joined.where("hs IS NOT NULL").select("id", F.col(t).alias("text"), "hs"), length)
-    folded = found.groupBy("h", "stretch").agg(F.expr(_FIRST)).select("h", "stretch", "p.id", "p.at")
-    folded = staged(_with_fold(folded), "stretches")
-    sizes = folded.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    many = folded.join(staged(sizes.where("n > 1"), "sizes"), "h", "left")
-    single = many.where("n IS NULL").select("id", "at", "fold", F.unhex(F.lit("")).alias("gone"))
-    some = many.where(F.col("n") <= MOST).repartition("h").sortWithinPartitions("h")
-    hot = many.where(F.col("n") > MOST)
-    keep = ["h", "stretch", "id", "at", "fold"]
-    firsts = single.unionByName(_partly(some.select(*keep), length)).unionByName(_by_window(hot.select(*keep), length))
+    some = joined.where("hs IS NOT NULL").select("id", F.col(t).alias("text"), "hs")
+    folds = _folds(some, length).groupBy("h", "fold").agg(F.expr(_FIRST)).select("h", "fold", "p.id", "p.at")
+    folds = staged(folds, "folds")
+    sizes = folds.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    folds = folds.join(staged(sizes.where("n > 1"), "sizes"), "h", "left")
+    single = folds.where("n IS NULL").select("id", "at", "fold", F.unhex(F.lit("")).alias("gone"))
+    want = F.collect_list(F.struct("at", "fold", "n")).alias("want")
+    wanted = folds.where("n IS NOT NULL").groupBy("id").agg(want)
+    several = staged(_stretches(some.join(wanted, "id").select("id", "text", "want"), length), "stretches")
+    # Groups of like size lie together: the suffix arrays of a batch advance in step.
+    cool = several.where(F.col("n") <= MOST).repartition("h").sortWithinPartitions("n", "h")
+    hot = several.where(F.col("n") > MOST)
+    firsts = single.unionByName(_partly(cool.select(*_KEEP), length)).unionByName(_by_window(hot.select(*_KEEP[:-1]), length))
     firsts = firsts.groupBy("id").agg(F.collect_list(F.struct("at", "fold", "gone")).alias("held"))
     return joined, firsts
 
