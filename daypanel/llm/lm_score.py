@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Count words and pairs over all of ``docs`` and build both models."""
     frequent = frequent_words(docs, text, classes)
     good = labels.where(F.col(label) == 1).select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(True))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(good, "id", "left")
+    # Labels may be as many as documents: they are merged by a shuffle at every size, never broadcast.
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(good.hint("merge"), "id", "left")
     counted = staged(pair_counts(rows.select("text", F.coalesce("good", F.lit(False)).alias("good")), frequent, classes), "pairs")
     size = 2 * classes + 1
     tables = {name: np.zeros(size * size) for name in ("target", "background")}
