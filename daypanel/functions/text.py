@@ -20,9 +20,11 @@ def num_comma(x: ColumnOrName) -> Column:
 
 
 def comma_text(x: ColumnOrName) -> Column:
-    """Number to plain decimal text with a decimal comma, without trailing zeros."""
-    plain = as_col(x).cast("decimal(38,12)").cast("string")
-    return F.translate(F.regexp_replace(plain, r"\.?0+$", ""), ".", ",")
+    """Number to text with a decimal comma, with all its digits; whole numbers without a fraction.
+
+    Large and small numbers keep their exponent (``1,5E-13``), so reading the text gives the same number.
+    """
+    return F.translate(F.regexp_replace(as_col(x).cast("string"), r"\.0$", ""), ".", ",")
 
 
 def replace_first(x: ColumnOrName, literal: str, replacement: str) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from daypanel.operators.reshape import q
 
 CELL = 0.2  # share of a neighbourhood above which a cell is cut
+MIN_NEAR = 4  # points in a neighbourhood that determine a weighted quadratic
 MARGIN = 0.005  # the outer vertices lie this share of the range outside the data
 
 
@@ -36,7 +37,7 @@ def _cells(n: Column, limit: Column, span: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), whole, halve)
 
 
-def _vertices(points: DataFrame, key: str, span: float) -> DataFrame:
+def _vertices(points: DataFrame, key: str, span: float, least: int) -> DataFrame:
     """One row per series: vertex positions with the distance to their ``n * span``-th nearest point.
 
     The sorted positions of one series are held as an array; a series is bounded by the calendar.
@@ -63,7 +64,7 @@ def _vertices(points: DataFrame, key: str, span: float) -> DataFrame:
             "near": F.least(F.col("n"), F.floor(F.col("n") * span + 1e-5).cast("int")),
             "limit": F.greatest(F.lit(1), F.floor(F.col("n") * span * CELL).cast("int")),
         }
-    ).where(F.col("near") >= 4)
+    ).where(F.col("near") >= least)
     placed = sized.withColumn("cells", _cells(F.col("n"), F.col("limit"), span)).withColumn(
         "at", F.concat(F.array(first - pad), cuts, F.array(last + pad))
     )
@@ -138,25 +139,25 @@ def _points(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     )
 
 
-def loess_fit(df: DataFrame, key: str, x: str, y: str, span: float, out: str = "fit") -> DataFrame:
+def loess_fit(df: DataFrame, key: str, x: str, y: str, span: float, out: str = "fit", least: int = MIN_NEAR) -> DataFrame:
     """Add the smoothed value to every row; ``x`` is a date or a number, one row per (key, x).
 
     Rows without ``y`` take no part in the fit but get a value inside the fitted range of their series.
-    Series with fewer than four points in a neighbourhood have no fit, nor has the surrounding of a vertex
+    Series with fewer than ``least`` points in a neighbourhood (a quadratic with weights needs four) have no fit, nor has the surrounding of a vertex
     at which fewer than three points carry weight.
     """
     points = _points(df, key, x, y)
-    fits = _vertex_fits(points, _vertices(points, key, span))
+    fits = _vertex_fits(points, _vertices(points, key, span, least))
     at = F.unix_date(q(x)) if dict(df.dtypes)[x] == "date" else q(x)
     rows = df.withColumns({"key": q(key), "x": at.cast("double")}) if key != "key" else df.withColumn("x", at.cast("double"))
     done = _evaluate(rows, fits, out)
     return done.drop(*[c for c in ("key", "x") if c not in df.columns]).select(*[q(c) for c in df.columns], q(out))
 
 
-def loess_grid(df: DataFrame, key: str, x: str, y: str, span: float, points: int = 80) -> DataFrame:
+def loess_grid(df: DataFrame, key: str, x: str, y: str, span: float, points: int = 80, least: int = MIN_NEAR) -> DataFrame:
     """The smoothed curve on evenly spaced positions over the range of each series, as it would be drawn."""
     pts = _points(df, key, x, y)
-    fits = _vertex_fits(pts, _vertices(pts, key, span))
+    fits = _vertex_fits(pts, _vertices(pts, key, span, least))
     ends = pts.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     grid = ends.select(

@@ -75,22 +75,16 @@ def pivot_declared(
 ) -> DataFrame:
     """Long to wide with the output columns declared up front, so no extra job looks for them.
 
-    A few columns are filled by conditional aggregates in one shuffle; many columns by Spark's pivot, whose
-    cost per row does not grow with them. ``unique=True`` raises when one cell would get two values.
+    A column is named by the text of its value, as ``str`` writes it. Spark's pivot costs the same per row
+    however many columns there are. ``unique=True`` raises when one cell would get two values.
     """
-    if len(values) > 16:
-        cell = F.first(q(value), ignorenulls=True)
-        if unique:
-            cell = F.when(F.count(F.lit(1)) > 1, _duplicate()).otherwise(cell)
-        return df.groupBy(*[q(n) for n in ids]).pivot(key, list(values)).agg(cell)
-    cells = []
-    for v in values:
-        here = q(key) == F.lit(v)
-        cell = F.first(F.when(here, q(value)), ignorenulls=True)
-        if unique:
-            cell = F.when(F.count(F.when(here, 1)) > 1, _duplicate()).otherwise(cell)
-        cells.append(cell.alias(str(v)))
-    return df.groupBy(*[q(n) for n in ids]).agg(*cells)
+    if len({str(v) for v in values}) < len(values):
+        raise ValueError("two pivot values have the same text")
+    cell = F.first(q(value), ignorenulls=True)
+    if unique:
+        cell = F.when(F.count(F.lit(1)) > 1, _duplicate()).otherwise(cell)
+    wide = df.groupBy(*[q(n) for n in ids]).pivot(key, list(values)).agg(cell)
+    return wide.toDF(*ids, *[str(v) for v in values])
 
 
 def _duplicate() -> Column:

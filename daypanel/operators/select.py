@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from daypanel.operators.reshape import q
+from daypanel.session import stage
 
 
 def top_k_ties(df: DataFrame, k: int, weight: str, largest: bool = True) -> DataFrame:
@@ -56,9 +57,10 @@ def last_per_group(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(q(key)).agg(last.alias("_last")).select(q(key), *[F.col("_last")[c].alias(c) for c in rest])
 
 
-def nth_last(df: DataFrame, key: str, n: int, order: str) -> DataFrame:
-    """The n-th last row of each group (one is the last); groups with fewer rows have none."""
-    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(q(key)).orderBy(q(order).desc())))
+def nth_last(df: DataFrame, key: str, n: int, order: str, tie: str | None = None) -> DataFrame:
+    """The n-th last row of each group (one is the last); groups with fewer rows have none; ``tie`` settles equal positions."""
+    by = [q(order).desc()] + ([q(tie).desc()] if tie else [])
+    numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(q(key)).orderBy(*by)))
     return numbered.where(F.col("_n") <= n).where(F.col("_n") == n).drop("_n")
 
 
@@ -66,43 +68,26 @@ def preview(df: DataFrame, n: int = 6) -> DataFrame:
     return df.limit(n)
 
 
-def global_row_number(
-    df: DataFrame, by: str, tie: str, out: str = "ordinal", descending: bool = False, slices: int = 128
-) -> DataFrame:
+def global_row_number(df: DataFrame, by: str, tie: str, out: str = "ordinal", descending: bool = False) -> DataFrame:
     """Position of every row in the whole sorted frame, from one; missing values come last.
 
-    The order is cut into slices at keys of a bounded hash sample, rows are numbered inside their slice
-    and shifted by the sizes of the slices before. No task holds more than about one slice, also when
-    most rows tie on ``by``, because the cuts are made on (by, tie). ``by`` must be numeric.
+    The frame is range-partitioned by (by, tie), sorted inside the partitions and written once, each row
+    with its partition and place; the sizes of the partitions before give the shift. There are as many
+    partitions as the session has for shuffles, so they grow with the cluster, also when most rows tie on ``by``.
     """
-    value = -q(by) if descending else q(by)
-    keyed = df.withColumn("_key", F.struct(q(by).isNull().alias("m"), value.alias("v"), q(tie).alias("t")))
-    per_cut = 16
-    sample = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(slices * per_cut)
-    cuts = sample.agg(
-        F.filter(F.array_sort(F.collect_list("_key")), lambda _, i: i % per_cut == per_cut - 1).alias("cuts")
-    )
-    sliced = keyed.withColumn("_cuts", cuts.scalar()).withColumn(
-        "_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0))
-    )
-    # At most slices + 1 rows, so the unpartitioned window and the broadcast are bounded.
-    before = (
-        sliced.groupBy("_slice")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(
-            "_slice",
-            F.coalesce(
-                F.sum("rows").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_before"),
-        )
-    )
-    inside = F.row_number().over(Window.partitionBy("_slice").orderBy("_key"))
-    return (
-        sliced.withColumn("_inside", inside)
-        .join(F.broadcast(before), "_slice")
-        .withColumn(out, (F.col("_before") + F.col("_inside")).cast("bigint"))
-        .drop("_key", "_cuts", "_slice", "_inside", "_before")
-    )
+    order = [q(by).isNull().asc(), q(by).desc() if descending else q(by).asc(), q(tie).asc()]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The id holds the partition above bit 33 and the place of the row below.
+    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = stage(placed.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    # One row per partition, so the unpartitioned window and the broadcast are bounded.
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    numbered = placed.withColumn("_part", part).join(F.broadcast(shift), "_part")
+    return numbered.withColumn(out, (F.col("_before") + place).cast("bigint")).drop("_at", "_part", "_before")
 
 
 def pick_regions(

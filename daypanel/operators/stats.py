@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -58,30 +58,63 @@ def trend_class(
     return fitted.withColumn("trend", cut_right(F.round("slope", 9), breaks, labels))
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
-    """Quartiles, whiskers within 1.5 interquartile ranges, and the sorted outliers of each group.
+def quantiles(df: DataFrame, keys: Sequence[str], y: str, shares: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of each group, one column per name of ``shares``, with the number of values as ``n``.
 
-    Meant for panel rows, whose groups are bounded by the calendar; quartiles are exact. The whisker
-    pass is a second aggregation joined on the group keys, so no group is held as an array but its outliers.
+    The group is sorted and counted by a window, which spills; only the two neighbours of each quantile
+    enter the sum, and the value between them is interpolated. Missing values do not count.
     """
-    values = df.where(q(y).isNotNull())
-    quartiles = values.groupBy(*keys).agg(
-        F.count(q(y)).alias("n"), F.percentile(q(y), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_p")
-    ).select(*keys, "n", F.col("_p")[0].alias("q1"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("q3"))
+    group = Window.partitionBy(*[q(k) for k in keys])
+    placed = df.where(q(y).isNotNull()).select(
+        *[q(k) for k in keys],
+        q(y).cast("double").alias("_y"),
+        F.row_number().over(group.orderBy(q(y))).alias("_i"),
+        F.count(F.lit(1)).over(group).alias("n"),
+    )
+    out = []
+    for name, share in shares.items():
+        at = (F.col("n") - 1) * F.lit(float(share))
+        low = F.floor(at) + 1
+        below, above = (F.max(F.when(F.col("_i") == i, F.col("_y"))) for i in (low, F.least(low + 1, F.col("n"))))
+        out.append((below + (above - below) * F.max(at - F.floor(at))).alias(name))
+    return placed.groupBy(*[q(k) for k in keys], "n").agg(*out)
+
+
+def box_outliers(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+    """The values beyond 1.5 interquartile ranges, one row each: keys and ``y``."""
+    return _boxed(df, keys, y).where(~F.col("_inside")).select(*[q(k) for k in keys], q(y))
+
+
+def _boxed(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+    quartiles = quantiles(df, keys, y, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = q(y).between(F.col("q1") - reach, F.col("q3") + reach)
+    return df.where(q(y).isNotNull()).join(quartiles, list(keys)).withColumn("_inside", inside)
+
+
+def box_stats(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+    """Quartiles, whiskers within 1.5 interquartile ranges, and the sorted outliers of each group for display.
+
+    The array of outliers is for groups that are drawn, such as panel rows, which the calendar bounds;
+    ``box_outliers`` gives them as rows.
+    """
     return (
-        values.join(quartiles, list(keys))
+        _boxed(df, keys, y)
         .groupBy(*keys, "n", "q1", "median", "q3")
         .agg(
-            F.min(F.when(inside, q(y))).alias("whisker_low"),
-            F.max(F.when(inside, q(y))).alias("whisker_high"),
-            F.array_sort(F.collect_list(F.when(~inside, q(y)))).alias("outliers"),
+            F.min(F.when(F.col("_inside"), q(y))).alias("whisker_low"),
+            F.max(F.when(F.col("_inside"), q(y))).alias("whisker_high"),
+            F.array_sort(F.collect_list(F.when(~F.col("_inside"), q(y)))).alias("outliers"),
         )
     )
 
 
 def order_by_aggregate(df: DataFrame, category: str, x: str, how: str = "median", out: str = "ord") -> DataFrame:
     """One row per category with its position when categories are ordered by median or maximum of ``x``."""
-    agg = {"median": F.percentile(q(x), F.lit(0.5)), "max": F.max(q(x))}[how]
-    return global_row_number(df.groupBy(q(category)).agg(agg.alias("level")), "level", category, out)
+    if how == "median":
+        levels = quantiles(df, [category], x, {"level": 0.5}).drop("n")
+        # A category without values has a missing level.
+        levels = df.select(q(category)).distinct().join(levels, category, "left")
+    else:
+        levels = df.groupBy(q(category)).agg(F.max(q(x)).alias("level"))
+    return global_row_number(levels, "level", category, out)

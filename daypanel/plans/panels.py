@@ -11,8 +11,8 @@ from daypanel.functions.missing import fill_zero, not_in_set
 from daypanel.functions.text import strip_chars
 from daypanel.operators.joins import join_natural, join_null_safe
 from daypanel.operators.metrics import PanelSpec, enrich_panel
-from daypanel.operators.reshape import q
-from daypanel.sources.files import range_to_long, wide_to_long
+from daypanel.operators.reshape import q, quoted
+from daypanel.sources.files import header_date, range_to_long
 
 # Id columns of a wide country file and the join key of the three files.
 COUNTRY_IDS = ("Province/State", "Country/Region", "Lat", "Long")
@@ -33,10 +33,35 @@ def join_measures(conf: DataFrame, dea: DataFrame, rec: DataFrame, natural: bool
     return join_null_safe(join_null_safe(conf, bare[0], COUNTRY_KEY), bare[1], COUNTRY_KEY)
 
 
+def join_wide(conf: DataFrame, dea: DataFrame, rec: DataFrame, natural: bool = False) -> DataFrame:
+    """Three wide files as (ids, date, conf, dea, rec): joined with one row per province, then unpivoted once.
+
+    The keys are those of ``join_measures``. The days are those of the first file; a day that another file
+    lacks is missing there.
+    """
+    ids = conf.columns[: len(COUNTRY_IDS)]
+    keys = ids if natural else ids[:2]
+    wide = conf.select(*[q(c) for c in ids], *[q(c).alias(f"conf {c}") for c in conf.columns[len(ids) :]])
+    for name, df in (("dea", dea), ("rec", rec)):
+        days = df.columns[len(ids) :]
+        right = df.select(*[q(c).alias(f"_{c}") for c in keys], *[q(c).alias(f"{name} {c}") for c in days])
+        same = [wide[quoted(c)].eqNullSafe(right[quoted(f"_{c}")]) for c in keys]
+        wide = wide.join(right, same, "left").drop(*[f"_{c}" for c in keys])
+    measures = {"conf": conf, "dea": dea, "rec": rec}
+    dated = {n: {header_date(c): c for c in df.columns[len(ids) :]} for n, df in measures.items()}
+    cells = []
+    for day in dated["conf"]:
+        shown = f"DATE'{day.isoformat()}'" if day else "CAST(NULL AS DATE)"
+        values = [
+            f"try_cast({quoted(f'{n} {dated[n][day]}')} AS DOUBLE) AS {n}" if day in dated[n] else f"CAST(NULL AS DOUBLE) AS {n}" for n in measures
+        ]
+        cells.append(f"struct({shown} AS date, {', '.join(values)})")
+    return wide.selectExpr(*[quoted(c) for c in ids], f"inline(array({', '.join(cells)}))")
+
+
 def country_panel(conf: DataFrame, dea: DataFrame, rec: DataFrame, natural: bool = False) -> DataFrame:
     """Three wide country files to the enriched country panel."""
-    long = [wide_to_long(df, 4, name) for df, name in ((conf, "conf"), (dea, "dea"), (rec, "rec"))]
-    return enrich_panel(join_measures(*long, natural=natural), PanelSpec(region="Country/Region"))
+    return enrich_panel(join_wide(conf, dea, rec, natural), PanelSpec(region="Country/Region"))
 
 
 def district_long(conf_rows: DataFrame, dea_rows: DataFrame, totals: Sequence[str] = DISTRICT_TOTALS) -> DataFrame:

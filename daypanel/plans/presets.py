@@ -2,21 +2,8 @@
 
 import datetime as dt
 
-# Regions always listed in the report, in the dashboard and in the trajectory chart.
+# Regions always listed in the report and in the trajectory chart.
 REPORT_REGIONS = ("Austria", "Netherlands", "Croatia", "Germany", "Sweden")
-DASHBOARD_REGIONS = ("Austria", "Netherlands", "Croatia", "Germany", "Sweden", "Italy")
 TRAJECTORY_REGIONS = ("Austria", "Korea, South", "Netherlands", "Croatia", "Germany", "Sweden", "Belgium")
 # Fixed value: a day with a change of counting method.
 OUTLIER_CELLS = (("China", dt.date(2020, 2, 13)),)
-# Page titles whose views are followed.
-TITLES_DE = (
-    "Stundung",
-    "Kurzarbeit",
-    "Corona",
-    "COVID-19-Pandemie_in_Deutschland",
-    "COVID-19",
-    "Mund-Nasen-Schutz_(Medizin)",
-    "Schulpflicht",
-)
-TITLES_EN = ("Elton_John", "Freddie_Mercury", "Donald_Trump", "Angela_Merkel", "Boris_Johnson", "Heiko_Maas")
-TITLES_HOLIDAYS = ("Weihnachten", "Karneval", "Ostern", "Pfingsten", "Christi_Himmelfahrt", "Fronleichnam")

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from daypanel.functions.dates import timestamp_ymd_hms
 from daypanel.functions.missing import cut_right, sum_or_zero, try_div
 from daypanel.functions.text import daily_per_100, implied_thousands, num, repair_thousands, replace_first
 from daypanel.operators.filters import exclude_cells, matching, positive, same_weekday, two_snapshots, within
@@ -182,9 +183,12 @@ def district_trend(panel: DataFrame, n: int = 10) -> DataFrame:
 
 
 def snapshot_trend(rows: DataFrame, district: str, y: str, stamp: str = "update", n: int = 10) -> DataFrame:
-    """Trend class per district over the last ``n`` snapshots; total rows are left out."""
-    kept = matching(rows, q(district), "esamt", keep=False)
-    return trend_class(kept, district, stamp, y, n)
+    """Trend class per district over the last ``n`` snapshots; total rows are left out.
+
+    Repeated rows count once, and of rows with equal stamps the higher values are the later ones.
+    """
+    kept = matching(rows.distinct(), q(district), "esamt", keep=False)
+    return trend_class(kept, district, stamp, y, n, tie=y)
 
 
 def district_extremes(panel: DataFrame, k: int = 10, largest: bool = True) -> DataFrame:
@@ -236,3 +240,15 @@ def page_views(responses: DataFrame, titles: DataFrame) -> DataFrame:
 
 def freshness(rows: DataFrame, stamp: str) -> DataFrame:
     return rows.agg(F.max(q(stamp)).alias("updated"))
+
+
+def dashboard_snapshot(rows: DataFrame, district: str, stamp: str, total: str = "gesamt") -> DataFrame:
+    """The districts of the latest snapshot of a prepared file, its stamps given as text, each with its share of the total row.
+
+    Adds ``updated``, the time of that snapshot. A snapshot without a total row has missing shares.
+    """
+    timed = rows.withColumn(stamp, timestamp_ymd_hms(q(stamp))).distinct()
+    last = timed.where(q(stamp) == timed.agg(F.max(q(stamp))).scalar())
+    sums = last.where(q(district) == total).agg(F.max("cumulated").alias("_total")).scalar()
+    kept = last.where(q(district) != total).withColumnRenamed(stamp, "updated")
+    return kept.withColumn("share", try_div("cumulated", sums))

@@ -25,16 +25,19 @@ def local_session(cpus: str | int = 8, app: str = "daypanel") -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for staged files, which every executor can reach; removed when the application ends.
+    """A new path for staged files, which every executor can reach; removed when the application ends.
 
     It lies under ``spark.checkpoint.dir``, or where that is unset under the warehouse, which is shared
     by contract. Both are resolved by the Hadoop file system of their scheme.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
+    # One folder for all that the application stages: it has to exist for its removal to be noted.
+    root = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str = "staged") -> DataFrame:

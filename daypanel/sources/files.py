@@ -7,16 +7,36 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import DataType, DecimalType, DoubleType, StructField, StructType
+from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, StringType, StructField, StructType
 
-from daypanel.operators.reshape import q, quoted
+from daypanel.operators.reshape import q, quoted, union_fill
 
-_DECIMAL = DecimalType(38, 12)
 
+def read_wide(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A wide panel: id columns, then one column per date. All text; only the header line is read ahead.
 
-def read_wide(spark: SparkSession, path: str) -> DataFrame:
-    """A wide panel: id columns, then one column per date. All text; only the header line is read ahead."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path)
+    The files share one header; reading a file whose header differs raises.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", False)
+    names = reader.csv(path).schema
+    return reader.schema(names).option("enforceSchema", False).csv(path)
+
+
+def read_wide_long(spark: SparkSession, path: str, ids: int, value: str) -> DataFrame:
+    """All wide files of a folder, whatever days each has, as (ids, date, value).
+
+    Files are grouped by their header line, each group is read by its own names, and the long frames are
+    put together by name. The header lines are fetched, one row per distinct header.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .text(path)
+        .where(F.col("_metadata.file_block_start") == 0)
+        .select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    )
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    return union_fill(*[wide_to_long(read_wide(spark, list(g.files)), ids, value) for g in groups])
 
 
 def header_date(name: str) -> dt.date | None:
@@ -48,28 +68,29 @@ def wide_to_long(df: DataFrame, ids: int | Sequence[str], value: str) -> DataFra
     return df.selectExpr(*[quoted(n) for n in names], f"inline(array({', '.join(cells)}))")
 
 
-def as_decimal_schema(schema: StructType) -> StructType:
-    """The schema with doubles as decimals, which the CSV parser reads by locale."""
+def as_text_schema(schema: StructType) -> StructType:
+    """The schema with fractional columns as text: no parser or carrier type takes digits off a number."""
 
     def kind(t: DataType) -> DataType:
-        return _DECIMAL if isinstance(t, DoubleType) else t
+        return StringType() if isinstance(t, (DoubleType, FloatType, DecimalType)) else t
 
     return StructType([StructField(f.name, kind(f.dataType), f.nullable) for f in schema])
 
 
-def to_doubles(df: DataFrame, schema: StructType) -> DataFrame:
-    wanted = {f.name: f.dataType for f in schema}
-    return df.select(*[q(c).cast(wanted[c]).alias(c) if c in wanted else q(c) for c in df.columns])
+def to_declared(df: DataFrame, schema: StructType) -> DataFrame:
+    """Fractional columns from decimal-comma text (``1.234,5``, ``1,5E-13``) to their declared type."""
+    wanted = {f.name: f.dataType for f in schema if isinstance(f.dataType, (DoubleType, FloatType, DecimalType))}
+    return df.select(*[F.translate(q(c), ",.", ".").try_cast(wanted[c]).alias(c) if c in wanted else q(c) for c in df.columns])
 
 
 def csv2_options(reader):
-    """Semicolon, decimal comma and thousands point, header line in every file."""
-    return reader.option("sep", ";").option("locale", "de-DE").option("header", True).option("enforceSchema", True)
+    """Semicolon-separated, with a header line in every file; columns by position."""
+    return reader.option("sep", ";").option("header", True).option("enforceSchema", True)
 
 
 def read_csv2(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
-    """European delimited text with a declared schema; doubles pass through a locale-aware decimal."""
-    return to_doubles(csv2_options(spark.read).schema(as_decimal_schema(schema)).csv(path), schema)
+    """European delimited text with a declared schema; fractional columns have a decimal comma."""
+    return to_declared(csv2_options(spark.read).schema(as_text_schema(schema)).csv(path), schema)
 
 
 def read_folder(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -77,9 +98,9 @@ def read_folder(spark: SparkSession, folder: str, schema: StructType) -> DataFra
 
     Sub-folders count too, so a folder written per day reads in one scan.
     """
-    reader = csv2_options(spark.read).option("recursiveFileLookup", True).schema(as_decimal_schema(schema))
+    reader = csv2_options(spark.read).option("recursiveFileLookup", True).schema(as_text_schema(schema))
     named = reader.csv(folder).select("*", F.col("_metadata.file_name").alias("file_name"))
-    return to_doubles(named, schema)
+    return to_declared(named, schema)
 
 
 def stamp(df: DataFrame, at: dt.datetime, name: str = "update") -> DataFrame:
@@ -94,8 +115,8 @@ def read_range(spark: SparkSession, path: str, skip: int, n_max: int, sep: str =
     """A range of each file: skip title lines, then a header line and at most ``n_max`` rows.
 
     Gives (file, row_idx, cells) with row zero the header, for ``promote_header`` or ``range_to_long``.
-    Lines are numbered within the first block of a file, where the range lies; Spark keeps only the first
-    lines of each file before the shuffle, so long files cost no more than short ones.
+    Lines are numbered in the order of the file, over all the splits it is read in; Spark keeps only the
+    first lines of each file and task before the shuffle, so long files send no more than short ones.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True)
@@ -106,9 +127,8 @@ def read_range(spark: SparkSession, path: str, skip: int, n_max: int, sep: str =
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("at"),
         )
-        .where(F.col("block") == 0)
     )
-    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("at")))
+    numbered = lines.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")))
     return numbered.where(F.col("line") <= skip + 1 + n_max).where(F.col("line") > skip).select(
         "file", (F.col("line") - skip - 1).cast("int").alias("row_idx"), F.split("value", sep, -1).alias("cells")
     )

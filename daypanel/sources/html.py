@@ -15,7 +15,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class _Tables(HTMLParser):
-    """Collects the cell texts of every table of one page; inner tables count as tables of their own."""
+    """Collects the cells of every table of one page; inner tables count as tables of their own."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -25,18 +25,16 @@ class _Tables(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "table":
-            self.open.append({"table": self.count, "row": -1, "cells": None, "text": None})
+            self.open.append({"table": self.count, "rows": [], "text": None, "cells": None})
             self.count += 1
         elif self.open and tag == "tr":
             self._end_row()
-            self.open[-1]["row"] += 1
             self.open[-1]["cells"] = []
         elif self.open and tag in ("td", "th") and self.open[-1]["cells"] is not None:
             self._end_cell()
+            spans = dict(attrs)
             self.open[-1]["text"] = []
-            span = dict(attrs).get("colspan") or ""
-            # A cell spans at most 1000 columns, the limit of the HTML standard.
-            self.open[-1]["span"] = min(max(int(span), 1), 1000) if span.isdecimal() else 1
+            self.open[-1]["span"] = [_span(spans.get(name)) for name in ("colspan", "rowspan")]
         elif self.open and tag == "br" and self.open[-1]["text"] is not None:
             self.open[-1]["text"].append(" ")
 
@@ -48,8 +46,7 @@ class _Tables(HTMLParser):
         elif tag == "tr":
             self._end_row()
         elif tag == "table":
-            self._end_row()
-            self.open.pop()
+            self._end_table()
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1]["text"] is not None:
@@ -58,22 +55,60 @@ class _Tables(HTMLParser):
     def close(self) -> None:
         super().close()
         while self.open:
-            self._end_row()
-            self.open.pop()
+            self._end_table()
 
     def _end_cell(self) -> None:
         top = self.open[-1]
         if top["text"] is not None:
-            top["cells"].extend([" ".join("".join(top["text"]).split())] * top["span"])
+            top["cells"].append((" ".join("".join(top["text"]).split()), *top["span"]))
             top["text"] = None
 
     def _end_row(self) -> None:
         top = self.open[-1]
         self._end_cell()
         if top["cells"] is not None:
-            self.done.append((top["table"], top["row"], top["cells"]))
+            top["rows"].append(top["cells"])
             top["cells"] = None
 
+    def _end_table(self) -> None:
+        self._end_row()
+        top = self.open.pop()
+        self.done += [(top["table"], i, cells) for i, cells in enumerate(_grid(top["rows"]))]
+
+
+def _span(text: str | None) -> int:
+    return max(1, int(text)) if text and text.isdecimal() else 1
+
+
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """Cells of each row by column: a cell fills all columns and rows it spans.
+
+    No row is wider than the table has cells, so a span far beyond the table adds none.
+    """
+    width = sum(map(len, rows))
+    out, hanging = [], {}
+    for row in rows:
+        cells: list[str] = []
+        below: dict[int, tuple[str, int]] = {}
+
+        def carried() -> None:
+            while len(cells) in hanging:
+                text, left = hanging[len(cells)]
+                if left > 1:
+                    below[len(cells)] = (text, left - 1)
+                cells.append(text)
+
+        for text, across, down in row:
+            carried()
+            for _ in range(min(across, max(1, width - len(cells)))):
+                if down > 1:
+                    below[len(cells)] = (text, down - 1)
+                cells.append(text)
+        carried()
+        hanging = below
+        out.append(cells)
+    return out
+
 
 @udtf(returnType="table_idx int, row_idx int, cells array<string>", useArrow=True)
 class html_tables:

@@ -4,40 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
-from daypanel.sources.files import as_decimal_schema, csv2_options, to_doubles
+from daypanel.operators.reshape import q, quoted
+from daypanel.sources.files import as_text_schema, csv2_options, to_declared
+
+#: Partition column of the table: the day of the stamp.
+_DAY = "_stamp_day"
 
 
 def stream_folder(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
     """The files of a csv2 folder as a stream, each new file once."""
-    reader = csv2_options(spark.readStream).option("recursiveFileLookup", True).schema(as_decimal_schema(schema))
+    reader = csv2_options(spark.readStream).option("recursiveFileLookup", True).schema(as_text_schema(schema))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return to_doubles(reader.csv(folder), schema)
+    return to_declared(reader.csv(folder), schema)
 
 
 def ingest_snapshots(stream: DataFrame, table: str, checkpoint: str, stamp: str = "update") -> StreamingQuery:
     """Append the rows a stream brings and the table lacks, then stop when no file is left.
 
     The table is its own memory: each batch is made distinct (combined map-side, so a row with very many
-    copies is no hot key) and compared with the earlier batches over the stamps it spans, which parquet
-    statistics narrow down. No watermark, so a late file is never dropped and no state grows. A batch
-    writes only its own folder, so a batch repeated after a failure replaces itself. One table belongs to
-    one checkpoint.
+    copies is no hot key) and compared with the earlier batches over the stamp days it holds. The table is
+    partitioned by that day, so a late file reads its own days and not the history between. No watermark, so
+    a late file is never dropped and no state grows. A batch is read once, writes only its own folder, and
+    so replaces itself when it is repeated after a failure. One table belongs to one checkpoint.
     """
-    columns = stream.columns
+    schema, columns = stream.schema, stream.columns
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.distinct()
+        rows = batch.distinct().withColumn(_DAY, F.to_date(q(stamp)))
         if batch_id > 0:
-            low, high = batch.agg(F.min(stamp), F.max(stamp)).first()
-            earlier = read_ingested(batch.sparkSession, table, with_batch=True).where(F.col("batch") < batch_id)
-            earlier = earlier.where(F.col(stamp).between(low, high) | F.col(stamp).isNull()).select(columns)
+            rows = rows.persist()
+            days = [r[0] for r in rows.select(_DAY).distinct().collect()]
+            earlier = read_ingested(batch.sparkSession, table, schema, with_batch=True).where(F.col("batch") < batch_id)
+            held = F.col(_DAY).isin([d for d in days if d is not None])
+            earlier = earlier.where(held | F.col(_DAY).isNull() if None in days else held).select(*[q(c) for c in columns])
             seen = earlier.toDF(*[f"_seen_{i}" for i in range(len(columns))])
-            same = [rows[f"`{c}`"].eqNullSafe(seen[f"_seen_{i}"]) for i, c in enumerate(columns)]
-            rows = rows.join(seen, on=same, how="left_anti")
-        rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+            same = [rows[quoted(c)].eqNullSafe(seen[f"_seen_{i}"]) for i, c in enumerate(columns)]
+            rows.join(seen, on=same, how="left_anti").write.mode("overwrite").partitionBy(_DAY).parquet(f"{table}/batch={batch_id}")
+            rows.unpersist()
+        else:
+            rows.write.mode("overwrite").partitionBy(_DAY).parquet(f"{table}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(append)
@@ -47,6 +55,10 @@ def ingest_snapshots(stream: DataFrame, table: str, checkpoint: str, stamp: str
     )
 
 
-def read_ingested(spark: SparkSession, table: str, with_batch: bool = False) -> DataFrame:
-    rows = spark.read.parquet(table)
-    return rows if with_batch else rows.drop("batch")
+def read_ingested(spark: SparkSession, table: str, schema: StructType, with_batch: bool = False) -> DataFrame:
+    """The rows of the table with the declared columns; an empty frame where no batch has been written yet."""
+    whole = StructType(list(schema.fields) + [StructField("batch", IntegerType()), StructField(_DAY, DateType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table)
+    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    rows = spark.read.schema(whole).parquet(table) if exists else spark.createDataFrame([], whole)
+    return rows if with_batch else rows.drop("batch", _DAY)

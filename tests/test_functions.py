@@ -101,7 +101,7 @@ def test_text(spark):
     assert one(spark, paste("x", F.lit("b")), None, "string") == "NA b"
 
 
-@pytest.mark.parametrize("value, want", [(1234.5, "1234,5"), (100.0, "100"), (0.0, "0"), (1e7, "10000000"), (-0.25, "-0,25"), (None, None)])
+@pytest.mark.parametrize("value, want", [(1234.5, "1234,5"), (100.0, "100"), (0.0, "0"), (1e7, "1,0E7"), (1e-13, "1,0E-13"), (1e27, "1,0E27"), (0.1234567890123456, "0,1234567890123456"), (1.2345678901234e-05, "1,2345678901234E-5"), (-0.25, "-0,25"), (None, None)])
 def test_comma_text(spark, value, want):
     assert one(spark, comma_text("x"), value) == want
 

@@ -100,7 +100,7 @@ def test_work_is_linear_in_the_points(spark):
     for n in (200, 3200):
         x = np.arange(float(n))
         pts = loess._points(frame(spark, {"a": (x, x)}), "region", "x", "y")
-        v = loess._vertices(pts, "key", 0.2)
+        v = loess._vertices(pts, "key", 0.2, loess.MIN_NEAR)
         sent = pts.join(v, "key").select(F.size(F.filter("vs", lambda p: F.abs(F.col("x") - p["at"]) < p["h"])).alias("m"))
         per_point.append(sent.agg(F.avg("m")).first()[0])
     assert max(per_point) < 14 and per_point[1] < per_point[0] * 1.5

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -127,14 +128,14 @@ def test_ordinals_with_a_hot_value(spark, descending):
     rnd = random.Random(7)
     data = [(f"k{i:05d}", 3.0 if i % 2 else (None if i % 97 == 0 else float(rnd.randint(0, 50)))) for i in range(3000)]
     df = spark.createDataFrame(data, "k string, v double").repartition(5)
-    got = {r["k"]: r["ordinal"] for r in select.global_row_number(df, "v", "k", descending=descending, slices=16).collect()}
+    got = {r["k"]: r["ordinal"] for r in select.global_row_number(df, "v", "k", descending=descending).collect()}
     want = sorted(data, key=lambda r: (r[1] is None, 0 if r[1] is None else (-r[1] if descending else r[1]), r[0]))
     assert got == {k: i for i, (k, _) in enumerate(want, 1)}
 
 
-def test_ordinal_slices_stay_small(spark):
+def test_ordinals_where_all_tie(spark):
     df = spark.range(20000).select(F.lit(1.0).alias("v"), F.col("id").alias("k"))
-    plan_rows = select.global_row_number(df, "v", "k", slices=20)
+    plan_rows = select.global_row_number(df, "v", "k")
     assert plan_rows.agg(F.max("ordinal"), F.countDistinct("ordinal")).first()[:] == (20000, 20000)
 
 
@@ -268,3 +269,25 @@ def test_row_order_does_not_matter(spark, rows):
     first = rows(enrich_panel(spark.createDataFrame(data, schema)))
     rnd.shuffle(data)
     assert rows(enrich_panel(spark.createDataFrame(data, schema).repartition(7))) == first
+
+
+@pytest.mark.parametrize("many", [2, 20])
+def test_pivot_names_do_not_depend_on_their_number(spark, many):
+    values = [1e10, 2.0, *[float(i) + 0.5 for i in range(many - 2)]]
+    df = spark.createDataFrame([("a", v, i) for i, v in enumerate(values)], "k string, v double, x int")
+    wide = reshape.pivot_declared(df, ["k"], "v", "x", values)
+    assert wide.columns == ["k", *map(str, values)]
+    assert wide.first()[1:] == tuple(range(many))
+
+
+def test_quantiles_are_those_of_numpy(spark):
+    rnd = random.Random(2)
+    data = [(k, None if rnd.random() < 0.1 else rnd.choice([1.0, 2.0, rnd.random()])) for k in "abc" for _ in range(rnd.randint(1, 30))]
+    df = spark.createDataFrame(data + [("d", None)], "k string, y double")
+    got = {r.k: r for r in stats.quantiles(df, ["k"], "y", {"lo": 0.25, "mid": 0.5, "hi": 0.9}).collect()}
+    for k in "abc":
+        ys = [y for g, y in data if g == k and y is not None]
+        assert got[k].n == len(ys)
+        assert [got[k].lo, got[k].mid, got[k].hi] == pytest.approx(list(np.quantile(ys, [0.25, 0.5, 0.9])))
+    outside = stats.box_outliers(df, ["k"], "y").count()
+    assert outside == sum(len(r.outliers) for r in stats.box_stats(df, ["k"], "y").collect())

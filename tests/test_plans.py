@@ -75,3 +75,14 @@ def test_no_pair_joins_and_python_only_for_pages(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
     assert ("Python" in text or "UDTF" in text) == (name == "html_tables_pages")
+
+
+def test_country_panel_joins_wide_and_unpivots_once(spark):
+    from daypanel.plans.panels import join_wide
+
+    ids = "`Province/State` string, `Country/Region` string, Lat double, Long double, `1/22/20` string, `1/23/20` string"
+    wide = [spark.createDataFrame([(None, "X", 1.0, 2.0, str(i), str(i))], ids) for i in range(3)]
+    lines = plan(join_wide(*wide)).split("\n")
+    generate = [i for i, x in enumerate(lines) if "Generate" in x]
+    joins = [i for i, x in enumerate(lines) if "Join" in x]
+    assert len(generate) == 1 and len(joins) == 2 and generate[0] < min(joins)

@@ -1,6 +1,7 @@
 """Readers and writers on small files written for the test."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,8 +132,11 @@ def test_snapshots_replace_their_day(spark, tmp_path, rows):
         base = f"{folder}/{fmt}"
         for day in (d1, d2, d1):
             sinks.write_snapshot(df, base, day, fmt)
-        reader = files.csv2_options(spark.read).schema(files.as_decimal_schema(df.schema)) if fmt == "csv2" else spark.read.schema(df.schema).option("header", True)
-        back = (reader.parquet if fmt == "parquet" else reader.csv)(base)
+        if fmt == "csv2":
+            back = files.read_csv2(spark, base, df.schema)
+        else:
+            reader = spark.read.schema(df.schema).option("header", True)
+            back = (reader.parquet if fmt == "parquet" else reader.csv)(base)
         assert rows(back.groupBy("snapshot", "k").agg(F.sum("x").cast("double"))) == [(d1, "A", 1.5), (d1, "B", None), (d2, "A", 1.5), (d2, "B", None)]
     with pytest.raises(ValueError):
         sinks.write_snapshot(df, folder, d1, "xlsx")
@@ -169,7 +173,7 @@ def test_stream_equals_batch(spark, tmp_path, rows):
         stream = ingest.stream_folder(spark, str(folder), SCHEMA, files_per_batch=1)
         ingest.ingest_snapshots(stream, table, checkpoint).awaitTermination()
         batch = files.read_folder(spark, str(folder), SCHEMA).drop("file_name").distinct()
-        got = rows(ingest.read_ingested(spark, table))
+        got = rows(ingest.read_ingested(spark, table, SCHEMA))
         assert got == rows(batch)
         return len(got)
 
@@ -180,3 +184,81 @@ def test_stream_equals_batch(spark, tmp_path, rows):
     write(folder / "c.csv", head + line.format(1, 20) + line.format(4, 1))
     assert run() == 5
     assert run() == 5
+
+
+def test_ingest_reads_the_touched_days_only(spark, tmp_path, rows):
+    table = str(tmp_path / "table")
+    assert rows(ingest.read_ingested(spark, table, SCHEMA)) == []
+    assert ingest.read_ingested(spark, table, SCHEMA).schema == SCHEMA
+    df = spark.createDataFrame([("K", 1.5, 1.0, dt.datetime(2020, 5, d, 9)) for d in (1, 2, 3)], SCHEMA)
+    df.withColumn(ingest._DAY, F.to_date("update")).write.partitionBy(ingest._DAY).parquet(f"{table}/batch=0")
+    one = ingest.read_ingested(spark, table, SCHEMA, with_batch=True).where(F.col(ingest._DAY).isin([dt.date(2020, 5, 2)]))
+    assert one.count() == 1 and "PartitionFilters: [isnotnull" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_range_over_several_splits(spark, tmp_path, rows):
+    lines = ["title", "Kreis;1;2"] + [f"k{i};{i};{i}" for i in range(200)]
+    write(tmp_path / "s" / "sheet.csv", "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = files.read_range(spark, str(tmp_path / "s"), skip=1, n_max=150)
+        assert got.rdd.getNumPartitions() >= 1
+        cells = sorted((r.row_idx, r.cells[0]) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert cells == [(0, "Kreis")] + [(i + 1, f"k{i}") for i in range(150)]
+
+
+def test_numbers_survive_a_european_file(spark, tmp_path):
+    values = [1e-13, 1e27, 1.2345678901234567e-05, 0.1234567890123456, 1234567890123456789012345678.5, -3.0, 0.0, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k int, x double")
+    sinks.write_snapshot(df, str(tmp_path / "out"), dt.date(2020, 5, 1), "csv2")
+    back = files.read_csv2(spark, str(tmp_path / "out"), df.schema)
+    assert {r.k: r.x for r in back.collect()} == dict(enumerate(values))
+    write(tmp_path / "de" / "x.csv", "k;x\n1;1.234,5\n2;1234567890123456789012345678,5\n3;abc\n")
+    got = {r.k: r.x for r in files.read_csv2(spark, str(tmp_path / "de"), df.schema).collect()}
+    assert got == {1: 1234.5, 2: 1234567890123456789012345678.5, 3: None}
+
+
+def test_wide_files_of_different_days(spark, tmp_path, rows):
+    write(tmp_path / "w" / "a.csv", "P,C,Lat,Long,1/22/20\n,X,1,2,5\n")
+    write(tmp_path / "w" / "b.csv", "P,C,Lat,Long,1/23/20,1/24/20\n,X,1,2,6,7\n")
+    got = rows(files.read_wide_long(spark, str(tmp_path / "w"), 4, "conf").select("date", "conf"))
+    assert got == [(dt.date(2020, 1, 22), 5.0), (dt.date(2020, 1, 23), 6.0), (dt.date(2020, 1, 24), 7.0)]
+    with pytest.raises(Exception):
+        files.read_wide(spark, [str(tmp_path / "w" / "a.csv"), str(tmp_path / "w" / "b.csv")]).collect()
+
+
+def test_spans_of_html_cells(spark, rows):
+    page = (
+        "<table><tr><td rowspan=2>x</td><td>1</td></tr><tr><td>2</td></tr>"
+        "<tr><td rowspan=3 colspan=2>y<td>3<tr><td>4</tr></table>"
+        "<table><tr><td colspan=5000>w</td></tr><tr><td>a<td>b</tr></table>"
+    )
+    got = [(t, r, list(c)) for _, t, r, c in rows(html.read_html_tables(spark.createDataFrame([(1, page)], "page_id int, html string")))]
+    assert got == [
+        (0, 0, ["x", "1"]), (0, 1, ["x", "2"]), (0, 2, ["y", "y", "3"]), (0, 3, ["y", "y", "4"]),
+        (1, 0, ["w", "w", "w"]), (1, 1, ["a", "b"]),
+    ]
+
+
+def test_scratch_folders_end_with_the_session(tmp_path):
+    import subprocess
+    import sys
+
+    code = (
+        "from daypanel.session import stage\n"
+        "from pyspark.sql import SparkSession\n"
+        "b = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false')\n"
+        "s = b.config('spark.checkpoint.dir', 'file://%s').getOrCreate()\n"
+        "assert stage(s.range(3)).count() == 3\n"
+        "s.stop()\n" % tmp_path
+    )
+    root = str(__import__("pathlib").Path(__file__).parents[1])
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=root, capture_output=True)
+    for _ in range(100):  # the JVM may outlive the process by a moment
+        if not list(tmp_path.glob("*/staged-*")):
+            break
+        time.sleep(0.2)
+    assert not list(tmp_path.glob("*/staged-*")) and not list(tmp_path.glob("local-*"))

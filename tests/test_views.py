@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from daypanel.plans import panels, presets, views
+from daypanel.plans import panels, views
 from daypanel.session import stage
 from workload import panels as P
 
@@ -29,7 +29,3 @@ def test_district_and_snapshot_reports(spark):
     for df in views.publish(views.snapshot_views(rows, P.DISTRICT, P.LAST_7, P.INCIDENCE, dt.date(2024, 1, 30))).values():
         assert df.count() > 0
 
-
-def test_presets_are_distinct():
-    assert set(presets.REPORT_REGIONS) < set(presets.DASHBOARD_REGIONS)
-    assert len(set(presets.TITLES_DE)) == len(presets.TITLES_DE)

@@ -109,6 +109,7 @@ def sql(key: str, body: str, extra: str = "") -> None:
 
 # Sources and sinks
 sql("scan_wide_unpivot", "SELECT province, region, lat, lon, date, conf FROM ev")
+sql("scan_wide_folder", "SELECT province, region, lat, lon, date, conf FROM ev")
 sql("scan_csv2", "SELECT * FROM he")
 CLEAN = "replace(replace(district, '-', ''), ' ', '')"
 sql("scan_folder_distinct", f"SELECT {CLEAN} AS district, cumulated, last7, incidence, \"update\", TIMESTAMP '2024-01-31 09:00:00' AS loaded FROM he")
@@ -135,7 +136,16 @@ sql("html_tables_pages", "SELECT page_id, CAST(len(regexp_extract_all(lower(html
 sql("json_items", "SELECT lang, article, day, views FROM views")
 sql("json_items_by_title", "SELECT lang, article, day, views FROM views WHERE lang = 'de' AND article IN ('click', 'view')")
 sql("pageviews", "SELECT article, day, views FROM views WHERE lang = 'en' AND article IN ('click', 'purchase')")
-sql("write_read_snapshot", "SELECT region, province, date, conf, dea, rec FROM ev")
+_SHARED = "SELECT region, province, date, conf, dea, rec, CASE WHEN conf <> 0 THEN dea / conf END * 1e-9 AS share FROM ev"
+sql("write_read_snapshot", _SHARED)
+sql("write_read_csv", _SHARED)
+sql("html_tables_rowspan", "SELECT c_custkey // 50 AS page_id, c_nationkey AS nation, c_name AS name FROM customer")
+sql(
+    "report_dashboard_snapshot",
+    f"""SELECT district, cumulated, last7, incidence, "update" AS updated,
+      cumulated / nullif((SELECT max(cumulated) FROM he WHERE district = 'Gesamtergebnis' AND "update" = (SELECT max("update") FROM he)), 0) AS share
+    FROM he WHERE district <> 'Gesamtergebnis' AND "update" = (SELECT max("update") FROM he)""",
+)
 sql("write_read_partition", "SELECT region, province, date, conf, dea, rec, DATE '2024-01-31' AS snapshot FROM ev")
 
 # Projection and reshape

@@ -98,6 +98,20 @@ def scan_wide_unpivot(spark, sf):
     return _plain(long).select("province", "region", num("lat").alias("lat"), num("lon").alias("lon"), "date", "conf")
 
 
+@query
+def scan_wide_folder(spark, sf):
+    """Two wide files of different days."""
+    folder = scratch_dir(spark, "wide-folder")
+    wide = P.country_wide(spark, sf, ("conf",))[0]
+    ids, days = wide.columns[:4], wide.columns[4:]
+    half = len(days) // 2
+    for name, part in (("a", days[:half]), ("b", days[half:])):
+        wide.select(*[q(c) for c in ids + part]).write.option("header", True).csv(f"{folder}/{name}")
+    return _plain(files.read_wide_long(spark, folder, 4, "conf")).select(
+        "province", "region", num("lat").alias("lat"), num("lon").alias("lon"), "date", "conf"
+    )
+
+
 def _snapshot_schema(spark):
     return spark.createDataFrame([], P.SNAPSHOT_SCHEMA).schema
 
@@ -192,6 +206,24 @@ def html_tables_drop_rows(spark, sf):
     return table.select("page_id", "row_idx", q("").alias("district"), num("letzte").alias("last7"))
 
 
+@query
+def html_tables_rowspan(spark, sf):
+    """Pages with one nation cell over all customers of the nation on the page."""
+    rows = P.table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("page_id"), "c_nationkey").agg(
+        F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("c")
+    )
+    cell = lambda c: F.concat(F.lit("<td>"), c["c_name"], F.lit("</td>"))
+    first = F.concat(F.lit("<tr><td rowspan="), F.size("c").cast("string"), F.lit(">"), F.col("c_nationkey").cast("string"), F.lit("</td>"))
+    others = F.transform(F.slice("c", 2, F.greatest(F.size("c") - 1, F.lit(1))), lambda c: F.concat(F.lit("<tr>"), cell(c), F.lit("</tr>")))
+    block = F.concat(first, cell(F.col("c")[0]), F.lit("</tr>"), F.array_join(F.when(F.size("c") > 1, others).otherwise(F.array()), ""))
+    blocks = rows.select("page_id", F.struct("c_nationkey", block.alias("tr")).alias("b")).groupBy("page_id").agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    body = F.array_join(F.transform("bs", lambda b: b["tr"]), "")
+    head = F.lit("<table><tr><th>Land<th>Name</tr>")
+    pages = blocks.select("page_id", F.concat(head, body, F.lit("</table>")).alias("html"))
+    table = reshape.promote_header(html.read_html_tables(pages), ["page_id", "table_idx"], ["Land", "Name"])
+    return table.select("page_id", F.col("Land").try_cast("int").alias("nation"), F.col("Name").alias("name"))
+
+
 @query
 def html_tables_pages(spark, sf):
     pages = P.table(spark, sf, "pages")
@@ -233,9 +265,17 @@ def json_items_by_title(spark, sf):
 def write_read_snapshot(spark, sf):
     folder = scratch_dir(spark, "panel")
     long = P.country_long(spark, sf).drop("Lat", "Long")
+    long = long.withColumn("share", try_div("dea", "conf") * F.lit(1e-9))
     sinks.write_snapshot(long, folder, P.AS_OF, "csv2")
-    back = files.read_csv2(spark, folder, long.schema)
-    return back.drop("snapshot")
+    return files.read_csv2(spark, folder, long.schema).drop("snapshot")
+
+
+@query
+def write_read_csv(spark, sf):
+    folder = scratch_dir(spark, "panel")
+    long = P.country_long(spark, sf).drop("Lat", "Long").withColumn("share", try_div("dea", "conf") * F.lit(1e-9))
+    sinks.write_snapshot(long, folder, P.AS_OF, "csv")
+    return spark.read.schema(long.schema).option("header", True).csv(folder).drop("snapshot")
 
 
 @query
@@ -251,10 +291,10 @@ def write_read_partition(spark, sf):
 @query
 def stream_snapshots(spark, sf):
     folder, base = _snapshot_folder(spark, sf), scratch_dir(spark, "ingest")
-    stream = ingest.stream_folder(spark, folder, _snapshot_schema(spark), files_per_batch=40)
+    stream = ingest.stream_folder(spark, folder, _snapshot_schema(spark), files_per_batch=12)
     run = ingest.ingest_snapshots(stream, f"{base}/table", f"{base}/checkpoint")
     run.awaitTermination()
-    return _plain(ingest.read_ingested(spark, f"{base}/table").withColumn(P.DISTRICT, strip_chars(q(P.DISTRICT), "- ")))
+    return _plain(ingest.read_ingested(spark, f"{base}/table", _snapshot_schema(spark)).withColumn(P.DISTRICT, strip_chars(q(P.DISTRICT), "- ")))
 
 
 # Projection and reshape
@@ -868,3 +908,17 @@ def pageviews(spark, sf):
 @query
 def freshness(spark, sf):
     return reports.freshness(P.district_snapshots(spark, sf), "update")
+
+
+@query
+def report_dashboard_snapshot(spark, sf):
+    """A prepared district file: decimal commas, stamps as text, a total row of another name."""
+    path = scratch_dir(spark, "dashboard")
+    rows = _plain(P.district_snapshots(spark, sf)).withColumns(
+        {
+            "district": F.when(F.col("district") == P.TOTAL, "gesamt").otherwise(F.col("district")),
+            "update": F.date_format("update", "yyyy-MM-dd HH:mm:ss"),
+        }
+    )
+    sinks.decimal_comma(rows).write.option("header", True).option("sep", ";").csv(path)
+    return reports.dashboard_snapshot(files.read_csv2(spark, path, rows.schema), "district", "update")
