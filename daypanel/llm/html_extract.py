@@ -286,10 +286,15 @@ def template_labels(source: str, mark: str) -> tuple[Page, np.ndarray]:
 def train(pages: DataFrame, html_column: str = "html", seed: int = 12) -> Model:
     """Fit on a bounded sample of the table and on the templates."""
     source = F.col(html_column)
-    sample = pages.select(source.alias("html")).where(source.contains("<article") & (F.length(source) < TRAIN_CHARS))
+    marked = pages.select(source.alias("html"), F.xxhash64(source).alias("key")).where(
+        source.contains("<article") & (F.length(source) < TRAIN_CHARS)
+    )
+    # The keys are picked in the cluster; only the pages they stand for are sent to the driver, each once.
+    keys = marked.select("key").distinct().orderBy("key").limit(TRAIN_PAGES)
+    sample = marked.join(F.broadcast(keys), "key").groupBy("key").agg(F.min("html").alias("html"))
     rng = random.Random(seed)
     found: list[tuple[Page, np.ndarray]] = []
-    for row in sample.orderBy(F.xxhash64("html"), "html").limit(TRAIN_PAGES).collect():
+    for row in sorted(sample.collect(), key=lambda r: r.key):
         page = parse(row.html)
         flag = article_labels(page)
         if flag is not None:
