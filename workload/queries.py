@@ -742,7 +742,7 @@ def enrich_district(spark, sf):
 
 @query
 def report_current(spark, sf):
-    """From three wide files to the current table of the top ten and the manual list."""
+    """From three wide frames, one column per day, to the current table of the top ten and the manual list."""
     panel = stage(pipelines.country_panel(*P.country_wide(spark, sf)), "panel")
     return reports.current_table(panel, select.pick_regions(panel, 10, manual=P.MANUAL))
 
