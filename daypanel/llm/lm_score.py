@@ -5,12 +5,20 @@ documents whose label marks them as good; the background model counts all docume
 the mean over its tokens of background loss less target loss, in nats: high where the target model predicts
 the text better than the background does.
 
-The vocabulary has ``2 * CLASSES`` symbols: the ``CLASSES`` most frequent words of the corpus each for
-itself, every other word in one of ``CLASSES`` classes by hash. So every word counts, and the two models
-have at most ``(2 * CLASSES + 1) ** 2`` pair counts whatever the corpus: a proven bound for what is collected
-and sent to the tasks. Words and pairs are counted over all documents, in tasks first, then by a shuffle.
+The vocabulary is every word of the corpus, each for itself, and no table of the models is gathered whole:
 
-Smoothing is interpolation with the symbol's own frequency, which is interpolated with the uniform
+1. Words are counted, in tasks first, then by a shuffle. The ``HEADS`` most frequent ones (more where the corpus
+   is so large that the next one would stand more than ``MOST`` times) are the heads. Counts of pairs of heads,
+   with all other words as one, are a small square table, which every task gets.
+2. Every occurrence of any other word travels once, with the word before it and the head after it, to the
+   bucket of its word. There all pairs that it is in are counted, and the losses that depend on them are
+   summed for each row. A word that is no head is less than one in ``HEADS`` of all, so no bucket is hot.
+3. The sums of a row from its buckets and from the heads are added.
+
+With ``classes`` the vocabulary is folded to ``2 * classes`` symbols first: the most frequent words each for itself,
+every other word in one of ``classes`` classes by hash.
+
+Smoothing is interpolation with the word's own frequency, which is interpolated with the uniform
 distribution. The background counts are scaled to the size of the target's, so the smoothing weighs the same in both.
 
 Defined results: a null, empty or blank text has no tokens, zero losses and score zero; repeated rows are
@@ -20,6 +28,8 @@ a target document both models are the background, and all scores are zero; an em
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +40,12 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from daypanel.llm import arrays as A
 from daypanel.llm.staging import staged
 
-CLASSES = 512
+HEADS = 512
+#: Occurrences of a word that is no head, at most, and tokens of a bucket.
+MOST = 8_000_000
+BUCKET = 2_000_000
+#: Buckets at least; sums leave a bucket once for each row that it holds a word of.
+LEAST = 128
 #: Weight of the pair estimate grows with the count of the first word: c / (c + PRIOR).
 PRIOR = 20.0
 UNIFORM = 0.01
@@ -53,113 +68,275 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return made.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(docs: DataFrame, text: str = "text", classes: int = CLASSES) -> np.ndarray:
-    """Hashes of the most frequent words, sorted; ties go to the lower hash."""
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(classes)
+def frequent_words(counts: DataFrame, most: int) -> np.ndarray:
+    """Hashes of the most frequent words of (word, n), sorted; ties go to the lower hash."""
+    top = counts.orderBy(F.desc("n"), "word").limit(most)
     return np.sort(np.array([r.word for r in top.collect()], dtype=np.int64).view(np.uint64))
 
 
-def symbols(words: np.ndarray, frequent: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """Symbol of each word: 1 .. classes for frequent ones, the classes after that by hash. 0 is the start of a text."""
-    rare = classes + 1 + (A.mix(words) % np.uint64(classes)).astype(np.int64)
-    if not len(frequent):
-        return rare
-    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
-    return np.where(frequent[at] == words, at + 1, rare)
+def _places(words: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Place of each word in the sorted list, counted from 1; 0 for a word that it lacks."""
+    if not len(listed):
+        return np.zeros(len(words), dtype=np.int64)
+    at = np.minimum(np.searchsorted(listed, words), len(listed) - 1)
+    return np.where(listed[at] == words, at + 1, 0)
 
 
-def _pairs(column: pa.Array, frequent: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(before, symbol, first): each token's symbol and the one before it, the start symbol for the first of a text."""
-    words, first = _tokens(column)
-    s = symbols(words, frequent, classes)
-    before = np.zeros_like(s)
-    before[1:] = s[:-1]
-    before[first[:-1][first[:-1] < len(s)]] = 0
-    return before, s, first
+def folded(words: np.ndarray, frequent: np.ndarray, classes: int) -> np.ndarray:
+    """Each word as the hash of its symbol: 1 .. classes for frequent ones, the classes after that by hash."""
+    place = _places(words, frequent)
+    rare = classes + 1 + (A.mix(words) % np.uint64(classes)).astype(np.int64)
+    return A.mix(np.where(place > 0, place, rare).astype(np.uint64))
 
 
-def pair_counts(rows: DataFrame, frequent: np.ndarray, classes: int = CLASSES) -> DataFrame:
-    """(pair, target, background) from (text, good): counts of each pair of symbols in the good and in all documents."""
-    size = 2 * classes + 1
+@dataclass
+class Vocabulary:
+    """What tasks need to read a text: the heads (sorted), and the words that make one symbol where it is folded."""
+
+    heads: np.ndarray
+    size: int
+    total: int
+    frequent: np.ndarray | None = None
+    classes: int | None = None
+
+    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, symbol, before, first): each token, its head (the number after the last head for others), and that of the one before."""
+        words, first = _tokens(column)
+        if self.classes is not None:
+            words = folded(words, self.frequent, self.classes)
+        place = _places(words, self.heads)
+        s = np.where(place > 0, place, len(self.heads) + 1)
+        before = np.zeros_like(s)
+        before[1:] = s[:-1]
+        before[first[:-1][first[:-1] < len(s)]] = 0
+        return words, s, before, first
+
+
+def vocabulary(rows: DataFrame, classes: int | None) -> Vocabulary:
+    counts = staged(word_counts(rows), "words")
+    size, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if classes is None:
+        return Vocabulary(frequent_words(counts, max(HEADS, total // MOST)), size, total)
+    frequent = frequent_words(counts, classes)
+    heads = np.sort(A.mix(np.arange(1, min(classes, HEADS) + 1, dtype=np.uint64)))
+    return Vocabulary(heads, 2 * classes, total, frequent, classes)
+
+
+def pair_counts(rows: DataFrame, vocab: Callable[[], Vocabulary]) -> DataFrame:
+    """(pair, target, background) from (text, good): counts of each pair of heads in the good and in all documents; other words are one."""
 
     def run(batch):
-        before, s, first = _pairs(batch.column(0), frequent, classes)
+        v = vocab()
+        _, s, before, first = v.read(batch.column(0))
         good = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-        pair, back, n = np.unique(before * size + s, return_inverse=True, return_counts=True)
+        pair, back, n = np.unique(before * (len(v.heads) + 2) + s, return_inverse=True, return_counts=True)
         return pa.RecordBatch.from_arrays(
             [pa.array(pair), pa.array(np.bincount(back, weights=good, minlength=len(pair)).astype(np.int64)), pa.array(n)],
             names=["pair", "target", "background"],
         )
 
-    made = A.map_texts(rows, "text", run, "pair long, target long, background long")
+    made = A.map_texts(rows.select("text", "good"), "text", run, "pair long, target long, background long")
     return made.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-@dataclass
-class Models:
-    """Log-probabilities of a symbol after another, as two square tables."""
-
-    frequent: np.ndarray
-    classes: int
-    target: np.ndarray
-    background: np.ndarray
+def _own(share: np.ndarray, size: int) -> np.ndarray:
+    """Probability of a word by itself, from its share of the tokens."""
+    return (1 - UNIFORM) * share + UNIFORM / size
 
 
 def log_probabilities(counts: np.ndarray, total: float) -> np.ndarray:
-    """Smoothed log-probabilities from a square table of pair counts, scaled to ``total`` tokens."""
+    """Smoothed log-probabilities from a square table of all pair counts, scaled to ``total`` tokens: the definition of a model."""
     size = len(counts)
     have = counts.sum()
     scaled = counts * (total / have) if have else counts
     # Symbols are 1 .. size - 1; nothing predicts the start.
-    one = scaled.sum(axis=0)
-    one = (1 - UNIFORM) * (one / total if have else np.append(0, np.full(size - 1, 1 / (size - 1)))) + UNIFORM / (size - 1)
+    one = _own(scaled.sum(axis=0) / total if have else np.append(0, np.full(size - 1, 1 / (size - 1))), size - 1)
     after = scaled.sum(axis=1)
     return np.log((scaled + PRIOR * one[None, :]) / (after + PRIOR)[:, None]).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", classes: int = CLASSES) -> Models:
-    """Count words and pairs over all of ``docs`` and build both models."""
-    frequent = frequent_words(docs, text, classes)
-    good = labels.where(F.col(label) == 1).select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(True))
-    # Labels may be as many as documents: they are merged by a shuffle at every size, never broadcast.
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(good.hint("merge"), "id", "left")
-    counted = staged(pair_counts(rows.select("text", F.coalesce("good", F.lit(False)).alias("good")), frequent, classes), "pairs")
-    size = 2 * classes + 1
-    tables = {name: np.zeros(size * size) for name in ("target", "background")}
+@dataclass
+class Heads:
+    """One model's share that depends on heads only."""
+
+    #: Loss of each head after each head or start; of another word after one, what depends on the first.
+    loss: np.ndarray
+    #: Probability of each head by itself.
+    own: np.ndarray
+    #: Factor of the counts.
+    scale: float
+
+
+@dataclass
+class Models:
+    vocab: Vocabulary
+    total: float
+    target: Heads
+    background: Heads
+    #: Without a target document both models are the background.
+    alike: bool
+
+
+def train(rows: DataFrame, classes: int | None = None) -> Models:
+    """Count words and pairs of heads over all of ``rows`` (text, good)."""
+    vocab = vocabulary(rows, classes)
+    n = len(vocab.heads) + 2
+    sent = rows.sparkSession.sparkContext.broadcast(vocab)
+    counted = staged(pair_counts(rows, lambda: sent.value), "pairs")
+    tables = {name: np.zeros(n * n) for name in ("target", "background")}
     for part in counted.select("pair", *tables).toArrow().to_batches():
         at = part.column(0).to_numpy()
         for i, name in enumerate(tables, 1):
             tables[name][at] = part.column(i).to_numpy()
-    target, background = (tables[name].reshape(size, size) for name in tables)
-    if not target.any():
+    target, background = (tables[name].reshape(n, n) for name in tables)
+    alike = not target.any()
+    if alike:
         target = background
     total = float(max(1, target.sum()))
-    return Models(frequent, classes, log_probabilities(target, total), log_probabilities(background, total))
 
+    def heads(counts):
+        scale = total / max(1.0, counts.sum())
+        own = _own(counts.sum(axis=0) * scale / total, max(1, vocab.size))
+        loss = np.repeat(np.log(counts.sum(axis=1) * scale + PRIOR)[:, None], n, axis=1)
+        loss[:, : n - 1] -= np.log(counts * scale + PRIOR * own[None, :])[:, : n - 1]
+        loss[n - 1] = 0
+        return Heads(loss, own, scale)
+
+    return Models(vocab, total, heads(target), heads(background), alike)
+
+
+def _of_heads(rows: DataFrame, models: Callable[[], Models], schema: StructType) -> DataFrame:
+    """(row, doc_id, n, target, background): tokens of each row, and its losses as far as they depend on heads only."""
 
-def losses(column: pa.Array, models: Models) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, target loss, background loss) of each text, summed over its tokens."""
-    before, s, first = _pairs(column, models.frequent, models.classes)
+    def run(batch):
+        m = models()
+        _, s, before, first = m.vocab.read(batch.column(2))
+        sums = []
+        for model in (m.target, m.background):
+            total = np.concatenate([[0.0], np.cumsum(model.loss[before, s])])
+            sums.append(pa.array(total[first[1:]] - total[first[:-1]]))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), *sums], names=schema.names)
+
+    return A.map_texts(rows.select("row", "doc_id", "text"), "text", run, schema)
+
+
+_PACKED = ["bucket", "rows", "words", "many", "before", "after", "at"]
+
+
+def _occurrences(rows: DataFrame, models: Callable[[], Models], buckets: int) -> DataFrame:
+    """The occurrences of words that are no heads, packed by piece of the texts and bucket.
+
+    ``rows`` are the rows of the piece, doubled, plus one for good ones; ``words`` the different words and
+    ``many`` how often each occurs; then for each occurrence the word before (a head by its number), the head
+    after (0 for another word, the number after the last head for none) and the index of its row.
+    """
+
+    def run(batch):
+        vocab = models().vocab
+        words, s, before, first = vocab.read(batch.column(2))
+        rest = len(vocab.heads) + 1
+        code = np.where(s == rest, words, s.astype(np.uint64))
+        own = np.flatnonzero(s == rest)
+        own = own[np.argsort(words[own], kind="stable")]
+        last = np.zeros(len(s) + 1, dtype=bool)
+        last[first[1:][first[1:] > 0] - 1] = True
+        last = last[: len(s)]
+        after = np.append(s[1:], 0)
+        after = np.where(last, rest, np.where(after == rest, 0, after))[own]
+        w = words[own]
+        new = np.flatnonzero(np.append(True, w[1:] != w[:-1])[: len(w)])
+        bucket = ((w >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(w)])
+        ends = np.append(heads, len(w))
+        cut = np.searchsorted(new, ends)
+        prior = np.where(before[own] == 0, np.uint64(0), code[np.maximum(own - 1, 0)])
+        small = lambda x, most: x.astype(np.uint16 if most < 1 << 16 else np.int32)
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(first))[own]
+        marked = batch.column(0).to_numpy() * 2 + batch.column(3).to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[heads].astype(np.int32)),
+                pa.array([marked.astype(np.int64).tobytes()] * len(heads), pa.binary()),
+                A.ragged(w[new], cut),
+                A.ragged(np.diff(np.append(new, len(w))).astype(np.int32), cut),
+                A.ragged(prior, ends),
+                A.ragged(small(after, rest), ends),
+                A.ragged(small(doc, batch.num_rows), ends),
+            ],
+            names=_PACKED,
+        )
+
+    kinds = ["int"] + ["binary"] * (len(_PACKED) - 1)
+    packed = rows.select("row", "doc_id", "text", "good")
+    return A.map_texts(packed, "text", run, ", ".join(f"{c} {k}" for c, k in zip(_PACKED, kinds)))
+
+
+def _solve(table: pa.Table, m: Models) -> pa.Table:
+    """(row, target, background): losses summed by row over the occurrences of a bucket."""
+
+    def flat(name, kind=None):
+        parts = [(A.utf8(chunk)) for chunk in table[name].chunks]
+        sizes = np.concatenate([np.diff(offs) for _, offs in parts])
+        if kind is None:  # two or four bytes for an occurrence
+            width = sizes // np.maximum(1, many_of)
+            pick = [np.frombuffer(v, np.uint16 if k == 2 else np.int32) for v, k in zip(table[name].to_pylist(), width)]
+            return np.concatenate(pick).astype(np.int64)
+        return np.concatenate([np.ascontiguousarray(buf).view(kind) for buf, _ in parts]), sizes // np.dtype(kind).itemsize
+
+    marked, rows_of = flat("rows", np.int64)
+    words, _ = flat("words", np.uint64)
+    many, _ = flat("many", np.int32)
+    before, many_of = flat("before", np.uint64)
+    after, at = flat("after"), flat("at")
+    doc = at + np.repeat(np.cumsum(rows_of) - rows_of, many_of)
+    good = (marked & 1).astype(np.float64)[doc]
+    if m.alike:
+        good[:] = 1.0
+    rest = len(m.vocab.heads) + 1
+    _, word = np.unique(words, return_inverse=True)
+    word = np.repeat(word, many)
+
+    def counts(group, n):
+        return np.bincount(group, weights=good, minlength=n), np.bincount(group, minlength=n)
+
+    own = counts(word, int(word.max()) + 1)
+    goes_on = np.flatnonzero(after != rest)
+    follow = np.bincount(word[goes_on], weights=good[goes_on], minlength=len(own[0])), np.bincount(word[goes_on], minlength=len(own[0]))
+    _, pair = np.unique(A.mix(before + A.mix(word.astype(np.uint64) + np.uint64(1))), return_inverse=True)
+    pairs = counts(pair, int(pair.max()) + 1)
+    head = np.flatnonzero((after > 0) & (after != rest))
+    _, then = np.unique(word[head] * (rest + 1) + after[head], return_inverse=True)
+    thens = np.bincount(then, weights=good[head]), np.bincount(then)
     sums = []
-    for table in (models.target, models.background):
-        total = np.concatenate([[0.0], np.cumsum(-table[before, s].astype(np.float64))])
-        sums.append(total[first[1:]] - total[first[:-1]])
-    return np.diff(first), *sums
+    for i, model in enumerate((m.target, m.background)):
+        loss = -np.log(pairs[i][pair] * model.scale + PRIOR * _own(own[i] * model.scale / m.total, m.vocab.size)[word])
+        loss[goes_on] += np.log(follow[i] * model.scale + PRIOR)[word[goes_on]]
+        loss[head] -= np.log(thens[i][then] * model.scale + PRIOR * model.own[after[head]])
+        sums.append(np.bincount(doc, weights=loss, minlength=len(marked)))
+    seen = np.flatnonzero(np.bincount(doc, minlength=len(marked)))
+    return pa.table({"row": pa.array(marked[seen] >> 1), "target": pa.array(sums[0][seen]), "background": pa.array(sums[1][seen])})
 
 
-def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", classes: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score): mean losses a token and their difference."""
     spark = docs.sparkSession
-    models = spark.sparkContext.broadcast(train(docs, labels, doc_id, text, classes=classes))
+    good = labels.where(F.col(label) == 1).select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(True))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # Labels may be as many as documents: they are merged by a shuffle at every size, never broadcast.
+    rows = rows.join(good.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    # The number of a row is written with it, so that it stays the same wherever the row is read.
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    models = spark.sparkContext.broadcast(train(rows, classes))
+    total = models.value.vocab.total
+    buckets = max(LEAST, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET))
     schema = StructType(
-        [StructField("doc_id", docs.schema[doc_id].dataType), StructField("n_tokens", LongType())]
-        + [StructField(c, DoubleType()) for c in ("target_loss", "background_loss", "score")]
+        [StructField("row", LongType()), StructField("doc_id", docs.schema[doc_id].dataType), StructField("n", LongType())]
+        + [StructField(c, DoubleType()) for c in ("target", "background")]
     )
-
-    def run(batch):
-        n, target, background = losses(batch.column(1), models.value)
-        mean = lambda x: np.round(x / np.maximum(1, n), 9)
-        found = [mean(target), mean(background), mean(background - target)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *map(pa.array, found)], names=schema.names)
-
-    return A.map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", run, schema)
+    rest = _occurrences(rows, lambda: models.value, buckets).groupBy("bucket").applyInArrow(
+        lambda table: _solve(table, models.value), "row long, target double, background double"
+    )
+    both = _of_heads(rows, lambda: models.value, schema).unionByName(rest, allowMissingColumns=True)
+    sums = both.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.sum("n").alias("n"), F.sum("target").alias("t"), F.sum("background").alias("b"))
+    mean = lambda x: F.round(x / F.greatest("n", F.lit(1)), 9)
+    return sums.select("doc_id", F.col("n").alias("n_tokens"), mean(F.col("t")).alias("target_loss"), mean(F.col("b")).alias("background_loss"), mean(F.col("b") - F.col("t")).alias("score"))

@@ -75,3 +75,39 @@ def test_edge_cases(spark, frame):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in L.scores(docs, none).collect()] == [0.0, 0.0]
     assert L.scores(docs.limit(0), none).collect() == []
+
+
+def brute_whole(docs, good):
+    """Both models by dictionaries over the words themselves."""
+    tokens = [["", *WORD.findall(t or "")] for _, t in docs]
+    counts = [Counter(p for (d, _), ws in zip(docs, tokens) if all_ or d in good for p in zip(ws, ws[1:])) for all_ in (False, True)]
+    total, size = sum(counts[0].values()), len({w for ws in tokens for w in ws[1:]})
+    out = []
+    models = []
+    for c in counts:
+        one, after = Counter(), Counter()
+        for (a, b), n in c.items():
+            one[b] += n * total / sum(c.values())
+            after[a] += n * total / sum(c.values())
+        models.append((c, total / sum(c.values()), one, after))
+    for (d, _), ws in zip(docs, tokens):
+        loss = []
+        for c, scale, one, after in models:
+            p = lambda a, b: (c[a, b] * scale + L.PRIOR * ((1 - L.UNIFORM) * one[b] / total + L.UNIFORM / size)) / (after[a] + L.PRIOR)
+            loss.append(-sum(math.log(p(a, b)) for a, b in zip(ws, ws[1:])) / max(1, len(ws) - 1))
+        out.append((str(d), len(ws) - 1, loss[0], loss[1], loss[1] - loss[0]))
+    return sorted(out)
+
+
+def test_every_word_counts_for_itself(spark, frame):
+    """Far more words than heads, nulls and repeated rows."""
+    rng = random.Random(11)
+    word = lambda: f"w{int(rng.paretovariate(0.15)) % 5000}"
+    docs = [(i, " ".join(word() for _ in range(rng.choice([0, 1, 2, 60, 300])))) for i in range(80)]
+    docs += [(90, None), (91, " \n"), (None, "w1 w2 w2999"), (1, docs[1][1]), (92, "w7 " * 900), (None, docs[5][1])]
+    assert len({w for _, t in docs for w in WORD.findall(t or "")}) > 2 * L.HEADS
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int")
+    got = sorted(tuple([str(r.doc_id), *r[1:]]) for r in L.scores(frame(docs), labels).collect())
+    want = brute_whole(docs, {i for i in range(80) if i % 4 == 0})
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-8)
