@@ -11,8 +11,10 @@ A window shares with an item no more weight than its shingles known to the bench
 whose known weight is below the threshold times the lightest item of its size is not fingerprinted. That
 bound is exact; it keeps the work at the text's size plus its suspicious stretches.
 
-The benchmark is split into parts of at most ``PART_WORDS`` words; each part is broadcast to the tasks in
-turn, so its size is bounded whatever the benchmark's.
+The benchmark is split into parts of at most ``PART_WORDS`` words, in the order of ids and texts; each part is
+sent to the tasks in turn. Rarity is that in the whole benchmark, also for shingles of a window that only other
+parts have: shingles are counted over all items first, and every task gets those that several items share
+(16 bytes each). All others weigh the same, so the cut into parts changes no similarity.
 
 Defined results: null, empty and blank texts and items match nothing; an item of fewer than five words is
 one shingle of all its words and is found where those words stand in a row; repeated rows are judged row by
@@ -22,6 +24,7 @@ row; of repeated items each is reported; an empty table gives an empty table; ot
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,22 +46,35 @@ PART_WORDS = 200_000
 _SLICE = 20_000
 
 
+@dataclass
+class Rarity:
+    """Number of items of the whole benchmark, and the sorted shingles that several of them share, with their weights."""
+
+    items: int
+    shingles: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, items: int, shingles: np.ndarray, count: np.ndarray) -> Rarity:
+        """From sorted shingles and the number of items that hold each."""
+        shared = count > 1
+        return cls(items, shingles[shared], np.log(1 + items / count[shared]))
+
+
 class Items:
     """Shingles, weights, fingerprints and the block index of a part of the benchmark."""
 
-    def __init__(self, ids: Sequence[int], texts: Sequence[str], weights: dict[int, float] | None = None):
+    def __init__(self, ids: Sequence[int], texts: Sequence[str], rarity: Rarity | None = None):
         buf, offs = A.utf8(pa.array(texts, pa.string()))
         starts, ends, first = A.words(buf, offs)
-        hashes = A.span_hash(buf, starts, ends)
         self.ids = np.asarray(ids, dtype=np.int64)
         self.words = np.diff(first)
-        # Items of fewer words than a shingle are looked up as shingles of their own length.
-        self.widths = np.minimum(self.words, SHINGLE)
-        self.lists = [_runs(hashes[a:b], w) for a, b, w in zip(first[:-1], first[1:], self.widths)]
+        self.widths, self.lists = _shingles(A.span_hash(buf, starts, ends), first)
         flat = np.concatenate([np.unique(x) for x in self.lists]) if self.lists else np.zeros(0, np.uint64)
         self.known, count = np.unique(flat, return_counts=True)
-        self.weight = np.log(1 + len(texts) / count) if weights is None else np.array([weights[int(k)] for k in self.known])
-        self.unknown = float(np.log(1 + len(texts)))
+        self.rarity = Rarity.of(len(texts), self.known, count) if rarity is None else rarity
+        self.unknown = float(np.log(1 + self.rarity.items))
+        self.weight = self.weights_of(self.known)
         self.prints = np.array([self.fingerprint(x) for x in self.lists], dtype=np.uint64)
         holder = np.repeat(np.arange(len(self.lists)), [len(np.unique(x)) for x in self.lists])
         order = np.argsort(flat, kind="stable")
@@ -68,10 +84,11 @@ class Items:
 
     def weights_of(self, shingles: np.ndarray) -> np.ndarray:
         """Rarity in the benchmark; a shingle that it lacks weighs as one that it has once."""
-        if not len(self.known):
+        shared = self.rarity.shingles
+        if not len(shared):
             return np.full(len(shingles), self.unknown)
-        at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.weight[at], self.unknown)
+        at = np.minimum(np.searchsorted(shared, shingles), len(shared) - 1)
+        return np.where(shared[at] == shingles, self.rarity.weights[at], self.unknown)
 
     def fingerprint(self, shingles: np.ndarray) -> np.uint64:
         return _pack((_signs(shingles) * self.weights_of(shingles)[:, None]).sum(axis=0)[None])[0]
@@ -117,6 +134,12 @@ def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
     return A.window_hash(hashes, int(width)) + np.uint64(width) if width else np.zeros(0, np.uint64)
 
 
+def _shingles(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Shingle width and shingles of each item; one of fewer words than a shingle is a shingle of its own length."""
+    widths = np.minimum(np.diff(first), SHINGLE)
+    return widths, [_runs(hashes[a:b], w) for a, b, w in zip(first[:-1], first[1:], widths)]
+
+
 def _signs(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for each bit of each shingle hash."""
     spread = A.mix(shingles ^ np.uint64(0x5851F42D4C957F2D))
@@ -218,11 +241,28 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return out
 
 
+def rarity(benchmark: DataFrame, text: str) -> Rarity:
+    """Counted over the whole benchmark, by a shuffle."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        buf, offs = A.utf8(batch.column(0))
+        starts, ends, first = A.words(buf, offs)
+        _, lists = _shingles(A.span_hash(buf, starts, ends), first)
+        shingle, n = np.unique(np.concatenate([np.unique(x) for x in lists]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    made = A.map_texts(benchmark.select(F.col(text).alias("text")), "text", run, "shingle long, n long")
+    found = made.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    shingle, n = found["shingle"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(shingle)
+    return Rarity.of(benchmark.count(), shingle[order], n[order])
+
+
 def _parts(benchmark: DataFrame, item_id: str, text: str):
     """The benchmark as lists of (ids, texts), each of at most ``PART_WORDS`` words (or one item)."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     ids, texts, size = [], [], 0
-    for row in rows.toLocalIterator():
+    for row in rows.orderBy("i", "t").toLocalIterator():
         n = row.t.count(" ") + row.t.count("\n") + 1
         if ids and size + n > PART_WORDS:
             yield ids, texts
@@ -253,18 +293,19 @@ def contaminated(
     )
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = None
+    weights = rows.sparkSession.sparkContext.broadcast(rarity(benchmark, item_text))
     for ids, texts in _parts(benchmark, item_id, item_text):
-        part = A.map_texts(rows, "text", _finder(ids, texts, threshold, schema.names), schema)
+        part = A.map_texts(rows, "text", _finder(ids, texts, weights, threshold, schema.names), schema)
         out = part if out is None else out.unionByName(part)
     return rows.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def _finder(ids, texts, threshold, names):
+def _finder(ids, texts, weights, threshold, names):
     built: list[Items] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not built:
-            built.append(Items(ids, texts))
+            built.append(Items(ids, texts, weights.value))
         items = built[0]
         buf, offs = A.utf8(batch.column(batch.num_columns - 1))
         starts, ends, first = A.words(buf, offs)
@@ -300,8 +341,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     out = docs.toDF(*own)
     t = own[names.index(text)]
     schema = StructType([StructField(o, docs.schema[c].dataType) for o, c in zip(own, names)])
+    weights = docs.sparkSession.sparkContext.broadcast(rarity(benchmark, "text"))
     for ids, texts in _parts(benchmark, "item_id", "text"):
-        find = _finder(ids, texts, THRESHOLD, ["row", "item_id", "similarity", "word"])
+        find = _finder(ids, texts, weights, THRESHOLD, ["row", "item_id", "similarity", "word"])
 
         def run(batch, find=find):
             at = batch.schema.get_field_index(t)

@@ -97,3 +97,25 @@ def test_clean_keeps_rows_and_columns(spark, frame, data):
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(d) for d, t in docs if not (str(d) in bad and not (d == 500 and t is None)))
     assert D.contaminated(frame(docs), table.limit(0)).collect() == [] and D.contaminated(frame(docs).limit(0), table).collect() == []
+
+
+@pytest.mark.parametrize("words", [60, 400])
+def test_cut_into_parts_changes_no_similarity(spark, frame, monkeypatch, words):
+    """Items that share a template, so that the weights of a part are not those of the benchmark."""
+    rng = random.Random(4)
+    some = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    templates = [some(14) for _ in range(3)]
+    bench = [(i, " ".join(templates[i % 3] + some(8) + templates[(i + 1) % 3][:9])) for i in range(24)]
+    docs = []
+    for i in range(60):
+        own = WORD.findall(bench[i % 24][1])
+        own[rng.choice([0, 15, 18, len(own) - 1])] = "changed"
+        docs.append((i, " ".join(some(5) + own + templates[rng.randrange(3)])))
+    table = spark.createDataFrame(bench, "item_id long, text string").repartition(3)
+    want = brute(docs, bench)
+    assert want
+    monkeypatch.setattr(D, "PART_WORDS", words)
+    got = [(str(r.doc_id), r.item_id, round(r.similarity, 9)) for r in D.contaminated(frame(docs), table).collect()]
+    assert sorted(got) == want
+    bad = {d for d, _, _ in want}
+    assert sorted(str(r.doc_id) for r in D.clean(frame(docs), table).collect()) == sorted(str(d) for d, _ in docs if str(d) not in bad)
