@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from daypanel.llm import decontaminate, html_extract, lm_score, ngram_join, packing, quality_model, quality_rules, suffix_dedup, token_counts, url_filter
+from daypanel.llm import (
+    decontaminate, html_extract, lm_score, ngram_join, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts, url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -144,6 +146,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
 """
 
+
+@query
+def op11_pii(spark, sf):
+    return pii.detect(table(spark, sf, "documents"))
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
