@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from daypanel.llm import (
-    decontaminate, html_extract, lm_score, ngram_join, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts, url_filter,
+    decontaminate, html_extract, lm_score, merkle, ngram_join, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +152,62 @@ def op11_pii(spark, sf):
     return pii.detect(table(spark, sf, "documents"))
 
 
+@query
+def op12_merkle_manifest(spark, sf):
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(table(spark, sf, "documents"), altered=(hit, {"n_chars": F.col("n_chars") + 1}))
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+LLM_ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE checked AS (
+  SELECT *, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, c: list_reduce(
+      [xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS inverted
+  FROM documents
+),
+hashed AS (
+  SELECT doc_id, lang, sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+    CASE WHEN xor(inverted, 4294967295) % 7 = 0
+      THEN sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))}) END AS claim
+  FROM checked
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+),
+up AS (
+  SELECT lang, 0 AS lv, i, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT lang, lv + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lang, lv, i // 2, n
+),
+subroots AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1
+),
+top AS (
+  SELECT 0 AS lv, i, n, h FROM subroots
+  UNION ALL
+  SELECT lv + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lv, i // 2, n
+),
+folded AS (
+  SELECT p.doc_id, p.leaf, s.lang, s.h AS subroot, s.i AS gi, s.n AS gn, 0 AS tree, 0 AS lv, p.i, p.n, coalesce(claim, leaf) AS own, '' AS proof
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT * FROM (
+    SELECT f.doc_id, f.leaf, f.lang, subroot, gi, gn, f.tree, f.lv + 1, f.i // 2, (f.n + 1) // 2,
+      sha256(CASE WHEN f.i % 2 = 1 THEN coalesce(u.h, '') || own ELSE own || coalesce(u.h, '') END), proof || coalesce(u.h, '')
+    FROM folded f LEFT JOIN (SELECT 0 AS tree, * FROM up UNION ALL SELECT 1, NULL, lv, i, n, h FROM top) u
+      ON u.tree = f.tree AND (f.tree = 1 OR u.lang IS NOT DISTINCT FROM f.lang) AND u.lv = f.lv AND u.i = xor(f.i, 1)
+    WHERE f.n > 1
+    UNION ALL
+    SELECT doc_id, leaf, lang, subroot, gi, gn, 1, 0, gi, gn, own, proof FROM folded WHERE n = 1 AND tree = 0
+  )
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, own AS folded_root, own = root AS verified
+FROM folded, (SELECT h AS root FROM top WHERE n = 1) WHERE tree = 1 AND n = 1
+"""
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -11,18 +11,26 @@ from daypanel.session import scratch_dir
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows that Spark hands to a Python task at once.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write a frame to the folder all executors share and read it back.
 
     It cuts the lineage: a lost executor costs no more than the tasks that were running on it, and the
-    shuffle files behind the table are removed, since nothing needs them any more.
+    shuffle files behind the table are removed, since nothing needs them any more. ``batch`` is the number
+    of rows that Python tasks of the frame take at once, for rows that are large themselves.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, f"llm-{name}")
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    own = {_CLEAN: "true"} | ({_BATCH: str(batch)} if batch else {})
+    before = {key: spark.conf.get(key, None) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
