@@ -66,6 +66,12 @@ def _edges(solid: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(start), np.flatnonzero(stop) + 1
 
 
+def runs(solid: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True, cut at the borders of texts, and the first run of each text (one entry more)."""
+    starts, ends = _edges(solid, offs)
+    return starts, ends, np.searchsorted(starts, offs)
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the index of the first word of each text (one entry more)."""
     starts, ends = _edges(~SPACE[buf], offs)
@@ -172,8 +178,8 @@ def distinct_per_text(values: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray,
     return values[new], np.concatenate([[0], np.cumsum(per_text(new, offs))])
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch cut at row borders so that the texts of a piece hold about ``CHUNK`` bytes at most.
+def pieces(batch: pa.RecordBatch, column: str, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batch cut at row borders so that the texts of a piece hold about ``most`` bytes at most.
 
     A single longer text is a piece of its own; no text is cut.
     """
@@ -182,7 +188,7 @@ def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     _, offs = utf8(batch.column(batch.schema.get_field_index(column)))
     at = 0
     while at < batch.num_rows:
-        stop = max(at + 1, int(np.searchsorted(offs, offs[at] + CHUNK, side="right")) - 1)
+        stop = max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1)
         yield batch.slice(at, stop - at)
         at = stop
 

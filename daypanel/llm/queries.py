@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from daypanel.llm import (
-    decontaminate, html_extract, lm_score, merkle, ngram_join, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts, url_filter,
+    collocations, decontaminate, html_extract, lm_score, merkle, ngram_join, packing, pii, quality_model, quality_rules, suffix_dedup, token_counts, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -208,6 +208,41 @@ FROM folded, (SELECT h AS root FROM top WHERE n = 1) WHERE tree = 1 AND n = 1
 """
 
 
+@query
+def op13_phrase_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+LLM_ORACLE["op13_phrase_collocations"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+grams AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM places, range(1, 6) r(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS (SELECT * FROM f WHERE f >= 100),
+candidates AS (SELECT *, string_split(phrase, ' ') AS ws FROM often WHERE k > 1),
+parts AS (
+  SELECT c.lang, array_to_string(c.ws[s : s + m - 1], ' ') AS phrase, max(c.f) AS longer
+  FROM candidates c, range(2, 5) a(m), range(1, 5) b(s) WHERE m < c.k AND s + m - 1 <= c.k GROUP BY ALL
+),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n, cut, CAST((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM candidates c JOIN totals t ON t.lang = c.lang JOIN range(1, 5) x(cut) ON cut < c.k
+  JOIN often l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[:cut], ' ') JOIN often r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[cut + 1 :], ' ')
+  LEFT JOIN parts p ON p.lang = c.lang AND p.phrase = c.phrase
+  WHERE p.longer IS NULL OR 100 * p.longer < 100 * c.f
+),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS pick FROM cuts)
+SELECT * EXCLUDE (pick, cut) FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE pick = 1
+) WHERE rank <= 2000
+"""
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
