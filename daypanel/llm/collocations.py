@@ -56,14 +56,26 @@ _GAP = 0
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers from zero up, in the fewest bytes that hold the largest; the first byte tells how many."""
+    """Numbers from zero up: width and length, then their lowest bytes, their next bytes and so on, compressed."""
     top = int(values.max()) if len(values) else 0
     width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    planes = np.frombuffer(pa.decompress(data[9:], width * n, "zstd"), dtype=np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def pack_rising(values: np.ndarray) -> bytes:
+    """Numbers that never fall, by their steps."""
+    return pack(np.diff(values, prepend=0))
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data))
 
 
 def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -161,7 +173,7 @@ def _answers(chunks: list[int], sizes: list[int], idx: list[np.ndarray], group:
         part = own[at : at + size]
         hit = part >= 0
         if hit.any():
-            out.append({"chunk": chunk, "idx": pack(place[hit]), "ids": pack(part[hit])})
+            out.append({"chunk": chunk, "idx": pack_rising(place[hit]), "ids": pack(part[hit])})
         at += size
     rows = len(listed["f"])
     named = pa.table([pa.array(listed[f.name], f.type) if f.name in listed else pa.nulls(rows, f.type) for f in _ARROW_ANSWER], schema=_ARROW_ANSWER)
@@ -197,7 +209,7 @@ def _count_words(table: DataFrame, least: int) -> DataFrame:
                 for key, own in _split(bucket * len(seeds) + code):
                     taken = words.take(pa.array(own))
                     data, at = _flat(taken)
-                    out.append({"bucket": key // len(seeds), "chunk": row["chunk"], "lang": row["lang"][key % len(seeds)], "idx": pack(own),
+                    out.append({"bucket": key // len(seeds), "chunk": row["chunk"], "lang": row["lang"][key % len(seeds)], "idx": pack_rising(own),
                                 "words": data.tobytes(), "sizes": pack(np.diff(at)), "n": pack(n[own])})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -216,7 +228,7 @@ def _count_words(table: DataFrame, least: int) -> DataFrame:
         hit = np.flatnonzero(ids >= 0)
         listed = {"id": ids[hit], "lang": [names[i] for i in found[hit] % len(names)],
                   "word": coded.dictionary.take(pa.array(found[hit] // len(names))).to_pylist(), "f": f[hit]}
-        return _answers(rows["chunk"].to_pylist(), [len(x) for x in sizes], [unpack(x) for x in rows["idx"].to_pylist()], group, ids, listed)
+        return _answers(rows["chunk"].to_pylist(), [len(x) for x in sizes], [unpack_rising(x) for x in rows["idx"].to_pylist()], group, ids, listed)
 
     sent = table.select("chunk", "lang", "code", "words", "sizes", "n").mapInArrow(
         send, "bucket int, chunk long, lang string, idx binary, words binary, sizes binary, n binary"
@@ -232,16 +244,17 @@ def _count_pairs(table: DataFrame, least: int, length: int) -> DataFrame:
         schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("idx", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.binary())])
         for batch in batches:
             for row in batch.to_pylist():
-                a, b, n = unpack(row["a"]), unpack(row["b"]), unpack(row["n"])
+                a, b, n = unpack_rising(row["a"]), unpack(row["b"]), unpack(row["n"])
                 bucket = (A.mix(A.mix(a.astype(np.uint64)) + b.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 yield pa.RecordBatch.from_pylist(
-                    [{"bucket": k, "chunk": row["chunk"], "idx": pack(own), "a": pack(a[own]), "b": pack(b[own]), "n": pack(n[own])} for k, own in _split(bucket)],
+                    [{"bucket": k, "chunk": row["chunk"], "idx": pack_rising(own), "a": pack_rising(a[own]), "b": pack(b[own]), "n": pack(n[own])} for k, own in _split(bucket)],
                     schema,
                 )
 
     def count(key, rows):
-        a, b, n = (np.concatenate([unpack(x) for x in rows[c].to_pylist()]) for c in ("a", "b", "n"))
-        idx = [unpack(x) for x in rows["idx"].to_pylist()]
+        a = np.concatenate([unpack_rising(x) for x in rows["a"].to_pylist()])
+        b, n = (np.concatenate([unpack(x) for x in rows[c].to_pylist()]) for c in ("b", "n"))
+        idx = [unpack_rising(x) for x in rows["idx"].to_pylist()]
         order = np.lexsort((b, a))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
@@ -259,24 +272,24 @@ def _count_pairs(table: DataFrame, least: int, length: int) -> DataFrame:
     return staged(sent.groupBy("bucket").applyInArrow(count, _ANSWER), f"phrases-frequent-{length}", _BATCH)
 
 
-_PAIRS = "chunk long, gaps binary, seq binary, a binary, b binary, n binary, size long"
+_PAIRS = "chunk long, at binary, seq binary, a binary, b binary, n binary, size long"
 
 
 def _longer(table: DataFrame, answers: DataFrame, length: int) -> DataFrame:
     """The relation of the next length: occurrences of frequent phrases, joined with those one position on."""
     told = answers.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("idx", "ids")).alias("told"))
-    has_gaps = "gaps" in table.columns
-    rows = table.select("chunk", "seq", *(["gaps"] if has_gaps else [])).join(told, "chunk")
-    schema = pa.schema([("chunk", pa.int64()), *[(c, pa.binary()) for c in ("gaps", "seq", "a", "b", "n")], ("size", pa.int64())])
+    has_places = "at" in table.columns
+    rows = table.select("chunk", "seq", *(["at"] if has_places else [])).join(told, "chunk")
+    schema = pa.schema([("chunk", pa.int64()), *[(c, pa.binary()) for c in ("at", "seq", "a", "b", "n")], ("size", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                idx = np.concatenate([unpack(x["idx"]) for x in row["told"]])
+                idx = np.concatenate([unpack_rising(x["idx"]) for x in row["told"]])
                 ids = np.concatenate([unpack(x["ids"]) for x in row["told"]])
                 seq = unpack(row["seq"])
                 # In the first relation 0 is the gap between pieces, and positions are places.
-                shift = 0 if has_gaps else 1
+                shift = 0 if has_places else 1
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
                 place = np.full(max(int(seq.max(initial=0)), int(idx.max())) + 2, -1, dtype=np.int64)
@@ -284,14 +297,14 @@ def _longer(table: DataFrame, answers: DataFrame, length: int) -> DataFrame:
                 known = place[seq]
                 keep = np.flatnonzero(known >= 0)
                 known = known[keep]
-                at = np.cumsum(unpack(row["gaps"]))[keep] if has_gaps else keep
+                at = unpack_rising(row["at"])[keep] if has_places else keep
                 joined = np.flatnonzero(at[1:] == at[:-1] + 1)
                 if not len(joined):
                     continue
                 pair, where, n = np.unique(known[joined] * len(ids) + known[joined + 1], return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_pylist(
-                    [{"chunk": row["chunk"], "gaps": pack(np.diff(at[joined], prepend=0)), "seq": pack(where),
-                      "a": pack(ids[pair // len(ids)]), "b": pack(ids[pair % len(ids)]), "n": pack(n), "size": len(pair)}],
+                    [{"chunk": row["chunk"], "at": pack_rising(at[joined]), "seq": pack(where),
+                      "a": pack_rising(ids[pair // len(ids)]), "b": pack(ids[pair % len(ids)]), "n": pack(n), "size": len(pair)}],
                     schema,
                 )
 

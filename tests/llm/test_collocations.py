@@ -103,6 +103,7 @@ def test_packed_numbers_round_trip():
     for top in (0, 255, 256, 65_535, 65_536, 2**32 - 1, 2**32, 2**62):
         x = np.array([0, 1, top], dtype=np.int64)
         assert C.unpack(C.pack(x)).tolist() == x.tolist()
+        assert C.unpack_rising(C.pack_rising(np.sort(x))).tolist() == sorted(x.tolist())
     assert C.unpack(C.pack(np.zeros(0, np.int64))).tolist() == []
 
 
