@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +41,21 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "staged") -> DataFrame:
+def stage(df: DataFrame, name: str = "staged", conf: Mapping[str, str] | None = None) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     For frames that several branches of a plan use, such as a panel that gives both the region list and
     the rows of a report: otherwise every branch scans the raw records again, since each prunes other
     columns. The panel is far smaller than its records, and a lost executor costs no recomputation.
+    ``conf`` holds settings for this write only.
     """
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
+    before = {key: spark.conf.get(key, None) for key in conf or {}}
+    for key, value in (conf or {}).items():
+        spark.conf.set(key, value)
+    try:
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(path)

@@ -262,3 +262,98 @@ def test_scratch_folders_end_with_the_session(tmp_path):
             break
         time.sleep(0.2)
     assert not list(tmp_path.glob("*/staged-*")) and not list(tmp_path.glob("local-*"))
+
+
+def bytes_read(spark):
+    """Bytes that the local file system has given out so far."""
+    stats = spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file")
+    return stats.getLong("bytesRead")
+
+
+def test_first_lines_do_not_read_long_files(spark, tmp_path, rows):
+    import gzip
+
+    folder = tmp_path / "long"
+    folder.mkdir()
+    body = "".join(f"{i};{i * 7919 % 1000003};some text to fill the line\n" for i in range(2_500_000))
+    for name in ("a.txt", "b.txt"):
+        (folder / name).write_text(f"title {name}\nhead\n" + body)
+    with gzip.open(folder / "c.txt.gz", "wt", compresslevel=1) as out:
+        out.write("title c\nhead\n" + body)
+    write(folder / "sub" / "d.txt", "title d\nhead\nlast line without an end")
+    write(folder / "sub" / "e.txt", "")
+    before = bytes_read(spark)
+    got = rows(files.first_lines(spark, str(folder), 4).select(F.regexp_extract("file", "([a-z])\\.txt", 1), "line", "value"))
+    read = bytes_read(spark) - before
+    line = "{0};{1};some text to fill the line"
+    assert got == sorted(
+        [(f, i, v) for f in "abc" for i, v in enumerate([f"title {f}.txt" if f < "c" else "title c", "head", line.format(0, 0), line.format(1, 7919)])]
+        + [("d", 0, "title d"), ("d", 1, "head"), ("d", 2, "last line without an end")]
+    )
+    assert read < 1_000_000
+    # The tasks read the files themselves, which no statistic of Spark shows.
+    for name in ("a.txt", "c.txt.gz"):
+        began = time.perf_counter()
+        files._opened(str(folder / name), 4)
+        assert time.perf_counter() - began < 0.2
+    # Where Spark reads the files, the lines are the same.
+    whole = rows(files.first_lines(spark, str(folder), 4, opened=()).select(F.regexp_extract("file", "([a-z])\\.txt", 1), "line", "value"))
+    assert whole == got
+
+
+def test_first_lines_of_many_files_in_one_task(spark, tmp_path):
+    for i in range(40):
+        write(tmp_path / "many" / f"{i}.txt", "".join(f"{i} {j}\n" for j in range(i)))
+    for batch in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = files.first_lines(spark, str(tmp_path / "many"), 5, opened=()).collect()
+            assert sorted(got) == sorted(files.first_lines(spark, str(tmp_path / "many"), 5).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((r.line, r.value) for r in got) == sorted((j, f"{i} {j}") for i in range(40) for j in range(min(i, 5)))
+        assert all(r.file.endswith(f"/{r.value.split()[0]}.txt") for r in got)
+
+
+def test_cells_of_a_line(spark):
+    lines = {
+        "a,b": ["a", "b"], "": [None], ",": [None, None], ",x,": [None, "x", None], '"P, 1",2': ["P, 1", "2"], 'x,"say ""hi"", you",': ["x", 'say "hi", you', None],
+        '"",1': [None, "1"], '"open,1': ['"open', "1"], 'a"b,c"d': ['a"b', 'c"d'], "ü,é": ["ü", "é"], '"' * 5001 + ",1": ['"' * 2499 , "1"],
+    }
+    df = spark.createDataFrame([(k,) for k in lines], "v string").select("v", files.csv_cells(F.col("v")).alias("cells"))
+    got = {r.v: r.cells for r in df.collect()}
+    long = '"' * 5001 + ",1"
+    assert {k: v for k, v in got.items() if k != long} == {k: v for k, v in lines.items() if k != long}
+    assert got[long][-1] == "1"
+    semi = spark.createDataFrame([("a|b|\"c|d\"",)], "v string").select(files.csv_cells(F.col("v"), "|").alias("c")).first().c
+    assert semi == ["a", "b", "c|d"]
+
+
+def test_wide_folder_by_name(spark, tmp_path, rows):
+    write(tmp_path / "w" / "a.csv", "\ufeffP,C,1/22/20,note\n,X,5,9\n\nP,C,1/22/20,note\n\"a, b\",Y,x,\n")
+    write(tmp_path / "w" / "b.csv", "1/24/20,1/23/20,C,P\n7,6,X,\n8\n1,2,Z,q,surplus\n")
+    write(tmp_path / "w" / "c.csv", "C,1/25/20\nW,3\n")
+    write(tmp_path / "w" / "d.csv", "")
+    d = lambda n: dt.date(2020, 1, n)
+    got = rows(files.read_wide_long(spark, str(tmp_path / "w"), ["P", "C"], "conf"))
+    want = [
+        (None, "X", d(22), 5.0), (None, "X", None, 9.0), ("a, b", "Y", d(22), None), ("a, b", "Y", None, None),
+        (None, "X", d(24), 7.0), (None, "X", d(23), 6.0), (None, None, d(24), 8.0), (None, None, d(23), None), ("q", "Z", d(24), 1.0), ("q", "Z", d(23), 2.0),
+        (None, "W", d(25), 3.0),
+    ]
+    assert got == sorted(want, key=lambda r: [(v is not None, str(v)) for v in r])
+
+
+def test_a_header_a_file_plans_at_once(spark, tmp_path):
+    folder = tmp_path / "days"
+    folder.mkdir()
+    start = dt.date(2000, 1, 1)
+    days = [start + dt.timedelta(days=i) for i in range(1500)]
+    for i, day in enumerate(days):
+        (folder / f"{i}.csv").write_text(f"P,C,Lat,Long,{day.month}/{day.day}/{day.year}\n,X,1,2,{i}\n")
+    began = time.perf_counter()
+    long = files.read_wide_long(spark, str(folder), ["P", "C", "Lat", "Long"], "conf")
+    plan = long._jdf.queryExecution().executedPlan().toString()
+    assert time.perf_counter() - began < 60
+    assert plan.count("FileScan text") == 1 and "Union" not in plan and len(plan) < 20_000
+    assert {r.date: r.conf for r in long.collect()} == {day: float(i) for i, day in enumerate(days)}

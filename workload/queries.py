@@ -98,16 +98,31 @@ def scan_wide_unpivot(spark, sf):
     return _plain(long).select("province", "region", num("lat").alias("lat"), num("lon").alias("lon"), "date", "conf")
 
 
+def _wide_folder(spark, sf):
+    """Wide files as they come day by day: two files a day, each with a header of its own, one with the id columns last."""
+    folder = scratch_dir(spark, "wide-folder")
+    long = P.country_tables(spark, sf)[0]
+    ids = ["Province/State", "Country/Region", "Lat", "Long"]
+    kind = F.pmod(F.hash("Country/Region"), F.lit(2))
+    key = F.concat(F.date_format("date", "yyyyMMdd-"), kind).alias("file")
+    day = F.date_format("date", "M/d/yy")
+    cells = [F.coalesce(q(c).cast("string"), F.lit("")) for c in ids]
+
+    def line(own, day_cell):
+        return F.when(kind == 0, F.concat_ws(",", *own, day_cell)).otherwise(F.concat_ws(",", day_cell, *own[::-1])).alias("value")
+
+    heads = long.select(key, F.lit(0).alias("at"), line([F.lit(c) for c in ids], day)).distinct()
+    body = long.select(key, F.lit(1).alias("at"), line(cells, F.col("conf").cast("string")))
+    lines = heads.unionByName(body).repartition("file").sortWithinPartitions("file", "at")
+    lines.select("file", "value").write.partitionBy("file").text(folder)
+    return folder, ids
+
+
 @query
 def scan_wide_folder(spark, sf):
-    """Two wide files of different days."""
-    folder = scratch_dir(spark, "wide-folder")
-    wide = P.country_wide(spark, sf, ("conf",))[0]
-    ids, days = wide.columns[:4], wide.columns[4:]
-    half = len(days) // 2
-    for name, part in (("a", days[:half]), ("b", days[half:])):
-        wide.select(*[q(c) for c in ids + part]).write.option("header", True).csv(f"{folder}/{name}")
-    return _plain(files.read_wide_long(spark, folder, 4, "conf")).select(
+    """A folder of wide files with a new header every day."""
+    folder, ids = _wide_folder(spark, sf)
+    return _plain(files.read_wide_long(spark, folder, ids, "conf")).select(
         "province", "region", num("lat").alias("lat"), num("lon").alias("lon"), "date", "conf"
     )
 
