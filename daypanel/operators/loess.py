@@ -13,6 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from daypanel.operators.blocks import placed
 from daypanel.operators.reshape import q
 
 CELL = 0.2  # share of a neighbourhood above which a cell is cut
@@ -73,6 +74,47 @@ def _vertices(points: DataFrame, key: str, span: float, least: int) -> DataFrame
     )
 
 
+def _vertices_spread(points: DataFrame, key: str, span: float, least: int) -> DataFrame:
+    """The same vertices and distances for series of any length, from the places of the points instead of an array.
+
+    A cell border is the middle of two points whose places follow from the number of points alone. The q-th nearest point of
+    a vertex ends the best window of q neighbouring points; a window is the join of a place with the place q - 1 further on,
+    and only those that hold the vertex can be the best (or the first and the last, for the outer vertices).
+    """
+    rows = placed(points.select("key", "x"), ["key"], ["x"])
+    series = rows.groupBy("key").agg(F.max("_n").cast("int").alias("n"), F.min("x").alias("first"), F.max("x").alias("last"))
+    sized = series.withColumns(
+        {
+            "near": F.least(F.col("n"), F.floor(F.col("n") * span + 1e-5).cast("int")),
+            "limit": F.greatest(F.lit(1), F.floor(F.col("n") * span * CELL).cast("int")),
+        }
+    ).where(F.col("near") >= least)
+    first, last = F.col("first"), F.col("last")
+    pad = MARGIN * F.greatest(last - first, F.greatest(F.abs(first), F.abs(last)) * 1e-3 + 1e-30)
+    # One row per series, with as many borders as the span asks for.
+    sized = sized.withColumn("cells", _cells(F.col("n"), F.col("limit"), span)).withColumn("pad", pad)
+    borders = sized.select("key", F.explode(F.filter("cells", lambda c: c["hi"] < F.col("n"))).alias("c")).select(
+        "key", F.col("c.hi").alias("v"), F.explode(F.array(*[(F.col("c.hi") - i).cast("bigint") for i in (1, 0)])).alias("_pos")
+    )
+    cuts = rows.join(borders, ["key", "_pos"]).groupBy("key", "v").agg(((F.min("x") + F.max("x")) / 2).alias("at"))
+    inner = cuts.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("v", "at"))), lambda c: c["at"]).alias("cuts"))
+    outer = sized.join(inner, "key", "left").select(
+        "key", "n", "near", F.concat(F.array(first - F.col("pad")), F.coalesce("cuts", F.array().cast("array<double>")), F.array(last + F.col("pad"))).alias("ats")
+    )
+    shift = outer.select("key", F.col("near").cast("bigint").alias("near"))
+    ends = rows.join(shift, "key").select("key", (F.col("_pos") - F.col("near") + 1).alias("_pos"), F.col("x").alias("hi")).where("_pos >= 0")
+    windows = rows.select("key", "_pos", F.col("x").alias("lo")).join(ends, ["key", "_pos"]).join(outer, "key")
+    lo, hi, at = F.col("lo"), F.col("hi"), F.col("_pos")
+    held = F.filter(
+        F.transform("ats", lambda v, i: F.struct(i.alias("v"), v.alias("at"))),
+        lambda c: ((c["at"] >= lo) & (c["at"] <= hi)) | ((at == 0) & (c["at"] <= lo)) | ((at == F.col("n") - F.col("near")) & (c["at"] >= hi)),
+    )
+    reach = windows.select("key", "lo", "hi", F.inline(held)).groupBy("key", "v", "at").agg(
+        F.min(F.greatest(F.col("at") - F.col("lo"), F.col("hi") - F.col("at"))).alias("h")
+    )
+    return reach.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("v", "at", "h"))).alias("vs"))
+
+
 def _vertex_fits(points: DataFrame, vertices: DataFrame) -> DataFrame:
     """Value and slope of the weighted quadratic at every vertex, from eight sums per vertex.
 
@@ -139,25 +181,32 @@ def _points(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     )
 
 
-def loess_fit(df: DataFrame, key: str, x: str, y: str, span: float, out: str = "fit", least: int = MIN_NEAR) -> DataFrame:
+def loess_fit(
+    df: DataFrame, key: str, x: str, y: str, span: float, out: str = "fit", least: int = MIN_NEAR, spread: bool = False
+) -> DataFrame:
     """Add the smoothed value to every row; ``x`` is a date or a number, one row per (key, x).
 
     Rows without ``y`` take no part in the fit but get a value inside the fitted range of their series.
     Series with fewer than ``least`` points in a neighbourhood (a quadratic with weights needs four) have no fit, nor has the surrounding of a vertex
-    at which fewer than three points carry weight.
+    at which fewer than three points carry weight. The points of a series are held in an array, which the calendar
+    bounds; ``spread=True`` is for series of any length.
     """
     points = _points(df, key, x, y)
-    fits = _vertex_fits(points, _vertices(points, key, span, least))
+    find = _vertices_spread if spread else _vertices
+    fits = _vertex_fits(points, find(points, key, span, least))
     at = F.unix_date(q(x)) if dict(df.dtypes)[x] == "date" else q(x)
     rows = df.withColumns({"key": q(key), "x": at.cast("double")}) if key != "key" else df.withColumn("x", at.cast("double"))
     done = _evaluate(rows, fits, out)
     return done.drop(*[c for c in ("key", "x") if c not in df.columns]).select(*[q(c) for c in df.columns], q(out))
 
 
-def loess_grid(df: DataFrame, key: str, x: str, y: str, span: float, points: int = 80, least: int = MIN_NEAR) -> DataFrame:
+def loess_grid(
+    df: DataFrame, key: str, x: str, y: str, span: float, points: int = 80, least: int = MIN_NEAR, spread: bool = False
+) -> DataFrame:
     """The smoothed curve on evenly spaced positions over the range of each series, as it would be drawn."""
     pts = _points(df, key, x, y)
-    fits = _vertex_fits(pts, _vertices(pts, key, span, least))
+    find = _vertices_spread if spread else _vertices
+    fits = _vertex_fits(pts, find(pts, key, span, least))
     ends = pts.groupBy("key").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     step = (F.col("hi") - F.col("lo")) / (points - 1)
     grid = ends.select(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec, functions as F
 
 from daypanel.functions.dates import weekday_label
 from daypanel.functions.missing import cumsum_strict, doubling_time, flag_above, sum_strict, try_div
+from daypanel.operators.blocks import BLOCK_ROWS, Blocks
 from daypanel.operators.reshape import unpivot_some
 from daypanel.operators.windows import change, series, shift, shifted_change
 
@@ -59,12 +60,18 @@ def enrich_panel(df: DataFrame, spec: PanelSpec = PanelSpec(), weekday_mode: str
     return add_metrics(aggregate_panel(df, spec), spec, weekday_mode)
 
 
-def add_metrics(panel: DataFrame, spec: PanelSpec = PanelSpec(), weekday_mode: str = "true") -> DataFrame:
-    """Metrics of a panel that already has one row per (region, date) and the standard column names."""
-    w = series()
-    has_rec = spec.rec is not None
-    base = {"cfr_1": try_div("dea", "conf"), "weekday": weekday_label("date", weekday_mode)}
-    offsets = {
+def _base(spec: PanelSpec, weekday_mode: str) -> dict[str, Column]:
+    """Metrics of a row by itself."""
+    out = {"cfr_1": try_div("dea", "conf"), "weekday": weekday_label("date", weekday_mode)}
+    if spec.rec is not None:
+        out["cfr_2"] = try_div("dea", F.col("dea") + F.col("rec"))
+        out["active"] = F.col("conf") - F.col("dea") - F.col("rec")
+    return out
+
+
+def _offsets(spec: PanelSpec, w: WindowSpec) -> dict[str, Column]:
+    """Metrics that look some rows back."""
+    out = {
         "dea_1": change("dea", w),
         "conf_1": change("conf", w),
         "dea_1_shift": shifted_change("dea", spec.recovery_rows - spec.death_rows, w),
@@ -73,18 +80,37 @@ def add_metrics(panel: DataFrame, spec: PanelSpec = PanelSpec(), weekday_mode: s
         "doubling": doubling_time(try_div("conf", shift("conf", 3, w, None))),
         "last_7": change("conf", w, 7),
     }
-    if has_rec:
-        base["cfr_2"] = try_div("dea", F.col("dea") + F.col("rec"))
-        base["active"] = F.col("conf") - F.col("dea") - F.col("rec")
-        offsets["rec_1"] = change("rec", w)
-        offsets["active_1"] = change("active", w)
-    running = {"_deaths": cumsum_strict("dea_1", w), "_cases": cumsum_strict("conf_1_shift", w)}
-    derived = {
+    if spec.rec is not None:
+        out["rec_1"] = change("rec", w)
+        out["active_1"] = change("active", w)
+    return out
+
+
+#: Running sums behind the adjusted ratio.
+_RUNNING = {"_deaths": "dea_1", "_cases": "conf_1_shift"}
+
+
+def _derived(spec: PanelSpec) -> dict[str, Column]:
+    return {
         "cfr_adv": try_div("_deaths", "_cases"),
         "est_quality": flag_above("_deaths", spec.quality_deaths, "mittel", "gering"),
     }
-    metrics = panel.withColumns(base).withColumns(offsets).withColumns(running).withColumns(derived)
-    return metrics.drop("_deaths", "_cases")
+
+
+def add_metrics(panel: DataFrame, spec: PanelSpec = PanelSpec(), weekday_mode: str = "true") -> DataFrame:
+    """Metrics of a panel that already has one row per (region, date) and the standard column names."""
+    w = series()
+    running = {name: cumsum_strict(x, w) for name, x in _RUNNING.items()}
+    metrics = panel.withColumns(_base(spec, weekday_mode)).withColumns(_offsets(spec, w)).withColumns(running).withColumns(_derived(spec))
+    return metrics.drop(*_RUNNING)
+
+
+def add_metrics_blocked(panel: DataFrame, spec: PanelSpec = PanelSpec(), weekday_mode: str = "true", size: int = BLOCK_ROWS) -> DataFrame:
+    """The same metrics for series of any length, such as counts by the second: a region spreads over many tasks."""
+    reach = max(7, spec.recovery_rows - spec.death_rows + 1, spec.death_rows + 1, spec.alternative_rows + 1)
+    blocks = Blocks.of(panel.withColumns(_base(spec, weekday_mode)), "region", "date", size)
+    blocks = blocks.with_offsets(lambda w: _offsets(spec, w), back=reach).with_running(_RUNNING)
+    return blocks.with_columns(_derived(spec)).frame().drop(*_RUNNING)
 
 
 def estimators_long(panel: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from daypanel.functions.missing import cut_right
+from daypanel.operators.blocks import placed
 from daypanel.operators.reshape import q
 from daypanel.operators.select import global_row_number, last_rows
 from daypanel.operators.windows import row_index
@@ -58,48 +59,54 @@ def trend_class(
     return fitted.withColumn("trend", cut_right(F.round("slope", 9), breaks, labels))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], y: str, shares: Mapping[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], y: str, shares: Mapping[str, float], spread: bool = True) -> DataFrame:
     """Exact quantiles of each group, one column per name of ``shares``, with the number of values as ``n``.
 
-    The group is sorted and counted by a window, which spills; only the two neighbours of each quantile
-    enter the sum, and the value between them is interpolated. Missing values do not count.
+    The value between the two neighbours of a quantile is interpolated; missing values do not count. Equal values
+    of a group are counted first, the different ones are range-partitioned by (group, value), and the counts of the partitions
+    tell which rows are neighbours: a group with half of all rows spreads over all tasks. For groups that the
+    calendar bounds, such as the days of a region, ``spread=False`` sorts each in a task, with fewer jobs.
     """
-    group = Window.partitionBy(*[q(k) for k in keys])
-    placed = df.where(q(y).isNotNull()).select(
-        *[q(k) for k in keys],
-        q(y).cast("double").alias("_y"),
-        F.row_number().over(group.orderBy(q(y))).alias("_i"),
-        F.count(F.lit(1)).over(group).alias("n"),
-    )
-    out = []
+    names, value = [q(k) for k in keys], q(y).cast("double").alias("_y")
+    rows = df.where(q(y).isNotNull())
+    if spread:
+        placing = placed(rows.groupBy(*names, value).agg(F.count(F.lit(1)).alias("_w")), keys, ["_y"], weight="_w")
+        places = placing.select(*names, "_y", F.col("_pos").alias("_first"), (F.col("_pos") + F.col("_w") - 1).alias("_last"), F.col("_n").alias("n"))
+    else:
+        group = Window.partitionBy(*names)
+        place = F.row_number().over(group.orderBy(q(y))) - 1
+        places = rows.select(*names, value, place.alias("_first"), place.alias("_last"), F.count(F.lit(1)).over(group).alias("n"))
+    out, needed = [], F.lit(False)
     for name, share in shares.items():
         at = (F.col("n") - 1) * F.lit(float(share))
-        low = F.floor(at) + 1
-        below, above = (F.max(F.when(F.col("_i") == i, F.col("_y"))) for i in (low, F.least(low + 1, F.col("n"))))
-        out.append((below + (above - below) * F.max(at - F.floor(at))).alias(name))
-    return placed.groupBy(*[q(k) for k in keys], "n").agg(*out)
+        low = F.floor(at)
+        hits = [i.between(F.col("_first"), F.col("_last")) for i in (low, F.least(low + 1, F.col("n") - 1))]
+        below, above = (F.max(F.when(hit, F.col("_y"))) for hit in hits)
+        needed = needed | hits[0] | hits[1]
+        out.append((below + (above - below) * F.max(at - low)).alias(name))
+    return places.where(needed).groupBy(*names, "n").agg(*out)
 
 
-def box_outliers(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+def box_outliers(df: DataFrame, keys: Sequence[str], y: str, spread: bool = True) -> DataFrame:
     """The values beyond 1.5 interquartile ranges, one row each: keys and ``y``."""
-    return _boxed(df, keys, y).where(~F.col("_inside")).select(*[q(k) for k in keys], q(y))
+    return _boxed(df, keys, y, spread).where(~F.col("_inside")).select(*[q(k) for k in keys], q(y))
 
 
-def _boxed(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
-    quartiles = quantiles(df, keys, y, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+def _boxed(df: DataFrame, keys: Sequence[str], y: str, spread: bool) -> DataFrame:
+    quartiles = quantiles(df, keys, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}, spread)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = q(y).between(F.col("q1") - reach, F.col("q3") + reach)
     return df.where(q(y).isNotNull()).join(quartiles, list(keys)).withColumn("_inside", inside)
 
 
-def box_stats(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
+def box_stats(df: DataFrame, keys: Sequence[str], y: str, spread: bool = True) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges, and the sorted outliers of each group for display.
 
     The array of outliers is for groups that are drawn, such as panel rows, which the calendar bounds;
     ``box_outliers`` gives them as rows.
     """
     return (
-        _boxed(df, keys, y)
+        _boxed(df, keys, y, spread)
         .groupBy(*keys, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(F.col("_inside"), q(y))).alias("whisker_low"),
@@ -109,10 +116,12 @@ def box_stats(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
     )
 
 
-def order_by_aggregate(df: DataFrame, category: str, x: str, how: str = "median", out: str = "ord") -> DataFrame:
+def order_by_aggregate(
+    df: DataFrame, category: str, x: str, how: str = "median", out: str = "ord", spread: bool = True
+) -> DataFrame:
     """One row per category with its position when categories are ordered by median or maximum of ``x``."""
     if how == "median":
-        levels = quantiles(df, [category], x, {"level": 0.5}).drop("n")
+        levels = quantiles(df, [category], x, {"level": 0.5}, spread).drop("n")
         # A category without values has a missing level.
         levels = df.select(q(category)).distinct().join(levels, category, "left")
     else:

@@ -128,7 +128,8 @@ def trajectory_drawn(points: DataFrame) -> DataFrame:
 def weekday_box(panel: DataFrame, regions: DataFrame, outliers: Iterable = ()) -> DataFrame:
     """Box-plot statistics of the positive daily counts per region and weekday."""
     rows = exclude_cells(keep_listed(panel, regions, "region"), outliers).where(F.col("conf_1") > 0)
-    return box_stats(rows, ["region", "weekday"], "conf_1")
+    # The days of a region are bounded by the calendar.
+    return box_stats(rows, ["region", "weekday"], "conf_1", spread=False)
 
 
 def scenario_totals(panel: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ def snapshot_change(
     picked = two_snapshots(rows.where(q(district) != total), as_of, stamp).select(
         q(district).alias("district"), q(stamp).alias("stamp"), q(value).alias("value")
     )
-    return picked.join(order_by_aggregate(picked, "district", "value", "median").drop("level"), "district")
+    return picked.join(order_by_aggregate(picked, "district", "value", "median", spread=False).drop("level"), "district")
 
 
 def timeline(

@@ -296,6 +296,36 @@ sql("loess_curve", *_loess(_GROWTH, 0.5, grid=True))
 sql("report_growth", *_loess(_GROWTH + " AND region IN (SELECT region FROM picked)", 0.5))
 sql("report_rate", *_loess("SELECT * FROM ratep WHERE region IN (SELECT region FROM picked)", 0.2))
 
+# Long series
+_LINES = """lines AS (SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS x FROM lineitem)"""
+_LINE_ORDER = "PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, x"
+sql(
+    "series_blocks",
+    f"""SELECT *, x - lag(x, 1, 0) OVER w AS change, x - lag(x) OVER w AS change_null, lag(x, 20, 0) OVER w AS shift_20, x - lag(x, 7, 0) OVER w AS change_7,
+      lag(x, 13, 0) OVER w - lag(x, 14, 0) OVER w AS delayed, lead(x) OVER w / nullif(x, 0) - 1 AS growth FROM lines WINDOW w AS ({_LINE_ORDER})""",
+    _LINES,
+)
+sql(
+    "running_blocks",
+    f"""SELECT *, sum(x) OVER w AS total, CASE WHEN NOT bool_or(y IS NULL) OVER w THEN sum(y) OVER w END AS strict, sum(y) OVER w AS loose
+    FROM (SELECT *, CASE WHEN NOT (l_linenumber = 7 AND year(l_shipdate) > 1995) THEN x END AS y FROM lines)
+    WINDOW w AS ({_LINE_ORDER} ROWS UNBOUNDED PRECEDING)""",
+    _LINES,
+)
+sql("adjusted_cfr_blocks", "SELECT region, date, cfr_adv FROM en")
+sql(
+    "quantiles_spread",
+    "SELECT l_returnflag, count(*) AS n, "
+    + ", ".join(f"round(quantile_cont(l_extendedprice, {s}), 6) + 0.0 AS {n}" for n, s in (("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("q99", 0.99)))
+    + " FROM lineitem GROUP BY 1",
+)
+sql(
+    "box_outliers_spread",
+    """SELECT event_type, count(*) AS n, round(max(value), 6) AS most FROM events JOIN (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+      FROM events GROUP BY 1) USING (event_type) WHERE NOT value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1""",
+)
+sql("loess_rate_spread", *_loess("SELECT * FROM ratep", 0.2))
+
 # Order and selection
 CTE["users"] = "SELECT user_id, count(*) AS n FROM events GROUP BY 1"
 sql("topk_ties", "SELECT * FROM users QUALIFY rank() OVER (ORDER BY n DESC) <= 10")
@@ -303,7 +333,7 @@ sql("bottomk_ties", "SELECT * FROM users QUALIFY rank() OVER (ORDER BY n) <= 10"
 sql("topn_per_region", "SELECT region, date, conf_1 FROM en QUALIFY rank() OVER (PARTITION BY region ORDER BY conf_1 DESC) <= 3")
 sql("last_rows_per_region", "SELECT region, date, conf FROM en QUALIFY row_number() OVER (PARTITION BY region ORDER BY date DESC) <= 10")
 sql("pick_from_end", "SELECT region, date, active, conf_1 FROM en QUALIFY row_number() OVER (PARTITION BY region ORDER BY date DESC) = 13")
-sql("ordinal_before_filter", "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY n DESC, user_id) AS ordinal FROM users) WHERE user_id % 3 = 1")
+sql("ordinal_before_filter", "SELECT *, row_number() OVER (ORDER BY n DESC, user_id) AS ordinal FROM users")
 sql("sort_preview", "SELECT region, date, conf FROM cp ORDER BY conf DESC, region, date LIMIT 6")
 sql("pick_region_list", "SELECT region FROM picked")
 

@@ -35,6 +35,7 @@ from daypanel.functions import (
     weekday_label,
 )
 from daypanel.operators import filters, joins, loess, metrics, projection, reshape, select, stats, windows
+from daypanel.operators.blocks import Blocks
 from daypanel.operators.reshape import q
 from daypanel.plans import panels as pipelines, reports
 from daypanel.session import scratch_dir, stage
@@ -557,6 +558,67 @@ def loess_curve(spark, sf):
     return _round(loess.loess_grid(filters.within(rates, "g", 0, 1), "region", "date", "g", 0.5), "x", "fit")
 
 
+# Long series: a few series hold all rows of the largest table, so windows and quantiles work by blocks
+
+
+def _line_series(spark, sf):
+    """Line items in the order they shipped, one series per return flag."""
+    return P.table(spark, sf, "lineitem").select("l_returnflag", *LINE_ORDER, F.col("l_quantity").alias("x"))
+
+
+def _line_blocks(rows):
+    return Blocks.of(rows, "l_returnflag", [*LINE_ORDER, "x"], LINE_BLOCK)
+
+
+LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+#: So small that the series of the test tables have several blocks.
+LINE_BLOCK = 1 << 12
+
+
+@query
+def series_blocks(spark, sf):
+    def offsets(w):
+        return {
+            "change": windows.change("x", w), "change_null": windows.change_or_null("x", w), "shift_20": windows.shift("x", 20, w),
+            "change_7": windows.change("x", w, 7), "delayed": windows.shifted_change("x", 13, w), "growth": windows.lead_growth("x", w),
+        }
+
+    return _plain(_line_blocks(_line_series(spark, sf)).with_offsets(offsets, back=20, ahead=1).frame())
+
+
+@query
+def running_blocks(spark, sf):
+    rows = _line_series(spark, sf).withColumn("y", F.when(~((F.col("l_linenumber") == 7) & (F.year("l_shipdate") > 1995)), F.col("x")))
+    sums = _line_blocks(rows).with_running({"total": "x", "strict": "y"}).with_running({"loose": "y"}, strict=False)
+    return _plain(sums.frame())
+
+
+@query
+def adjusted_cfr_blocks(spark, sf):
+    """All metrics by blocks of 14 days, the reach of the delays."""
+    panel = metrics.aggregate_panel(P.country_long(spark, sf))
+    return metrics.add_metrics_blocked(panel, size=14).select("region", "date", "cfr_adv")
+
+
+@query
+def quantiles_spread(spark, sf):
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75, "q99": 0.99}
+    return _round(stats.quantiles(P.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", shares), *shares)
+
+
+@query
+def box_outliers_spread(spark, sf):
+    rows = P.table(spark, sf, "events").where("value IS NOT NULL")
+    return stats.box_outliers(rows, ["event_type"], "value").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 6).alias("most"))
+
+
+@query
+def loess_rate_spread(spark, sf):
+    """The smoother of ``loess_rate`` as it works on series of any length."""
+    rates = _staged(spark, sf).select("region", "date", windows.rate_per_previous("conf_1", "active", windows.series()).alias("g"))
+    return _round(loess.loess_fit(rates.where("g IS NOT NULL"), "region", "date", "g", 0.2, spread=True), "fit")
+
+
 # Order and selection
 
 
@@ -591,8 +653,7 @@ def pick_from_end(spark, sf):
 
 @query
 def ordinal_before_filter(spark, sf):
-    numbered = select.global_row_number(_user_totals(spark, sf), "n", "user_id", descending=True)
-    return numbered.where(F.col("user_id") % 3 == 1)
+    return select.global_row_number(_user_totals(spark, sf), "n", "user_id", descending=True)
 
 
 @query
