@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from daypanel.operators.blocks import placed
 from daypanel.operators.reshape import q
+from daypanel.session import stage
 
 CELL = 0.2  # share of a neighbourhood above which a cell is cut
 MIN_NEAR = 4  # points in a neighbourhood that determine a weighted quadratic
+SENT_SERIES = 20_000  # series whose vertices, under a kilobyte each, every task may hold
 MARGIN = 0.005  # the outer vertices lie this share of the range outside the data
 
 
@@ -98,21 +100,25 @@ def _vertices_spread(points: DataFrame, key: str, span: float, least: int) -> Da
     )
     cuts = rows.join(borders, ["key", "_pos"]).groupBy("key", "v").agg(((F.min("x") + F.max("x")) / 2).alias("at"))
     inner = cuts.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("v", "at"))), lambda c: c["at"]).alias("cuts"))
-    outer = sized.join(inner, "key", "left").select(
+    outer = _stage_small(sized.join(inner, "key", "left").select(
         "key", "n", "near", F.concat(F.array(first - F.col("pad")), F.coalesce("cuts", F.array().cast("array<double>")), F.array(last + F.col("pad"))).alias("ats")
-    )
+    ))
     shift = outer.select("key", F.col("near").cast("bigint").alias("near"))
     ends = rows.join(shift, "key").select("key", (F.col("_pos") - F.col("near") + 1).alias("_pos"), F.col("x").alias("hi")).where("_pos >= 0")
     windows = rows.select("key", "_pos", F.col("x").alias("lo")).join(ends, ["key", "_pos"]).join(outer, "key")
     lo, hi, at = F.col("lo"), F.col("hi"), F.col("_pos")
-    held = F.filter(
-        F.transform("ats", lambda v, i: F.struct(i.alias("v"), v.alias("at"))),
-        lambda c: ((c["at"] >= lo) & (c["at"] <= hi)) | ((at == 0) & (c["at"] <= lo)) | ((at == F.col("n") - F.col("near")) & (c["at"] >= hi)),
-    )
-    reach = windows.select("key", "lo", "hi", F.inline(held)).groupBy("key", "v", "at").agg(
+    held = F.filter("ats", lambda v: ((v >= lo) & (v <= hi)) | ((at == 0) & (v <= lo)) | ((at == F.col("n") - F.col("near")) & (v >= hi)))
+    reach = windows.select("key", "lo", "hi", F.explode(held).alias("at")).groupBy("key", "at").agg(
         F.min(F.greatest(F.col("at") - F.col("lo"), F.col("hi") - F.col("at"))).alias("h")
     )
-    return reach.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("v", "at", "h"))).alias("vs"))
+    found = reach.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("vs"))
+    return _stage_small(found.select("key", F.transform("vs", lambda v, i: F.struct(i.alias("v"), v["at"].alias("at"), v["h"].alias("h"))).alias("vs")))
+
+
+def _stage_small(df: DataFrame) -> DataFrame:
+    """A table of one row per series, written once; sent to every task if its count says that it is small, else joined by key."""
+    df = stage(df, "per-series")
+    return F.broadcast(df) if df.count() <= SENT_SERIES else df
 
 
 def _vertex_fits(points: DataFrame, vertices: DataFrame) -> DataFrame:

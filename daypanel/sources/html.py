@@ -34,7 +34,7 @@ class _Tables(HTMLParser):
             self._end_cell()
             spans = dict(attrs)
             self.open[-1]["text"] = []
-            self.open[-1]["span"] = [_span(spans.get(name)) for name in ("colspan", "rowspan")]
+            self.open[-1]["span"] = [_across(spans.get("colspan")), _down(spans.get("rowspan"))]
         elif self.open and tag == "br" and self.open[-1]["text"] is not None:
             self.open[-1]["text"].append(" ")
 
@@ -76,16 +76,22 @@ class _Tables(HTMLParser):
         self.done += [(top["table"], i, cells) for i, cells in enumerate(_grid(top["rows"]))]
 
 
-def _span(text: str | None) -> int:
-    return max(1, int(text)) if text and text.isdecimal() else 1
+# The largest spans that the HTML standard knows; larger ones count as these.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
-def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
-    """Cells of each row by column: a cell fills all columns and rows it spans.
+def _across(text: str | None) -> int:
+    """Columns of a cell; anything but a positive number is one."""
+    return min(int(text[:9]), MOST_COLUMNS) or 1 if text and text.isdecimal() else 1
 
-    No row is wider than the table has cells, so a span far beyond the table adds none.
-    """
-    width = sum(map(len, rows))
+
+def _down(text: str | None) -> int:
+    """Rows of a cell; zero means all that follow."""
+    return min(int(text[:9]), MOST_ROWS) or MOST_ROWS if text and text.isdecimal() else 1
+
+
+def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
+    """Cells of each row by column: a cell fills all columns and rows it spans, also beyond the cells of other rows."""
     out, hanging = [], {}
     for row in rows:
         cells: list[str] = []
@@ -100,7 +106,7 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
 
         for text, across, down in row:
             carried()
-            for _ in range(min(across, max(1, width - len(cells)))):
+            for _ in range(across):
                 if down > 1:
                     below[len(cells)] = (text, down - 1)
                 cells.append(text)

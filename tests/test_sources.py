@@ -164,14 +164,15 @@ def _stamp_and_stage(spark, rows):
     assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
 
 
-def test_stream_equals_batch(spark, tmp_path, rows):
+@pytest.mark.parametrize("ingest_rows", [ingest.ingest_snapshots, ingest.ingest_keyed])
+def test_stream_equals_batch(spark, tmp_path, rows, ingest_rows):
     folder, table, checkpoint = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "ck")
     line = "K{0};1,5;{0};2020-05-{1:02d} 09:00:00\n"
     head = "Kreis/Stadt;f;i;update\n"
 
     def run():
         stream = ingest.stream_folder(spark, str(folder), SCHEMA, files_per_batch=1)
-        ingest.ingest_snapshots(stream, table, checkpoint).awaitTermination()
+        ingest_rows(stream, table, checkpoint).awaitTermination()
         batch = files.read_folder(spark, str(folder), SCHEMA).drop("file_name").distinct()
         got = rows(ingest.read_ingested(spark, table, SCHEMA))
         assert got == rows(batch)
@@ -239,7 +240,7 @@ def test_spans_of_html_cells(spark, rows):
     got = [(t, r, list(c)) for _, t, r, c in rows(html.read_html_tables(spark.createDataFrame([(1, page)], "page_id int, html string")))]
     assert got == [
         (0, 0, ["x", "1"]), (0, 1, ["x", "2"]), (0, 2, ["y", "y", "3"]), (0, 3, ["y", "y", "4"]),
-        (1, 0, ["w", "w", "w"]), (1, 1, ["a", "b"]),
+        (1, 0, ["w"] * 1000), (1, 1, ["a", "b"]),
     ]
 
 
@@ -357,3 +358,90 @@ def test_a_header_a_file_plans_at_once(spark, tmp_path):
     assert time.perf_counter() - began < 60
     assert plan.count("FileScan text") == 1 and "Union" not in plan and len(plan) < 20_000
     assert {r.date: r.conf for r in long.collect()} == {day: float(i) for i, day in enumerate(days)}
+
+
+def test_spans_wider_than_the_cells_of_the_table(spark, rows):
+    page = (
+        "<table><tr><td colspan=5>x<td>y</tr><tr><td colspan=3>u<td colspan=3>w</tr></table>"
+        "<table><tr><td rowspan=0>a<td>1<tr><td>2<tr><td>3</table><table><tr><td colspan=0>a<td colspan=-2 rowspan=x>b</table>"
+    )
+    got = [(t, r, list(c)) for _, t, r, c in rows(html.read_html_tables(spark.createDataFrame([(1, page)], "page_id int, html string")))]
+    assert got == [
+        (0, 0, list("xxxxxy")), (0, 1, list("uuuwww")), (1, 0, ["a", "1"]), (1, 1, ["a", "2"]), (1, 2, ["a", "3"]), (2, 0, ["a", "b"]),
+    ]
+
+
+def test_keyed_state_survives_restarts_and_repeated_batches(spark, tmp_path, rows):
+    """State and table agree after a batch that was written but not committed; the table is never read."""
+    import shutil
+
+    folder, table, checkpoint = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "ck")
+    line = "K{0};1,5;{0};2020-05-{1:02d} 09:00:00\n"
+    head = "Kreis/Stadt;f;i;update\n"
+
+    def run():
+        stream = ingest.stream_folder(spark, str(folder), SCHEMA)
+        query = ingest.ingest_keyed(stream, table, checkpoint)
+        query.awaitTermination()
+        assert table not in str(query.lastProgress)
+        return rows(ingest.read_ingested(spark, table, SCHEMA).select("i"))
+
+    write(folder / "a.csv", head + line.format(1, 20) * 2 + line.format(2, 20))
+    assert run() == [(1.0,), (2.0,)]
+    write(folder / "b.csv", head + line.format(2, 20) + line.format(3, 1))
+    assert run() == [(1.0,), (2.0,), (3.0,)]
+    # The commit of the second batch gets lost: it runs again on the state of the first and replaces its rows.
+    (tmp_path / "ck" / "commits" / "1").unlink()
+    (tmp_path / "ck" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert run() == [(1.0,), (2.0,), (3.0,)]
+    # Without the table, only new rows come: what was seen is known from the state alone.
+    shutil.move(table, str(tmp_path / "moved"))
+    write(folder / "c.csv", head + line.format(1, 20) + line.format(4, 1))
+    assert run() == [(4.0,)]
+
+
+def test_published_snapshots_are_whole(spark, tmp_path, rows):
+    import threading
+
+    folder, day, other = str(tmp_path / "pub"), dt.date(2020, 5, 1), dt.date(2020, 5, 2)
+    frame = lambda v, n=2000: spark.range(n).select(F.col("id").alias("k"), F.lit(float(v)).alias("x")).repartition(4)
+    schema = frame(0).schema
+    assert sinks.read_published(spark, folder, schema).collect() == []
+    sinks.publish_snapshot(frame(0), folder, day)
+    sinks.publish_snapshot(frame(9, 3), folder, other)
+    old = sinks.read_published(spark, folder, schema, day)
+    seen, stop = [], threading.Event()
+
+    def watch():
+        while not stop.is_set():
+            r = sinks.read_published(spark, folder, schema, day).agg(F.count("k"), F.min("x"), F.max("x")).first()
+            seen.append(tuple(r))
+
+    reader = threading.Thread(target=watch)
+    reader.start()
+    try:
+        for v in (1, 2, 3):
+            sinks.publish_snapshot(frame(v), folder, day)
+    finally:
+        stop.set()
+        reader.join()
+    assert seen and all(n == 2000 and lo == hi for n, lo, hi in seen)
+    # A writer that ends before its mark leaves the version before.
+    sinks._write(frame(7, 5), f"{folder}/snapshot={day}/version=dead", "parquet")
+    now = sinks.read_published(spark, folder, schema)
+    assert rows(now.groupBy("snapshot").agg(F.count("k"), F.max("x"))) == [(day, 2000, 3.0), (other, 3, 9.0)]
+    # A frame made before reads on what it has resolved.
+    assert old.agg(F.max("x")).first()[0] == 0.0
+    assert sinks.remove_versions(spark, folder, keep=2) == 2
+    assert rows(sinks.read_published(spark, folder, schema).groupBy("snapshot").agg(F.max("x"))) == [(day, 3.0), (other, 9.0)]
+    with pytest.raises(ValueError):
+        sinks.remove_versions(spark, folder, keep=0)
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv", "csv2"])
+def test_published_formats(spark, tmp_path, rows, fmt):
+    df = spark.createDataFrame([("A", 1.5), ("B", None)], "k string, x double")
+    day = dt.date(2020, 5, 1)
+    for _ in range(2):
+        sinks.publish_snapshot(df, str(tmp_path), day, fmt)
+    assert rows(sinks.read_published(spark, str(tmp_path), df.schema, day, fmt)) == [("A", 1.5, day), ("B", None, day)]

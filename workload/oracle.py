@@ -147,6 +147,13 @@ sql(
     FROM he WHERE district <> 'Gesamtergebnis' AND "update" = (SELECT max("update") FROM he)""",
 )
 sql("write_read_partition", "SELECT region, province, date, conf, dea, rec, DATE '2024-01-31' AS snapshot FROM ev")
+sql("publish_atomic", "SELECT region, province, date, conf, dea, rec, DATE '2024-01-31' AS snapshot FROM ev")
+sql(
+    "scan_first_lines",
+    """SELECT o_orderstatus AS status, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS INTEGER) AS row_idx, o_orderkey, o_custkey
+    FROM orders QUALIFY row_idx <= 10""",
+)
+sql("stream_snapshots_keyed", f"SELECT {CLEAN} AS district, cumulated, last7, incidence, \"update\" FROM he")
 
 # Projection and reshape
 sql("project_select", "SELECT region, date, conf AS confirmed, dea AS deaths, rec, 'Beobachtung' AS status FROM cp")
@@ -326,6 +333,27 @@ sql(
 )
 sql("loess_rate_spread", *_loess("SELECT * FROM ratep", 0.2))
 
+# Panels with missing days
+_ACTIVE = f"""act AS (SELECT user_id, {EVENT_DAY} AS date, CAST(count(*) AS DOUBLE) AS n, sum(value) AS value, CAST(max(event_id) AS DOUBLE) AS last_id FROM events GROUP BY 1, 2)"""
+sql(
+    "gap_fill_days",
+    """SELECT *, last_id - lag(last_id, 7, 0) OVER (PARTITION BY user_id ORDER BY date) AS week FROM (
+      SELECT g.user_id, g.date, coalesce(a.n, 0) AS n, b.last_id, round(CASE WHEN a.date IS NOT NULL THEN a.value
+        ELSE b.value + (c.value - b.value) * (date_diff('day', b.date, g.date) / date_diff('day', b.date, c.date)) END, 6) + 0.0 AS value, a.date IS NULL AS filled
+      FROM (SELECT user_id, CAST(unnest(generate_series(min(date), (SELECT max(date) FROM act), INTERVAL 1 DAY)) AS DATE) AS date FROM act GROUP BY 1) g
+      LEFT JOIN act a ON a.user_id = g.user_id AND a.date = g.date
+      ASOF JOIN act b ON b.user_id = g.user_id AND g.date >= b.date
+      ASOF LEFT JOIN act c ON c.user_id = g.user_id AND g.date < c.date)""",
+    _ACTIVE,
+)
+sql(
+    "day_offsets",
+    """SELECT a.user_id, a.date, a.n, b.n AS n_7, a.last_id - c.last_id AS id_3, d.n AS known_7 FROM act a
+    LEFT JOIN act b ON b.user_id = a.user_id AND b.date = a.date - 7 LEFT JOIN act c ON c.user_id = a.user_id AND c.date = a.date - 3
+    ASOF LEFT JOIN act d ON d.user_id = a.user_id AND a.date - 7 >= d.date""",
+    _ACTIVE,
+)
+
 # Order and selection
 CTE["users"] = "SELECT user_id, count(*) AS n FROM events GROUP BY 1"
 sql("topk_ties", "SELECT * FROM users QUALIFY rank() OVER (ORDER BY n DESC) <= 10")

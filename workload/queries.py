@@ -34,7 +34,7 @@ from daypanel.functions import (
     try_div,
     weekday_label,
 )
-from daypanel.operators import filters, joins, loess, metrics, projection, reshape, select, stats, windows
+from daypanel.operators import filters, gaps, joins, loess, metrics, projection, reshape, select, stats, windows
 from daypanel.operators.blocks import Blocks
 from daypanel.operators.reshape import q
 from daypanel.plans import panels as pipelines, reports
@@ -304,6 +304,44 @@ def write_read_partition(spark, sf):
     return spark.read.parquet(folder).where(F.col("snapshot") == F.lit(P.AS_OF))
 
 
+@query
+def publish_atomic(spark, sf):
+    """Two days published by version: one is rerun, and a writer of the other ends before its mark."""
+    folder = scratch_dir(spark, "published")
+    long = P.country_long(spark, sf).drop("Lat", "Long")
+    sinks.publish_snapshot(long.where("conf > 10"), folder, P.AS_OF)
+    sinks.publish_snapshot(long, folder, P.AS_OF)
+    sinks.publish_snapshot(long.where("dea = 0"), folder, P.AS_OF - dt.timedelta(days=1), "csv2")
+    long.where("conf > 5").write.parquet(f"{folder}/snapshot={P.AS_OF}/version=unmarked")
+    return sinks.read_published(spark, folder, long.schema, P.AS_OF)
+
+
+@query
+def scan_first_lines(spark, sf):
+    """The first ten rows of compressed files, one per status."""
+    folder = scratch_dir(spark, "orders")
+    orders = P.table(spark, sf, "orders").select("o_orderstatus", "o_orderkey", "o_custkey")
+    line = F.concat_ws(";", "o_orderkey", "o_custkey")
+    head = orders.select(F.col("o_orderstatus").alias("status"), F.lit(0).cast("bigint").alias("at"), F.lit("order;customer").alias("line")).distinct()
+    body = orders.select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("at"), line.alias("line"))
+    lines = head.unionByName(body).repartition("status").sortWithinPartitions("status", "at")
+    lines.select("status", "line").write.partitionBy("status").option("compression", "gzip").text(folder)
+    rows = files.read_range(spark, folder, skip=0, n_max=10).where("row_idx > 0")
+    return rows.select(
+        F.regexp_extract("file", "status=([A-Z]+)", 1).alias("status"), "row_idx",
+        F.col("cells")[0].cast("bigint").alias("o_orderkey"), F.col("cells")[1].cast("bigint").alias("o_custkey"),
+    )
+
+
+@query
+def stream_snapshots_keyed(spark, sf):
+    """As ``stream_snapshots``, with the rows seen as keyed state."""
+    folder, base = _snapshot_folder(spark, sf), scratch_dir(spark, "ingest")
+    stream = ingest.stream_folder(spark, folder, _snapshot_schema(spark), files_per_batch=12)
+    ingest.ingest_keyed(stream, f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return _plain(ingest.read_ingested(spark, f"{base}/table", _snapshot_schema(spark)).withColumn(P.DISTRICT, strip_chars(q(P.DISTRICT), "- ")))
+
+
 @query
 def stream_snapshots(spark, sf):
     folder, base = _snapshot_folder(spark, sf), scratch_dir(spark, "ingest")
@@ -619,6 +657,34 @@ def loess_rate_spread(spark, sf):
     return _round(loess.loess_fit(rates.where("g IS NOT NULL"), "region", "date", "g", 0.2, spread=True), "fit")
 
 
+# Panels with missing days
+
+
+def _active_days(spark, sf):
+    """Events of users by day: only days with events have a row."""
+    events = P.table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("date"))
+    return events.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("value"), F.max("event_id").cast("double").alias("last_id"))
+
+
+@query
+def gap_fill_days(spark, sf):
+    """Filled days, then offsets in rows, which are days now."""
+    rows = stage(_active_days(spark, sf), "active-days")
+    ends = rows.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    rules = {"n": "zero", "last_id": "carry", "value": "linear"}
+    full = gaps.fill_days(rows, rules, "user_id", "date", last=ends.select("hi").scalar(), filled="filled")
+    w = windows.series("user_id", "date")
+    return _round(full.withColumn("week", windows.change("last_id", w, 7)), "value")
+
+
+@query
+def day_offsets(spark, sf):
+    rows, w = _active_days(spark, sf), gaps.days("user_id", "date")
+    return rows.select(
+        "user_id", "date", "n", gaps.shift_days("n", 7, w).alias("n_7"), gaps.change_days("last_id", 3, w).alias("id_3"), gaps.last_known("n", 7, w).alias("known_7")
+    )
+
+
 # Order and selection
 
 
