@@ -7,7 +7,10 @@ array of symbols. In each round every sequence applies its lowest-rank pair, all
 sequences with no pair left drop out. What survives is counted, then summed over the texts.
 
 Of a pair that occurs several times in its sequence, the leftmost occurrences are merged in the same round
-up to the first whose merge makes a pair of no higher rank, since the sequential order would take that first.
+up to the first whose merge makes a pair of no higher rank, since the sequential order would take that first. In
+some long sequences, such as runs of spaces, that leaves few merges a round: a sequence of more than ``LONG`` symbols
+of which a round would merge less than one in ``SLOW`` is merged in sequential order instead, with a queue.
+So the work is linear in the text, but for a logarithm, whatever it holds.
 
 Defined results: a null or empty text has no bytes and no tokens; special strings in a text are ordinary
 text; a character that the vocabulary lacks counts one token per byte; repeated rows and null ids are rows
@@ -16,7 +19,8 @@ like any other; columns other than id and text are ignored; an empty table gives
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,7 @@ from daypanel.llm import arrays as A
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
+LONG, SLOW = 512, 256
 _MARK = "▁"
 _NONE = np.int64(1) << np.int64(62)
 _HALF = np.uint64(32)
@@ -74,6 +79,11 @@ class Vocabulary:
         self.single[[ord(s) for s in score if len(s) == 1]] = True
         self.whole = np.array([s in score for s in symbols], dtype=bool)
 
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """Rank and result by pair, for merging one at a time."""
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+
     def merge(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair; a pair that does not merge has a rank above all."""
         key = left.astype(np.uint64) << _HALF | right.astype(np.uint64)
@@ -119,6 +129,14 @@ def count_symbols(codes: np.ndarray, offs: np.ndarray, vocab: Vocabulary) -> np.
             size, low = np.diff(np.append(first, len(seq))), low[low != _NONE]
         at = _leftmost(np.flatnonzero(rank == np.repeat(low, size)))
         at = at[_before_lower(at, symbol, seq, made, rank, vocab)]
+        merges = np.bincount(np.repeat(np.arange(len(size)), size)[at], minlength=len(size))
+        slow = (size > LONG) & (merges * SLOW < size)
+        if slow.any():
+            for s, e in zip(first[slow].tolist(), (first + size)[slow].tolist()):
+                out[seq[s]] += _in_order(symbol[s:e], cost[s:e], vocab)
+            keep = np.repeat(~slow, size)
+            symbol, cost, seq = symbol[keep], cost[keep], seq[keep]
+            continue
         symbol[at], cost[at] = made[at], 1
         keep = np.ones(len(symbol), dtype=bool)
         keep[at + 1] = False
@@ -126,6 +144,44 @@ def count_symbols(codes: np.ndarray, offs: np.ndarray, vocab: Vocabulary) -> np.
     return out
 
 
+def _in_order(symbol: np.ndarray, cost: np.ndarray, vocab: Vocabulary) -> int:
+    """Tokens of one sequence, its pairs merged one by one: lowest rank first, leftmost of equal ones.
+
+    The pairs at the start wait in a sorted list, those that merges make in a queue, which stays short.
+    """
+    n, pairs = len(symbol), vocab.pairs
+    rank, _ = vocab.merge(symbol[:-1], symbol[1:])
+    at = np.flatnonzero(rank < _NONE)
+    waiting = np.sort(rank[at] << 32 | at).tolist()[::-1]
+    queue: list[int] = []
+    sym, cost = symbol.tolist(), cost.tolist()
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while waiting or queue:
+        entry = heappop(queue) if queue and (not waiting or queue[0] < waiting[-1]) else waiting.pop()
+        here = entry & 0xFFFFFFFF
+        there = after[here]
+        # Symbols that are gone or unknown are negative. An entry counts if its place still has a pair of its rank.
+        if there >= n or sym[here] < 0 or sym[there] < 0:
+            continue
+        found = pairs.get(sym[here] << 32 | sym[there])
+        if found is None or found[0] != entry >> 32:
+            continue
+        sym[here], sym[there], cost[here], cost[there] = found[1], -2, 1, 0
+        far = after[here] = after[there]
+        if far < n:
+            before[far] = here
+            if sym[far] >= 0:
+                new = pairs.get(found[1] << 32 | sym[far])
+                if new:
+                    heappush(queue, new[0] << 32 | here)
+        near = before[here]
+        if near >= 0 and sym[near] >= 0:
+            new = pairs.get(sym[near] << 32 | found[1])
+            if new:
+                heappush(queue, new[0] << 32 | near)
+    return sum(cost)
+
+
 def _leftmost(at: np.ndarray) -> np.ndarray:
     """The occurrences that are merged when they are taken from the left: no two of them overlap."""
     run = np.append(True, at[1:] != at[:-1] + 1)

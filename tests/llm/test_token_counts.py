@@ -37,3 +37,24 @@ def test_frame_with_nulls_and_long_texts(spark, frame, exact):
         want.append(tuple(map(str, (d, len((t or "").encode()), n, n > 4096))))
     assert got == sorted(want)
     assert T.token_counts(frame(rows).limit(0)).collect() == []
+
+
+def test_any_pattern_takes_linear_time(exact):
+    import time
+
+    vocab = T.vocabulary(T.MODEL)
+    for pattern in [" ", "a", "=", "-", "0", "\n", "日", "ab", " a", "a ", "  a", "é", "▁", "..", "e", " \n"]:
+        text = pattern * (500_000 // len(pattern.encode()))
+        began = time.perf_counter()
+        assert T.count_tokens(pa.array([text]), vocab)[0] == len(exact.encode(text)), pattern
+        assert time.perf_counter() - began < 10, pattern
+
+
+def test_merging_in_order_gives_the_same(exact, monkeypatch):
+    monkeypatch.setattr(T, "LONG", 1)
+    monkeypatch.setattr(T, "SLOW", 1 << 40)
+    rng = random.Random(6)
+    texts = [" " * n for n in range(1, 120)] + [" " * n + "the=" * 3 for n in range(1, 60)]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 400))) for pool in ("  ab", "=-* ", "thein ", "éa日 ", "0a.,") for _ in range(60)]
+    got = T.count_tokens(pa.array(texts), T.vocabulary(T.MODEL)).tolist()
+    assert got == [len(x) for x in exact.encode(texts, num_threads=1)]
