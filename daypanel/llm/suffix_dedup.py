@@ -14,8 +14,9 @@
 4. An anchor with more than ``MOST`` different stretches (a hot passage among near copies) is cut by window
    instead: equal windows are folded in the same way by a distributed group, exactly.
 
-The order of windows is (doc_id, start) on the input. Defined results: a null id sorts first; rows with
-equal ids are one document seen several times, so a string is earlier only by (id, start); a null or empty
+The order of windows is (doc_id, start) on the input. Defined results: a null id sorts first; rows with equal
+ids, also null ones, and different texts are different documents in the order of a hash of id and text, by which all
+rows are joined, so no id is a hot key; rows equal in id and text are one document seen several times; a null or empty
 text, or one shorter than ``length``, loses nothing; an empty table gives an empty table; other columns are
 passed through or ignored.
 """
@@ -42,7 +43,7 @@ MOST = 8192
 PART = 9
 #: Bytes of stretches that are solved at a time, and symbols whose suffix arrays are built in step.
 BATCH = 2 << 20
-_KEEP = ["h", "stretch", "id", "at", "fold", "lead"]
+_KEEP = ["h", "stretch", "id", "k", "at", "fold", "lead"]
 _NO_ID = -(1 << 63)
 _U32 = np.uint64(32)
 
@@ -74,7 +75,7 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(id, h, n): the distinct anchor hashes of each text and how often each is picked."""
+    """(k, h, n): the distinct anchor hashes of each text and how often each is picked."""
 
     def run(batch):
         buf, offs = A.utf8(batch.column(1))
@@ -84,10 +85,10 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         many = np.ones(len(value), dtype=np.int32)
         if not new.all():
             many[:] = np.where(A.repeated(A.mix(value + A.mix(owner.astype(np.uint64)))), 2, 1)
-        ids = batch.column(0).take(pa.array(owner[new]))
-        return pa.RecordBatch.from_arrays([ids, pa.array(value[new].view(np.int64)), pa.array(many[new])], names=["id", "h", "n"])
+        keys = batch.column(0).take(pa.array(owner[new]))
+        return pa.RecordBatch.from_arrays([keys, pa.array(value[new].view(np.int64)), pa.array(many[new])], names=["k", "h", "n"])
 
-    return A.map_texts(docs, "text", run, "id long, h long, n int")
+    return A.map_texts(docs, "text", run, "k long, h long, n int")
 
 
 def _mine(column: pa.Array, value: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -115,36 +116,37 @@ def _find(row, at, fold, own_row, own_at, own_fold) -> tuple[np.ndarray, np.ndar
 
 
 def _folds(rows: DataFrame, length: int) -> DataFrame:
-    """(h, fold, id, at) of the repeated anchors: hashes of the anchor and of its stretch, and its place.
+    """(h, fold, id, k, at) of the repeated anchors: hashes of the anchor and of its stretch, and its place.
 
-    Of equal stretches in a batch only the first by (id, at) is emitted.
+    Of equal stretches in a batch only the first by (id, k, at) is emitted.
     """
 
     def run(batch):
-        buf, offs = A.utf8(batch.column(1))
+        buf, offs = A.utf8(batch.column(2))
         owner, place, value, first, last = anchors(buf, offs, length)
-        own = np.flatnonzero(_mine(batch.column(2), value, owner))
-        ids, at = batch.column(0).to_numpy(zero_copy_only=False)[owner[own]], place[own] - offs[owner[own]]
+        own = np.flatnonzero(_mine(batch.column(3), value, owner))
+        ids, k = (batch.column(c).to_numpy(zero_copy_only=False)[owner[own]] for c in (0, 1))
+        at = place[own] - offs[owner[own]]
         fold = A.span_hash(buf, first[own], last[own] + length)
         key = A.mix(value[own] ^ A.mix(fold))
         keep = np.ones(len(own), dtype=bool)
         again = np.flatnonzero(A.repeated(key))
-        again = again[np.lexsort((at[again], ids[again], key[again]))]
+        again = again[np.lexsort((at[again], k[again], ids[again], key[again]))]
         keep[again[np.append(False, key[again][1:] == key[again][:-1])[: len(again)]]] = False
-        cols = [value[own][keep].view(np.int64), fold[keep].view(np.int64), ids[keep], at[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "fold", "id", "at"])
+        cols = [value[own][keep].view(np.int64), fold[keep].view(np.int64), ids[keep], k[keep], at[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "fold", "id", "k", "at"])
 
-    return A.map_texts(rows, "text", run, "h long, fold long, id long, at long")
+    return A.map_texts(rows, "text", run, "h long, fold long, id long, k long, at long")
 
 
 def _stretches(rows: DataFrame, length: int) -> DataFrame:
-    """(h, stretch, id, at, fold, n, lead) of the anchors listed in ``want`` (at, fold, n) of each text."""
+    """(h, stretch, id, k, at, fold, n, lead) of the anchors listed in ``want`` (at, fold, n) of each text."""
 
     def run(batch):
-        buf, offs = A.utf8(batch.column(1))
+        buf, offs = A.utf8(batch.column(2))
         owner, place, value, first, last = anchors(buf, offs, length)
         fold = A.span_hash(buf, first, last + length)
-        lists = batch.column(2)
+        lists = batch.column(3)
         at, listed, many = lists.flatten().flatten()
         row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
         found, own = _find(row, np.asarray(at), np.asarray(listed).view(np.uint64), owner, place - offs[owner], fold)
@@ -152,15 +154,15 @@ def _stretches(rows: DataFrame, length: int) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum(size)])
         span = np.arange(ends[-1]) + np.repeat(first[own] - ends[:-1], size)
         return pa.RecordBatch.from_arrays(
-            [pa.array(value[own].view(np.int64)), A.ragged(buf[span], ends), batch.column(0).take(pa.array(owner[own])),
+            [pa.array(value[own].view(np.int64)), A.ragged(buf[span], ends), *[batch.column(c).take(pa.array(owner[own])) for c in (0, 1)],
              pa.array((place - offs[owner])[own]), pa.array(fold[own].view(np.int64)), many.take(pa.array(found)), pa.array((place - first)[own])],
-            names=["h", "stretch", "id", "at", "fold", "n", "lead"],
+            names=["h", "stretch", "id", "k", "at", "fold", "n", "lead"],
         )
 
-    return A.map_texts(rows, "text", run, "h long, stretch binary, id long, at long, fold long, n long, lead long")
+    return A.map_texts(rows, "text", run, "h long, stretch binary, id long, k long, at long, fold long, n long, lead long")
 
 
-_FIRST = "min(struct(id, at)) AS p"
+_FIRST = "min(struct(id, k, at)) AS p"
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -176,11 +178,11 @@ def _classes(table: pa.Table, length: int) -> np.ndarray:
     h, lead = table["h"].to_numpy().view(np.uint64), table["lead"].to_numpy()
     buf, offs = A.utf8(table["stretch"].combine_chunks())
     many = np.diff(offs) - length + 1
-    # Order by (id, place of the anchor); ties are equal places of rows that share an id.
-    ids, places = table["id"].to_numpy(), table["at"].to_numpy()
-    sort = np.lexsort((places, ids))
-    rank = np.empty(len(ids), dtype=np.int64)
-    rank[sort] = np.cumsum(np.append(True, (ids[sort][1:] != ids[sort][:-1]) | (places[sort][1:] != places[sort][:-1])))
+    # Order by (id, k, place of the anchor); ties are equal places of rows that are equal.
+    by = [table[c].to_numpy() for c in ("at", "k", "id")]
+    sort = np.lexsort(by)
+    rank = np.empty(len(sort), dtype=np.int64)
+    rank[sort] = np.cumsum(np.append(True, np.any([x[sort][1:] != x[sort][:-1] for x in by], axis=0)))
     # Parts: windows whose start lies PART * p .. PART * p + PART - 1 bytes before the anchor.
     low = (lead - many + 1) // PART
     count = lead // PART - low + 1
@@ -245,7 +247,7 @@ def _windows(buf, start, end, core, core_end, group, rank, length: int) -> np.nd
 
 
 def _partly(rows: DataFrame, length: int) -> DataFrame:
-    """(id, at, fold, gone): of the first occurrence of each stretch, the windows held by an earlier stretch.
+    """(k, at, fold, gone): of the first occurrence of each stretch, the windows held by an earlier stretch.
 
     ``gone`` are starts of windows, counted from the stretch. Rows of an anchor lie together.
     """
@@ -255,8 +257,8 @@ def _partly(rows: DataFrame, length: int) -> DataFrame:
         gone = np.sort(_classes(table, length))
         cut = np.searchsorted(gone, offs)
         local = (gone - np.repeat(offs[:-1], np.diff(cut))).astype(np.int32)
-        cols = [table[c].combine_chunks() for c in ("id", "at", "fold")]
-        return pa.RecordBatch.from_arrays([*cols, A.ragged(local, cut)], names=["id", "at", "fold", "gone"])
+        cols = [table[c].combine_chunks() for c in ("k", "at", "fold")]
+        return pa.RecordBatch.from_arrays([*cols, A.ragged(local, cut)], names=["k", "at", "fold", "gone"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
@@ -283,7 +285,7 @@ def _partly(rows: DataFrame, length: int) -> DataFrame:
                 yield solve(table.slice(at, stop - at))
                 at = stop
 
-    return rows.mapInArrow(run, "id long, at long, fold long, gone binary")
+    return rows.mapInArrow(run, "k long, at long, fold long, gone binary")
 
 
 def _portions(table: pa.Table, h: np.ndarray, rows: int) -> list[int]:
@@ -306,15 +308,15 @@ def _by_window(rows: DataFrame, length: int) -> DataFrame:
         i = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         at = offs[row] + i
         w = np.stack([A.span_hash(x, at, at + length) for x in (buf, buf ^ np.uint8(0xA5))], axis=1)
-        ids, places, fold = (batch.column(c).take(pa.array(row)) for c in (2, 3, 4))
+        own = [batch.column(c).take(pa.array(row)) for c in (2, 3, 4, 5)]
         return pa.RecordBatch.from_arrays(
-            [A.ragged(w.reshape(-1).view(np.uint8), np.arange(len(row) + 1) * 16), ids, places, fold, pa.array(i.astype(np.int32))],
-            names=["w", "id", "at", "fold", "i"],
+            [A.ragged(w.reshape(-1).view(np.uint8), np.arange(len(row) + 1) * 16), *own, pa.array(i.astype(np.int32))],
+            names=["w", "id", "k", "at", "fold", "i"],
         )
 
-    windows = A.map_texts(rows, "stretch", cut, "w binary, id long, at long, fold long, i int")
-    best = windows.groupBy("w").agg(F.expr(_FIRST)).select("w", "p.id", "p.at")
-    held = windows.join(staged(best, "first-windows"), ["w", "id", "at"]).groupBy("id", "at", "fold").agg(F.collect_set("i").alias("held"))
+    windows = A.map_texts(rows, "stretch", cut, "w binary, id long, k long, at long, fold long, i int")
+    best = windows.groupBy("w").agg(F.expr(_FIRST)).select("w", "p.k", "p.at")
+    held = windows.join(staged(best, "first-windows"), ["w", "k", "at"]).groupBy("k", "at", "fold").agg(F.collect_set("i").alias("held"))
 
     def pack(batch):
         out = []
@@ -322,10 +324,10 @@ def _by_window(rows: DataFrame, length: int) -> DataFrame:
             gone = np.ones(max(0, size - length + 1), dtype=bool)
             gone[held or []] = False
             out.append(np.flatnonzero(gone).astype(np.int32).tobytes())
-        return pa.RecordBatch.from_arrays([*batch.columns[1:4], pa.array(out, pa.binary())], names=["id", "at", "fold", "gone"])
+        return pa.RecordBatch.from_arrays([*batch.columns[1:4], pa.array(out, pa.binary())], names=["k", "at", "fold", "gone"])
 
-    packed = rows.join(held, ["id", "at", "fold"], "left").select("stretch", "id", "at", "fold", "held")
-    return A.map_texts(packed, "stretch", pack, "id long, at long, fold long, gone binary")
+    packed = rows.join(held, ["k", "at", "fold"], "left").select("stretch", "k", "at", "fold", "held")
+    return A.map_texts(packed, "stretch", pack, "k long, at long, fold long, gone binary")
 
 
 def _spans(buf, offs, lists: pa.Array, firsts: pa.Array, length: int) -> list[np.ndarray]:
@@ -352,19 +354,20 @@ def _spans(buf, offs, lists: pa.Array, firsts: pa.Array, length: int) -> list[np
 
 
 def _prepared(docs: DataFrame, doc_id: str, text: str, length: int, hollow: bool) -> tuple[DataFrame, DataFrame]:
-    """(rows with the repeated anchors of each text, stretches that each id is first to hold).
+    """(rows with the repeated anchors of each text, stretches that each row is first to hold).
 
-    Rows have the columns of ``docs`` as ``d0 ..``, then ``id``, ``hs``. With ``hollow`` the text of rows
+    Rows have the columns of ``docs`` as ``d0 ..``, then ``id``, ``k`` (a hash of id and text, by which rows are joined), ``hs``. With ``hollow`` the text of rows
     without a repeated anchor is replaced by its length and digest, which is all that their result needs.
     """
     names = docs.columns
     plain = docs.toDF(*[f"d{i}" for i in range(len(names))])
     t = f"d{names.index(text)}"
-    plain = plain.withColumn("id", F.coalesce(f"d{names.index(doc_id)}", F.lit(_NO_ID)))
-    rows = staged(_anchor_rows(plain.select("id", F.col(t).alias("text")), length), "anchors")
+    own_id = f"d{names.index(doc_id)}"
+    plain = plain.withColumns({"id": F.coalesce(own_id, F.lit(_NO_ID)), "k": F.xxhash64(own_id, t)})
+    rows = staged(_anchor_rows(plain.select("k", F.col(t).alias("text")), length), "anchors")
     again = staged(rows.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated")
-    lists = rows.select("id", "h").join(again, "h").groupBy("id").agg(F.collect_set("h").alias("hs"))
-    joined = plain.join(lists, "id", "left")
+    lists = rows.select("k", "h").join(again, "h").groupBy("k").agg(F.collect_set("h").alias("hs"))
+    joined = plain.join(lists, "k", "left")
     if hollow:
         bytes_ = F.coalesce(F.col(t), F.lit(""))
         joined = joined.withColumns(
@@ -375,20 +378,22 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, length: int, hollow: bool
             }
         )
     joined = staged(joined, "candidates")
-    some = joined.where("hs IS NOT NULL").select("id", F.col(t).alias("text"), "hs")
-    folds = _folds(some, length).groupBy("h", "fold").agg(F.expr(_FIRST)).select("h", "fold", "p.id", "p.at")
+    some = joined.where("hs IS NOT NULL").select("id", "k", F.col(t).alias("text"), "hs")
+    folds = _folds(some, length).groupBy("h", "fold").agg(F.expr(_FIRST)).select("h", "fold", "p.k", "p.at")
     folds = staged(folds, "folds")
     sizes = folds.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     folds = folds.join(staged(sizes.where("n > 1"), "sizes"), "h", "left")
-    single = folds.where("n IS NULL").select("id", "at", "fold", F.unhex(F.lit("")).alias("gone"))
+    single = folds.where("n IS NULL").select("k", "at", "fold", F.unhex(F.lit("")).alias("gone"))
     want = F.collect_list(F.struct("at", "fold", "n")).alias("want")
-    wanted = folds.where("n IS NOT NULL").groupBy("id").agg(want)
-    several = staged(_stretches(some.join(wanted, "id").select("id", "text", "want"), length), "stretches")
+    wanted = folds.where("n IS NOT NULL").groupBy("k").agg(want)
+    # Rows that are equal are one document: one of them speaks for all.
+    speakers = some.join(wanted, "k").select("id", "k", "text", "want").dropDuplicates(["k"])
+    several = staged(_stretches(speakers, length), "stretches")
     # Groups of like size lie together: the suffix arrays of a batch advance in step.
     cool = several.where(F.col("n") <= MOST).repartition("h").sortWithinPartitions("n", "h")
     hot = several.where(F.col("n") > MOST)
     firsts = single.unionByName(_partly(cool.select(*_KEEP), length)).unionByName(_by_window(hot.select(*_KEEP[:-1]), length))
-    firsts = firsts.groupBy("id").agg(F.collect_list(F.struct("at", "fold", "gone")).alias("held"))
+    firsts = firsts.groupBy("k").agg(F.collect_list(F.struct("at", "fold", "gone")).alias("held"))
     return joined, firsts
 
 
@@ -400,7 +405,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         + [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
         + [StructField("kept_sha256", docs.schema[text].dataType)]
     )
-    some = joined.where("hs IS NOT NULL").join(firsts, "id", "left").select("d0", "d1", "hs", "held")
+    some = joined.where("hs IS NOT NULL").join(firsts, "k", "left").select("d0", "d1", "hs", "held")
 
     def run(batch):
         buf, offs = A.utf8(batch.column(1))
@@ -433,7 +438,7 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
     t = names.index(text)
     joined, firsts = _prepared(docs, doc_id, text, length, hollow=False)
     own = [f"d{i}" for i in range(len(names))]
-    some = joined.where("hs IS NOT NULL").join(firsts, "id", "left").select(*own, "hs", "held")
+    some = joined.where("hs IS NOT NULL").join(firsts, "k", "left").select(*own, "hs", "held")
     schema = StructType([StructField(f"d{i}", docs.schema[c].dataType) for i, c in enumerate(names)])
 
     def run(batch):

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from daypanel.llm import suffix_dedup as S
 from daypanel.llm.lyndon_suffixes import suffix_arrays
@@ -80,3 +81,33 @@ def test_suffix_arrays_against_sorting():
         got = suffix_arrays(np.concatenate(texts), offs)
         for i, t in enumerate(texts):
             assert list(got[offs[i] : offs[i + 1]] - offs[i]) == sorted(range(len(t)), key=lambda p: list(t[p:]))
+
+
+def test_null_ids_are_documents_of_their_own(spark, frame):
+    """Texts without id are documents in the order of a hash; fully equal rows are one document."""
+    rng = random.Random(9)
+    own = lambda: "".join(rng.choice("abcdefgh") for _ in range(130))
+    passage = own()
+    texts = [own() + passage + own() for _ in range(30)]
+    keyed = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string")
+    place = {r.text: r.k for r in keyed.select("text", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    order = sorted(texts, key=place.get)
+    for rows in (texts, texts + texts[:1], texts + order[:1] * 3 + order[7:9] * 2):
+        want = brute([(i, t) for i, t in enumerate(order)] + [(order.index(t), t) for t in rows[len(texts) :]])
+        got = result(S.removed(frame([(None, t) for t in rows])))
+        assert [g[1:] for g in sorted(got, key=lambda g: g[4])] == [w[1:] for w in sorted(want, key=lambda w: w[4])]
+
+
+@pytest.mark.parametrize("n", [2000])
+def test_null_ids_cost_as_much_as_others(spark, frame, n):
+    import time
+
+    rng = random.Random(10)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(n // 4)]
+    texts = [" ".join(rng.choice(passages) + str(rng.random()) for _ in range(3)) for _ in range(n)]
+    times = []
+    for ids in (range(n), [None] * n):
+        began = time.perf_counter()
+        S.removed(frame(list(zip(ids, texts)))).collect()
+        times.append(time.perf_counter() - began)
+    assert times[1] < 2 * times[0] + 5
