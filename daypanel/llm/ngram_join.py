@@ -25,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from daypanel.llm import arrays as A
@@ -88,22 +88,28 @@ def _bands(grams: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.ndarr
     return out
 
 
+def _text_key(text: str) -> Column:
+    """128-bit digest of a text: with the id it names a row, whatever ids repeat or lack."""
+    return F.unhex(F.md5(F.col(text)))
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, bands): the key of each text's n-gram set and its band hashes."""
+    """(doc_id, tk, node, bands): a digest of each text, the key of its n-gram set and its band hashes."""
     schema = StructType(
-        [StructField("doc_id", docs.schema[doc_id].dataType), StructField("node", BinaryType()), StructField("bands", ArrayType(LongType()))]
+        [StructField("doc_id", docs.schema[doc_id].dataType), StructField("tk", BinaryType()), StructField("node", BinaryType()),
+         StructField("bands", ArrayType(LongType()))]
     )
 
     def run(batch):
-        grams, at = _sets(batch.column(1), n)
+        grams, at = _sets(batch.column(2), n)
         keys = _keys(grams, at)
         found = _bands(grams, at, bands, rows)
         empty = np.array([k is None for k in keys], dtype=bool)
         ends = np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.reshape(-1).view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), lists], names=schema.names)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.binary()), lists], names=schema.names)
 
-    return A.map_texts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", run, schema)
+    return A.map_texts(docs.select(F.col(doc_id).alias("doc_id"), _text_key(text).alias("tk"), F.col(text).alias("text")), "text", run, schema)
 
 
 def _grams_of(rows: DataFrame, n: int) -> DataFrame:
@@ -229,12 +235,21 @@ def near_duplicates(
     ``n_links`` counts the other rows whose n-gram Jaccard similarity is at least ``threshold``; ``class_id``
     is the lowest id among the rows connected by such links.
     """
+    sig, answer = _classes(docs, doc_id, text, n, threshold, recall)
+    known = sig.where("node IS NOT NULL").select("doc_id", "node")
+    blank = sig.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return known.join(answer.drop("root"), "node").select("doc_id", "class_id", "n_links").unionByName(blank)
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tk, node, bands) of every row, and (node, root, class_id, n_links) of every set of n-grams."""
     bands, rows = choose_bands(threshold, recall)
     sig = staged(signatures(docs, doc_id, text, n, bands, rows), "signatures")
     known = sig.where("node IS NOT NULL")
     sets = staged(
         known.groupBy("node").agg(
-            F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")
+            F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"),
+            F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "tk")).alias("row"),
         ),
         "sets",
     )
@@ -244,9 +259,10 @@ def near_duplicates(
     leads = staged(leads.where("n > 1").drop("n"), "leaders")
     members = staged(bucket.join(leads, ["band", "h"]).select("leader", "node").distinct(), "members")
 
-    wanted = members.select("node").distinct().join(sets.select("node", F.coalesce("first_id", F.lit(_NO_ID)).alias("id")), "node")
-    texts = docs.select(F.coalesce(F.col(doc_id), F.lit(_NO_ID)).alias("id"), F.col(text).alias("text"))
-    grams = staged(_grams_of(wanted.join(texts, "id").select("node", "text"), n), "grams")
+    # One row of each set gives its n-grams again; rows of no or one id are told apart by their texts.
+    wanted = members.select("node").distinct().join(sets.select("node", "row.id", "row.tk"), "node")
+    texts = docs.select(F.coalesce(F.col(doc_id), F.lit(_NO_ID)).alias("id"), _text_key(text).alias("tk"), F.col(text).alias("text"))
+    grams = staged(_grams_of(wanted.join(texts, ["id", "tk"]).select("node", "text"), n), "grams")
     own = members.join(grams.withColumnRenamed("grams", "own"), "node")
     theirs = grams.select(F.col("node").alias("leader"), F.col("grams").alias("theirs"))
     delta = staged(_differences(own.join(theirs, "leader").select("leader", "node", "own", "theirs")), "differences")
@@ -268,21 +284,25 @@ def near_duplicates(
     per_set = per_set.select("node", "size", "first_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     per_set = staged(per_set, "sets")
     classes = per_set.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    answer = per_set.join(classes, "root").select("node", "class_id", (F.col("size") - 1 + F.col("links")).alias("n_links"))
-    blank = sig.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return known.select("doc_id", "node").join(answer, "node").select("doc_id", "class_id", "n_links").unionByName(blank)
+    return sig, per_set.join(classes, "root").select("node", "root", "class_id", (F.col("size") - 1 + F.col("links")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without the near-duplicates: of each class the row with the lowest id stays.
+    """The rows of ``docs`` without the near-duplicates: of each class the row with the lowest id stays, with its columns unchanged.
 
-    Rows with a null id stay, and rows of one id and text are reduced to one. An id whose rows fall in
-    several classes is judged by the lowest of them.
+    Rows are judged one by one, also those of one id: a text that is like no other stays. A null id comes after
+    all others, equal ids are told apart by a digest of the text, and of fully equal rows one stays. A blank text is a
+    class of its own and stays. Other columns may have any name.
     """
-    found = near_duplicates(docs, doc_id, text).where("doc_id IS NOT NULL")
-    best = found.groupBy(F.col("doc_id").alias("_id")).agg(F.min("class_id").alias("_class"))
-    own = F.col(f"`{doc_id}`")
-    again = F.row_number().over(Window.partitionBy(own, F.xxhash64(f"`{text}`")).orderBy(own))
-    rows = docs.where(own.isNotNull()).join(best, own == F.col("_id")).where("_class = _id")
-    rows = rows.withColumn("_again", again).where("_again = 1").select(docs.columns)
-    return rows.unionByName(docs.where(own.isNull()))
+    names = docs.columns
+    plain = docs.toDF(*[f"d{i}" for i in range(len(names))])
+    own, body = f"d{names.index(doc_id)}", f"d{names.index(text)}"
+    sig, answer = _classes(plain, own, body, NGRAM, THRESHOLD, RECALL)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "tk")
+    known = sig.where("node IS NOT NULL").select("node", row.alias("row"))
+    first = known.join(answer.select("node", "root"), "node").groupBy("root").agg(F.min("row").alias("row")).select("row.id", "row.tk")
+    solid = F.coalesce(F.col(body).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = plain.where(solid).withColumns({"id": F.coalesce(own, F.lit(_NO_ID)), "tk": _text_key(body)})
+    again = F.row_number().over(Window.partitionBy("id", "tk").orderBy("id"))
+    rows = keyed.join(first, ["id", "tk"]).withColumn("again", again).where("again = 1").drop("id", "tk", "again")
+    return rows.unionByName(plain.where(~solid)).toDF(*names)

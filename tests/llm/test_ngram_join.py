@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from daypanel.llm import ngram_join as J
 from daypanel.llm.components import components
@@ -74,10 +75,47 @@ def test_keep_one_of_each_group(spark, frame):
     docs = frame([(5, text), (2, text), (2, text), (9, "other words of a text"), (None, text), (7, None)])
     out = J.keep_one(docs)
     assert out.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in out.collect()) == ["2", "7", "9", "None"]
+    # The row without id is a copy of a kept row.
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["2", "7", "9"]
     assert J.keep_one(docs.limit(0)).collect() == []
 
 
+def test_keep_one_judges_rows(spark, frame):
+    words = lambda a, n=40: " ".join(f"{a}{i}" for i in range(n))
+    rows = [
+        (1, words("a")), (1, words("b")), (1, words("c") + " more"), (0, words("c")),  # one id, three texts, one of them a near copy of an earlier row
+        (None, words("d")), (None, words("d")), (None, words("d") + " end"), (None, words("e")),  # no ids: one of the near copies stays
+        (5, words("e")), (6, ""), (6, None), (6, " "),
+    ]
+    docs = frame(rows)
+    for name in ("_id", "_class", "id", "tk", "again", "root", "a.b", "node"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = J.keep_one(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    alone = [g for g in got if g[0] is None]
+    assert len(alone) == 1 and alone[0][1].startswith("d0")
+    assert [g for g in got if g[0] is not None] == sorted([(0, words("c")), (1, words("a")), (1, words("b")), (5, words("e")), (6, ""), (6, None), (6, " ")], key=str)
+    assert {r["a.b"] for r in out.collect()} == {"a.b"}
+
+
+def test_null_ids_cost_as_much_as_others(spark, frame):
+    import time
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(1000):
+        base = [f"w{rng.randrange(3000)}" for _ in range(80)]
+        rows += [" ".join(base), " ".join([*base, f"x{i}"])]
+    times, found = [], []
+    for ids in (range(len(rows)), [None] * len(rows)):
+        began = time.perf_counter()
+        found.append(sorted(r.n_links for r in J.near_duplicates(frame(list(zip(ids, rows)))).collect()))
+        times.append(time.perf_counter() - began)
+    assert found[0] == found[1] and set(found[0]) == {1}
+    assert times[1] < 2 * times[0] + 5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 201), (201, 202), (200, 202)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
