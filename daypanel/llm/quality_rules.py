@@ -35,9 +35,8 @@ _WINDOW = 5
 
 MIN_WORDS = 10
 MAX_REPEATED_SHARE = 20
-#: Rows looked at for cost and selectivity.
+#: Rows looked at for cost and selectivity, on average.
 SAMPLE_ROWS = 400
-SAMPLE_FRACTION = 0.05
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -162,8 +161,12 @@ _PROFILE = "rule string, rows long, rejected long, seconds double"
 
 
 def profile(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> list[dict]:
-    """Rows, rejections and seconds of each rule on a sample of at most ``SAMPLE_ROWS`` rows."""
-    sample = docs.select(F.col(text).alias("text")).sample(SAMPLE_FRACTION, 11).limit(SAMPLE_ROWS)
+    """Rows, rejections and seconds of each rule on a sample of about ``SAMPLE_ROWS`` rows.
+
+    Every row is drawn by itself with the same chance, so no task gathers the sample, however many there are.
+    """
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    sample = docs.select(F.col(f"`{text}`").alias("text")).sample(share, 11)
 
     def measure(batches):
         for batch in batches:
