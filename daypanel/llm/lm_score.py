@@ -7,13 +7,15 @@ the text better than the background does.
 
 The vocabulary is every word of the corpus, each for itself, and no table of the models is gathered whole:
 
-1. Words are counted, in tasks first, then by a shuffle. The ``HEADS`` most frequent ones (more where the corpus
-   is so large that the next one would stand more than ``MOST`` times) are the heads. Counts of pairs of heads,
-   with all other words as one, are a small square table, which every task gets.
-2. Every occurrence of any other word travels once, with the word before it and the head after it, to the
-   bucket of its word. There all pairs that it is in are counted, and the losses that depend on them are
-   summed for each row. A word that is no head is less than one in ``HEADS`` of all, so no bucket is hot.
-3. The sums of a row from its buckets and from the heads are added.
+1. The texts are cut into chunks, one row each: word numbers in order, and the words by hash. A chunk counts
+   its words, how often each is followed by another, and its pairs, in good texts and in all.
+2. Each chunk sends every count once, with its key, to the bucket of the key. There counts are summed, and
+   the sums go back to the chunks in the order in which they were sent. A word that makes up most of the corpus is one entry a
+   chunk. Buckets grow in number with the tokens, empty ones send nothing: what moves is at most the tokens.
+3. Each chunk scores its texts with the sums of its own keys.
+
+With ``leave_out`` each text is also scored by models that have not seen it: its own counts are taken off first. Such a
+good text does not score high for being among the good ones, and a text that occurs twice is told from one that occurs once.
 
 With ``classes`` the vocabulary is folded to ``2 * classes`` symbols first: the most frequent words each for itself,
 every other word in one of ``classes`` classes by hash.
@@ -29,23 +31,26 @@ a target document both models are the background, and all scores are zero; an em
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from daypanel.llm import arrays as A
-from daypanel.llm.staging import staged
-
-HEADS = 512
-#: Occurrences of a word that is no head, at most, and tokens of a bucket.
-MOST = 8_000_000
-BUCKET = 2_000_000
-#: Buckets at least; sums leave a bucket once for each row that it holds a word of.
-LEAST = 128
+from daypanel.llm.collocations import pack, unpack
+from daypanel.llm.staging import dropped, staged
+
+#: Bytes of a chunk of texts; no text is cut.
+CHUNK = 8 << 20
+#: Tokens for each bucket of counts, and buckets at least.
+BUCKET = 500_000
+LEAST = 64
+#: Chunks that a Python task takes at once.
+_BATCH = 4
 #: Weight of the pair estimate grows with the count of the first word: c / (c + PRIOR).
 PRIOR = 20.0
 UNIFORM = 0.01
@@ -89,56 +94,6 @@ def folded(words: np.ndarray, frequent: np.ndarray, classes: int) -> np.ndarray:
     return A.mix(np.where(place > 0, place, rare).astype(np.uint64))
 
 
-@dataclass
-class Vocabulary:
-    """What tasks need to read a text: the heads (sorted), and the words that make one symbol where it is folded."""
-
-    heads: np.ndarray
-    size: int
-    total: int
-    frequent: np.ndarray | None = None
-    classes: int | None = None
-
-    def read(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, symbol, before, first): each token, its head (the number after the last head for others), and that of the one before."""
-        words, first = _tokens(column)
-        if self.classes is not None:
-            words = folded(words, self.frequent, self.classes)
-        place = _places(words, self.heads)
-        s = np.where(place > 0, place, len(self.heads) + 1)
-        before = np.zeros_like(s)
-        before[1:] = s[:-1]
-        before[first[:-1][first[:-1] < len(s)]] = 0
-        return words, s, before, first
-
-
-def vocabulary(rows: DataFrame, classes: int | None) -> Vocabulary:
-    counts = staged(word_counts(rows), "words")
-    size, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if classes is None:
-        return Vocabulary(frequent_words(counts, max(HEADS, total // MOST)), size, total)
-    frequent = frequent_words(counts, classes)
-    heads = np.sort(A.mix(np.arange(1, min(classes, HEADS) + 1, dtype=np.uint64)))
-    return Vocabulary(heads, 2 * classes, total, frequent, classes)
-
-
-def pair_counts(rows: DataFrame, vocab: Callable[[], Vocabulary]) -> DataFrame:
-    """(pair, target, background) from (text, good): counts of each pair of heads in the good and in all documents; other words are one."""
-
-    def run(batch):
-        v = vocab()
-        _, s, before, first = v.read(batch.column(0))
-        good = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-        pair, back, n = np.unique(before * (len(v.heads) + 2) + s, return_inverse=True, return_counts=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(pair), pa.array(np.bincount(back, weights=good, minlength=len(pair)).astype(np.int64)), pa.array(n)],
-            names=["pair", "target", "background"],
-        )
-
-    made = A.map_texts(rows.select("text", "good"), "text", run, "pair long, target long, background long")
-    return made.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
 def _own(share: np.ndarray, size: int) -> np.ndarray:
     """Probability of a word by itself, from its share of the tokens."""
     return (1 - UNIFORM) * share + UNIFORM / size
@@ -156,187 +111,213 @@ def log_probabilities(counts: np.ndarray, total: float) -> np.ndarray:
 
 
 @dataclass
-class Heads:
-    """One model's share that depends on heads only."""
+class Corpus:
+    """Numbers of the whole corpus: tokens and texts with a token, in good texts and in all, and different words."""
 
-    #: Loss of each head after each head or start; of another word after one, what depends on the first.
-    loss: np.ndarray
-    #: Probability of each head by itself.
-    own: np.ndarray
-    #: Factor of the counts.
-    scale: float
+    tokens: tuple[int, int]
+    texts: tuple[int, int]
+    words: int
 
 
-@dataclass
-class Models:
-    vocab: Vocabulary
-    total: float
-    target: Heads
-    background: Heads
-    #: Without a target document both models are the background.
-    alike: bool
-
-
-def train(rows: DataFrame, classes: int | None = None) -> Models:
-    """Count words and pairs of heads over all of ``rows`` (text, good)."""
-    vocab = vocabulary(rows, classes)
-    n = len(vocab.heads) + 2
-    sent = rows.sparkSession.sparkContext.broadcast(vocab)
-    counted = staged(pair_counts(rows, lambda: sent.value), "pairs")
-    tables = {name: np.zeros(n * n) for name in ("target", "background")}
-    for part in counted.select("pair", *tables).toArrow().to_batches():
-        at = part.column(0).to_numpy()
-        for i, name in enumerate(tables, 1):
-            tables[name][at] = part.column(i).to_numpy()
-    target, background = (tables[name].reshape(n, n) for name in tables)
-    alike = not target.any()
-    if alike:
-        target = background
-    total = float(max(1, target.sum()))
-
-    def heads(counts):
-        scale = total / max(1.0, counts.sum())
-        own = _own(counts.sum(axis=0) * scale / total, max(1, vocab.size))
-        loss = np.repeat(np.log(counts.sum(axis=1) * scale + PRIOR)[:, None], n, axis=1)
-        loss[:, : n - 1] -= np.log(counts * scale + PRIOR * own[None, :])[:, : n - 1]
-        loss[n - 1] = 0
-        return Heads(loss, own, scale)
-
-    return Models(vocab, total, heads(target), heads(background), alike)
-
-
-def _of_heads(rows: DataFrame, models: Callable[[], Models], schema: StructType) -> DataFrame:
-    """(row, doc_id, n, target, background): tokens of each row, and its losses as far as they depend on heads only."""
-
-    def run(batch):
-        m = models()
-        _, s, before, first = m.vocab.read(batch.column(2))
-        sums = []
-        for model in (m.target, m.background):
-            total = np.concatenate([[0.0], np.cumsum(model.loss[before, s])])
-            sums.append(pa.array(total[first[1:]] - total[first[:-1]]))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), *sums], names=schema.names)
+def chunks(rows: DataFrame, frequent: np.ndarray | None = None, classes: int | None = None) -> DataFrame:
+    """One row per chunk of the rows (doc_id, text, good): ids, tokens and goodness of its texts, word numbers in order, word hashes."""
+    kind = rows.schema["doc_id"].dataType
+    schema = StructType(
+        [StructField("chunk", LongType()), StructField("ids", ArrayType(kind))]
+        + [StructField(c, BinaryType()) for c in ("n", "good", "seq", "words")]
+        + [StructField(c, LongType()) for c in ("good_tokens", "tokens", "good_texts", "texts")]
+    )
 
-    return A.map_texts(rows.select("row", "doc_id", "text"), "text", run, schema)
+    def run(batches):
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for piece in A.pieces(batch, "text", CHUNK):
+                words, first = _tokens(piece.column(1))
+                if classes is not None:
+                    words = folded(words, frequent, classes)
+                found, seq = np.unique(words, return_inverse=True)
+                n, good = np.diff(first), piece.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = piece.column(0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                     *[pa.array([x], pa.binary()) for x in (pack(n), pack(good), pack(seq), found.tobytes())],
+                     *[pa.array([int(x)]) for x in ((n * good).sum(), n.sum(), ((n > 0) * good).sum(), (n > 0).sum())]],
+                    names=schema.names,
+                )
+                chunk += 1
 
+    return staged(rows.select("doc_id", "text", "good").mapInArrow(run, schema), "lm-chunks")
 
-_PACKED = ["bucket", "rows", "words", "many", "before", "after", "at"]
 
+#: Kinds of keys, in their last two bits.
+_WORD, _FOLLOWED, _PAIR = 1, 2, 3
+_MARKS = np.random.default_rng(9).integers(0, 1 << 63, 4, dtype=np.uint64)
 
-def _occurrences(rows: DataFrame, models: Callable[[], Models], buckets: int) -> DataFrame:
-    """The occurrences of words that are no heads, packed by piece of the texts and bucket.
 
-    ``rows`` are the rows of the piece, doubled, plus one for good ones; ``words`` the different words and
-    ``many`` how often each occurs; then for each occurrence the word before (a head by its number), the head
-    after (0 for another word, the number after the last head for none) and the index of its row.
+@dataclass
+class Chunk:
+    """The tokens of a chunk and the keys of its counts: word and followed word of each word, then the pairs."""
+
+    n: np.ndarray
+    good: np.ndarray
+    seq: np.ndarray
+    #: Pair of each token, and its first word (the number after the last word at the start of a text).
+    pair: np.ndarray
+    before: np.ndarray
+    followed: np.ndarray
+    n_words: int
+    keys: np.ndarray
+    order: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Chunk:
+        n, good, seq = unpack(row["n"]), unpack(row["good"]) > 0, unpack(row["seq"])
+        words = np.frombuffer(row["words"], dtype=np.uint64)
+        first = np.concatenate([[0], np.cumsum(n)])
+        opens = first[:-1][n > 0]
+        before = np.empty_like(seq)
+        before[1:] = seq[:-1]
+        before[opens] = len(words)
+        followed = np.ones(len(seq), dtype=bool)
+        followed[first[1:][n > 0] - 1] = False
+        codes, pair = np.unique(before * len(words) + seq, return_inverse=True) if len(seq) else (seq, seq)
+        left = np.append(words, _MARKS[0])[codes // max(1, len(words))]
+        right = words[codes % max(1, len(words))]
+        kinds = ((_WORD, words), (_FOLLOWED, words), (_PAIR, A.mix(left ^ _MARKS[_PAIR]) + right))
+        keys = np.concatenate([A.mix(x ^ _MARKS[k]) & ~np.uint64(3) | np.uint64(k) for k, x in kinds])
+        return cls(n, good, seq, pair, before, followed, len(words), keys, np.argsort(keys, kind="stable"))
+
+    def counts(self, weight: np.ndarray | None) -> np.ndarray:
+        """Counts by key, over all tokens or weighted."""
+        on = self.followed if weight is None else self.followed * weight
+        return np.concatenate([
+            np.bincount(self.seq, weights=weight, minlength=self.n_words), np.bincount(self.seq, weights=on, minlength=self.n_words),
+            np.bincount(self.pair, weights=weight, minlength=len(self.keys) - 2 * self.n_words),
+        ]).astype(np.int64)
+
+
+def _slices(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """Each bucket with its keys; keys ascend, so those of a bucket lie together."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+    return [(int(bucket[a]), slice(a, b)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+_ENTRIES = "bucket int, chunk long, keys binary, good binary, every binary"
+_SUMS = "chunk long, bucket int, good binary, every binary, words long"
+
+
+def entries(table: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, keys, good, every): each key of a chunk once, with its counts, packed by bucket."""
+    schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("good", pa.binary()), ("every", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk.of(row)
+                keys = c.keys[c.order]
+                good, every = c.counts(np.repeat(c.good, c.n).astype(np.float64))[c.order], c.counts(None)[c.order]
+                yield pa.RecordBatch.from_pylist(
+                    [{"bucket": b, "chunk": row["chunk"], "keys": pack(np.diff(keys[at], prepend=np.uint64(0))), "good": pack(good[at]), "every": pack(every[at])}
+                     for b, at in _slices(keys, buckets)],
+                    schema,
+                )
+
+    return table.select("chunk", "n", "good", "seq", "words").mapInArrow(run, _ENTRIES)
+
+
+def _sum(rows: pa.Table) -> pa.Table:
+    """Sums of a bucket, for each chunk in the order in which it sent its keys; in a row of their own, the different words."""
+    keys = [np.cumsum(unpack(x).view(np.uint64), dtype=np.uint64) for x in rows["keys"].to_pylist()]
+    sizes = [len(k) for k in keys]
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    out = {"chunk": rows["chunk"].to_pylist() + [None], "bucket": rows["bucket"].to_pylist() + [None],
+           "words": [None] * len(sizes) + [int((found & np.uint64(3) == _WORD).sum())]}
+    for name in ("good", "every"):
+        sums = np.zeros(len(found), dtype=np.int64)
+        np.add.at(sums, at, np.concatenate([unpack(x) for x in rows[name].to_pylist()]))
+        out[name] = [pack(x) for x in np.split(sums[at], np.cumsum(sizes)[:-1])] + [None]
+    return pa.table([pa.array(out["chunk"], pa.int64()), pa.array(out["bucket"], pa.int32()), pa.array(out["good"], pa.binary()),
+                     pa.array(out["every"], pa.binary()), pa.array(out["words"], pa.int64())], names=["chunk", "bucket", "good", "every", "words"])
+
+
+def _losses(c: Chunk, sums: tuple[np.ndarray, np.ndarray], corpus: Corpus, leave_out: bool) -> Iterator[np.ndarray]:
+    """Losses of each text under the target and the background model."""
+    text = np.repeat(np.arange(len(c.n)), c.n)
+    first = np.concatenate([[0], np.cumsum(c.n)])
+    w, starts = c.n_words, c.before == c.n_words
+    own = [np.zeros(len(text), dtype=np.int64)] * 3
+    if leave_out and len(text):
+        # What each text itself adds to the counts of its tokens.
+        _, at, many = np.unique(text * w + c.seq, return_inverse=True, return_counts=True)
+        _, pair, pairs = np.unique(text * (len(c.keys) - 2 * w + 1) + c.pair, return_inverse=True, return_counts=True)
+        on = np.bincount(at, weights=c.followed, minlength=len(many)).astype(np.int64)
+        after = np.ones(len(text), dtype=np.int64)
+        after[~starts] = on[at[np.flatnonzero(~starts) - 1]]
+        own = [many[at], after, pairs[pair]]
+    alike = not corpus.tokens[0]
+    seen = np.where(c.good, c.n, 0) if leave_out and not alike else np.where(alike & leave_out, c.n, 0)
+    target = np.maximum(1, corpus.tokens[int(alike)] - seen).astype(np.float64)
+    for i in (0, 1):
+        model = 1 if alike else i
+        off = c.good if model == 0 else np.ones(len(c.n), dtype=bool)
+        have = np.maximum(1, corpus.tokens[model] - np.where(off & leave_out, c.n, 0))
+        scale = (target / have)[text]
+        less = off[text]
+        count = [sums[model][:w][c.seq], np.where(starts, corpus.texts[model], sums[model][w : 2 * w][np.minimum(c.before, max(0, w - 1))]), sums[model][2 * w :][c.pair]]
+        word, after, pair = (x - less * y for x, y in zip(count, own))
+        loss = np.log(after * scale + PRIOR) - np.log(pair * scale + PRIOR * _own(word * scale / target[text], max(1, corpus.words)))
+        total = np.concatenate([[0.0], np.cumsum(loss)])
+        yield total[first[1:]] - total[first[:-1]]
+
+
+def scores(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", classes: int | None = None, leave_out: bool = False
+) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score): mean losses a token and their difference.
+
+    With ``leave_out`` also left_out_target_loss, left_out_background_loss and left_out_score, by the counts of all other rows.
     """
-
-    def run(batch):
-        vocab = models().vocab
-        words, s, before, first = vocab.read(batch.column(2))
-        rest = len(vocab.heads) + 1
-        code = np.where(s == rest, words, s.astype(np.uint64))
-        own = np.flatnonzero(s == rest)
-        own = own[np.argsort(words[own], kind="stable")]
-        last = np.zeros(len(s) + 1, dtype=bool)
-        last[first[1:][first[1:] > 0] - 1] = True
-        last = last[: len(s)]
-        after = np.append(s[1:], 0)
-        after = np.where(last, rest, np.where(after == rest, 0, after))[own]
-        w = words[own]
-        new = np.flatnonzero(np.append(True, w[1:] != w[:-1])[: len(w)])
-        bucket = ((w >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(w)])
-        ends = np.append(heads, len(w))
-        cut = np.searchsorted(new, ends)
-        prior = np.where(before[own] == 0, np.uint64(0), code[np.maximum(own - 1, 0)])
-        small = lambda x, most: x.astype(np.uint16 if most < 1 << 16 else np.int32)
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(first))[own]
-        marked = batch.column(0).to_numpy() * 2 + batch.column(3).to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(bucket[heads].astype(np.int32)),
-                pa.array([marked.astype(np.int64).tobytes()] * len(heads), pa.binary()),
-                A.ragged(w[new], cut),
-                A.ragged(np.diff(np.append(new, len(w))).astype(np.int32), cut),
-                A.ragged(prior, ends),
-                A.ragged(small(after, rest), ends),
-                A.ragged(small(doc, batch.num_rows), ends),
-            ],
-            names=_PACKED,
-        )
-
-    kinds = ["int"] + ["binary"] * (len(_PACKED) - 1)
-    packed = rows.select("row", "doc_id", "text", "good")
-    return A.map_texts(packed, "text", run, ", ".join(f"{c} {k}" for c, k in zip(_PACKED, kinds)))
-
-
-def _solve(table: pa.Table, m: Models) -> pa.Table:
-    """(row, target, background): losses summed by row over the occurrences of a bucket."""
-
-    def flat(name, kind=None):
-        parts = [(A.utf8(chunk)) for chunk in table[name].chunks]
-        sizes = np.concatenate([np.diff(offs) for _, offs in parts])
-        if kind is None:  # two or four bytes for an occurrence
-            width = sizes // np.maximum(1, many_of)
-            pick = [np.frombuffer(v, np.uint16 if k == 2 else np.int32) for v, k in zip(table[name].to_pylist(), width)]
-            return np.concatenate(pick).astype(np.int64)
-        return np.concatenate([np.ascontiguousarray(buf).view(kind) for buf, _ in parts]), sizes // np.dtype(kind).itemsize
-
-    marked, rows_of = flat("rows", np.int64)
-    words, _ = flat("words", np.uint64)
-    many, _ = flat("many", np.int32)
-    before, many_of = flat("before", np.uint64)
-    after, at = flat("after"), flat("at")
-    doc = at + np.repeat(np.cumsum(rows_of) - rows_of, many_of)
-    good = (marked & 1).astype(np.float64)[doc]
-    if m.alike:
-        good[:] = 1.0
-    rest = len(m.vocab.heads) + 1
-    _, word = np.unique(words, return_inverse=True)
-    word = np.repeat(word, many)
-
-    def counts(group, n):
-        return np.bincount(group, weights=good, minlength=n), np.bincount(group, minlength=n)
-
-    own = counts(word, int(word.max()) + 1)
-    goes_on = np.flatnonzero(after != rest)
-    follow = np.bincount(word[goes_on], weights=good[goes_on], minlength=len(own[0])), np.bincount(word[goes_on], minlength=len(own[0]))
-    _, pair = np.unique(A.mix(before + A.mix(word.astype(np.uint64) + np.uint64(1))), return_inverse=True)
-    pairs = counts(pair, int(pair.max()) + 1)
-    head = np.flatnonzero((after > 0) & (after != rest))
-    _, then = np.unique(word[head] * (rest + 1) + after[head], return_inverse=True)
-    thens = np.bincount(then, weights=good[head]), np.bincount(then)
-    sums = []
-    for i, model in enumerate((m.target, m.background)):
-        loss = -np.log(pairs[i][pair] * model.scale + PRIOR * _own(own[i] * model.scale / m.total, m.vocab.size)[word])
-        loss[goes_on] += np.log(follow[i] * model.scale + PRIOR)[word[goes_on]]
-        loss[head] -= np.log(thens[i][then] * model.scale + PRIOR * model.own[after[head]])
-        sums.append(np.bincount(doc, weights=loss, minlength=len(marked)))
-    seen = np.flatnonzero(np.bincount(doc, minlength=len(marked)))
-    return pa.table({"row": pa.array(marked[seen] >> 1), "target": pa.array(sums[0][seen]), "background": pa.array(sums[1][seen])})
-
-
-def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", classes: int | None = None) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score): mean losses a token and their difference."""
-    spark = docs.sparkSession
     good = labels.where(F.col(label) == 1).select(F.col(doc_id).alias("id")).where("id IS NOT NULL").distinct().withColumn("good", F.lit(True))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # Labels may be as many as documents: they are merged by a shuffle at every size, never broadcast.
     rows = rows.join(good.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
-    # The number of a row is written with it, so that it stays the same wherever the row is read.
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    models = spark.sparkContext.broadcast(train(rows, classes))
-    total = models.value.vocab.total
-    buckets = max(LEAST, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET))
+    frequent = None if classes is None else frequent_words(word_counts(docs.select(F.col(text).alias("text"))), classes)
+    table = chunks(rows, frequent, classes)
+    totals = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("good_tokens", "tokens", "good_texts", "texts")]).first()
+    buckets = max(LEAST, math.ceil(totals[1] / BUCKET))
+    sums = staged(entries(table, buckets).groupBy("bucket").applyInArrow(_sum, _SUMS), "lm-sums", _BATCH)
+    words = sums.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] if classes is None else 2 * classes
+    corpus = Corpus((totals[0], totals[1]), (totals[2], totals[3]), words)
+    told = sums.where("chunk IS NOT NULL").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "good", "every"))).alias("told"))
+    # A chunk without a token has sent nothing.
+    both = table.select("chunk", "ids", "n", "good", "seq", "words").join(told, "chunk", "left")
+    kinds = ["", "left_out_"] if leave_out else [""]
     schema = StructType(
-        [StructField("row", LongType()), StructField("doc_id", docs.schema[doc_id].dataType), StructField("n", LongType())]
-        + [StructField(c, DoubleType()) for c in ("target", "background")]
+        [StructField("doc_id", docs.schema[doc_id].dataType), StructField("n_tokens", LongType())]
+        + [StructField(f"{kind}{c}", DoubleType()) for kind in kinds for c in ("target", "background")]
     )
-    rest = _occurrences(rows, lambda: models.value, buckets).groupBy("bucket").applyInArrow(
-        lambda table: _solve(table, models.value), "row long, target double, background double"
-    )
-    both = _of_heads(rows, lambda: models.value, schema).unionByName(rest, allowMissingColumns=True)
-    sums = both.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.sum("n").alias("n"), F.sum("target").alias("t"), F.sum("background").alias("b"))
-    mean = lambda x: F.round(x / F.greatest("n", F.lit(1)), 9)
-    return sums.select("doc_id", F.col("n").alias("n_tokens"), mean(F.col("t")).alias("target_loss"), mean(F.col("b")).alias("background_loss"), mean(F.col("b") - F.col("t")).alias("score"))
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(1)
+            for i, row in enumerate(batch.select([c for c in batch.schema.names if c != "ids"]).to_pylist()):
+                c = Chunk.of(row)
+                found = []
+                for name in ("good", "every"):
+                    sums = np.zeros(len(c.keys), dtype=np.int64)
+                    if row["told"]:
+                        sums[c.order] = np.concatenate([unpack(x[name]) for x in row["told"]])
+                    found.append(sums)
+                made = [x for kind in kinds for x in _losses(c, tuple(found), corpus, kind != "")]
+                yield pa.RecordBatch.from_arrays([ids[i].values, pa.array(c.n), *[pa.array(x) for x in made]], names=schema.names)
+
+    out = staged(both.mapInArrow(run, schema), "lm-scores", _BATCH)
+    for used in (table, sums):
+        dropped(used)
+    mean = lambda x: F.round(x / F.greatest("n_tokens", F.lit(1)), 9)
+    losses = [
+        mean(x).alias(f"{kind}{name}") for kind in kinds for t, b in [(F.col(f"{kind}target"), F.col(f"{kind}background"))]
+        for x, name in ((t, "target_loss"), (b, "background_loss"), (b - t, "score"))
+    ]
+    return out.select("doc_id", "n_tokens", *losses)

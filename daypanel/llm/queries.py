@@ -105,7 +105,7 @@ def op8_quality_classifier(spark, sf):
 
 @query
 def op9_lm_scoring(spark, sf):
-    return lm_score.scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return lm_score.scores(table(spark, sf, "documents"), table(spark, sf, "labels"), leave_out=True)
 
 
 @query
