@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: Fixed values of the HTML standard: elements without content, with raw text, and those that a start tag closes.
@@ -20,7 +21,10 @@ CLOSED_BY = {
 }
 SCOPE = frozenset("ul ol dl table select body html article section div main aside nav footer header form button td th".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote opens a value only after an equals sign, as in browsers. One that is never closed is a character like any other, so its
+#: tag ends at the next angle bracket and the text behind it stays.
+_VALUES = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|[^>=]++)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_VALUES})(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 
 
@@ -46,6 +50,8 @@ def parse(source: str) -> Page:
         return len(page.tag) - 1
 
     stack = [start("#root", -1)]
+    # How many elements of each name are open: an end tag without one is skipped at once, however deep the page.
+    opened: Counter[str] = Counter()
     at = 0
     while at < len(source):
         found = _TOKEN.search(source, at)
@@ -59,17 +65,20 @@ def parse(source: str) -> Page:
         if not tag:
             continue
         if found[1]:
+            if not opened[tag]:
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if page.tag[stack[depth]] == tag:
                     if any(page.tag[i] in BLOCK for i in stack[depth:]):
                         page.texts.append((stack[depth], None))
+                    opened.subtract(page.tag[i] for i in stack[depth:])
                     del stack[depth:]
                     break
             continue
-        if tag in CLOSES_P:
-            _close(page, stack, frozenset(["p"]))
-        if tag in CLOSED_BY:
-            _close(page, stack, CLOSED_BY[tag])
+        if tag in CLOSES_P and opened["p"]:
+            _close(page, stack, frozenset(["p"]), opened)
+        if tag in CLOSED_BY and any(opened[t] for t in CLOSED_BY[tag]):
+            _close(page, stack, CLOSED_BY[tag], opened)
         marks = " ".join(m[2].strip("\"'") for m in _ATTRIBUTE.finditer(found[3])) if found[3] else ""
         own = start(tag, stack[-1], marks)
         if tag in BLOCK:
@@ -84,16 +93,18 @@ def parse(source: str) -> Page:
             at = end.end() if end else len(source)
             continue
         stack.append(own)
+        opened[tag] += 1
     return page
 
 
-def _close(page: Page, stack: list[int], tags: frozenset[str]) -> None:
+def _close(page: Page, stack: list[int], tags: frozenset[str], opened: Counter[str]) -> None:
     """End the nearest open element of ``tags``, unless one that holds such elements lies in between."""
     for depth in range(len(stack) - 1, 0, -1):
         tag = page.tag[stack[depth]]
         if tag in tags:
             if any(page.tag[i] in BLOCK for i in stack[depth:]):
                 page.texts.append((stack[depth], None))
+            opened.subtract(page.tag[i] for i in stack[depth:])
             del stack[depth:]
             return
         if tag in SCOPE:

@@ -109,7 +109,7 @@ def describe(pages: list[Page]) -> tuple[Trees, np.ndarray]:
                 x[base + e, [len(TAGS) + 1 + i for i in hints[marks]]] = 1
             seen[base + e] = done / max(1, total)
             done += own[base + e]
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if n else []
     all_, all_linked, all_ends, paragraphs, children = own.copy(), linked.copy(), ends.copy(), np.zeros(n), np.zeros(n)
     for at in levels[:0:-1]:
         for sums in (all_, all_linked, all_ends):
@@ -147,7 +147,7 @@ def marginals(trees: Trees, model: Model) -> tuple[np.ndarray, np.ndarray]:
     for at in trees.levels[:0:-1]:
         joint = psi[at] + belief[at][:, None, :]
         up[at] = np.logaddexp(joint[:, :, 0], joint[:, :, 1])
-        belief += _gather(trees.parent[at], up[at], n)
+        np.add.at(belief, trees.parent[at], up[at])
     down = np.zeros((n, 2))
     pairs = np.zeros((n, 2, 2))
     for at in trees.levels[1:]:
@@ -163,11 +163,6 @@ def marginals(trees: Trees, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -60, 60))), pairs
 
 
-def _gather(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of pairs by index."""
-    return np.stack([np.bincount(index, weights=rows[:, i], minlength=n) for i in range(2)], axis=1)
-
-
 def fit(trees: Trees, label: np.ndarray) -> Model:
     """Conditional likelihood by gradient steps with per-parameter sizes."""
     model = Model(np.zeros(FEATURES), 0.0, np.zeros((3, 2, 2)))

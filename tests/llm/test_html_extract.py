@@ -83,3 +83,38 @@ def test_edge_cases(spark, model):
     assert [r.text for r in got if r.page_id in (1, None)] == ["", "", ""]
     assert H.extract(pages.limit(0), model=model).collect() == []
     assert H.extract(pages.where("page_id = 1")).count() == 2
+
+
+def test_unbalanced_quotes_leave_no_markup():
+    for source, want in [
+        ('<p>Hello <a href="x>link</a> world</p>', "Hello link world"),
+        ("<p>Hello <a href='x>link</a> world", "Hello link world"),
+        ('<p class=a"b>one</p><p title="a > b" id=x>two</p>', "one\n\ntwo"),
+        ('<p data-x="<b>not text</b>">three</p>', "three"),
+        ("<p title = 'it \"is\"'>four</p>", "four"),
+        ('<p "stray" quote\'>five</p>', "five"),
+        ("<p a=>six</p><p a= b>seven</p>", "six\n\nseven"),
+        ("1 < 2 and <p>eight", "1 < 2 and\n\neight"),
+    ]:
+        page = parse(source)
+        assert blocks(page, np.ones(len(page.tag), dtype=bool)) == want, source
+
+
+def test_hostile_pages_take_linear_time(model):
+    import time
+
+    def seconds(source):
+        began = time.perf_counter()
+        H.main_texts([source], model)
+        return time.perf_counter() - began
+
+    for make in (
+        lambda n: "<div>" * n + "deep text" + "</div>" * n,
+        lambda n: "<div><span>" * n + "</b>" * n,
+        lambda n: '<a href="' * n,
+        lambda n: "<p x='" * n + "y",
+        lambda n: "<p =" * n,
+        lambda n: "<span>" * n + "<p>" * n,
+    ):
+        small, large = seconds(make(5_000)), seconds(make(20_000))
+        assert large < 8 * small + 2, make(2)
