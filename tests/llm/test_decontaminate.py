@@ -119,3 +119,56 @@ def test_cut_into_parts_changes_no_similarity(spark, frame, monkeypatch, words):
     assert sorted(got) == want
     bad = {d for d, _, _ in want}
     assert sorted(str(r.doc_id) for r in D.clean(frame(docs), table).collect()) == sorted(str(d) for d, _ in docs if str(d) not in bad)
+
+
+def test_one_scan_of_the_documents(spark, frame, data, monkeypatch):
+    """However the benchmark is cut, the documents are read once, and no text of the benchmark comes to the driver."""
+    docs, bench = data
+    scans = []
+    plain = D.A.map_texts
+
+    def counted(df, column, fn, schema):
+        scans.append(df.columns)
+        return plain(df, column, fn, schema)
+
+    monkeypatch.setattr(D.A, "map_texts", counted)
+    monkeypatch.setattr(D, "PART_WORDS", 20)
+    D.contaminated(frame(docs), spark.createDataFrame(bench, "item_id long, text string"))
+    assert scans.count(["doc_id", "text"]) == 1 and len(scans) == 2
+
+
+def test_recall_and_selectivity_of_the_radius():
+    """Windows at the threshold lie within the radius; unrelated ones hardly ever."""
+    rng = np.random.default_rng(12)
+    near = total = far = 0
+    for n in (15, 30, 60, 120):
+        texts = [" ".join(f"w{rng.integers(0, 3000)}" for _ in range(n)) for _ in range(60)]
+        items = D.Items(list(range(60)), texts)
+        for i, t in enumerate(texts):
+            ws = t.split()
+            while True:  # change words one by one until the next change would fall below the threshold
+                other = list(ws)
+                other[rng.integers(0, n)] = f"x{rng.integers(0, 10**9)}"
+                buf, offs = D.A.utf8(D.pa.array([" ".join(other)]))
+                runs = D._runs(D.A.span_hash(buf, *D.A.words(buf, offs)[:2]), 5)
+                if items.similarity(runs, i) < 0.8:
+                    break
+                ws = other
+            buf, offs = D.A.utf8(D.pa.array([" ".join(ws)]))
+            own = items.fingerprint(D._runs(D.A.span_hash(buf, *D.A.words(buf, offs)[:2]), 5))
+            near += int(np.bitwise_count(own ^ items.prints[i])) <= D.RADIUS
+            total += 1
+        apart = np.bitwise_count(items.prints[:, None] ^ items.prints[None, :])[~np.eye(60, dtype=bool)]
+        far += (apart <= D.RADIUS).mean() / 4
+    assert near >= 0.99 * total and far < 0.05
+
+
+def test_template_benchmark_and_many_items(spark, frame):
+    """Items that share nearly all shingles, and a document that holds them all."""
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    template = some(30)
+    bench = [(i, " ".join(template[:20] + [f"q{i}"] + template[20:])) for i in range(30)] + [(99, " ".join(some(20)))]
+    docs = [(0, " ".join(t for _, t in bench)), (1, " ".join(template)), (2, " ".join(some(100))), (3, bench[4][1])]
+    got = [(str(r.doc_id), r.item_id, round(r.similarity, 9)) for r in D.contaminated(frame(docs), spark.createDataFrame(bench, "item_id long, text string")).collect()]
+    assert sorted(got) == brute(docs, bench)
