@@ -11,8 +11,8 @@ Identifiers (base, on the raw text, leftmost, not overlapping per kind, failing
 ``email``, ``ip`` (parts up to 255), ``card`` (16 to 19 digits, Luhn), ``phone`` (8 to 15 digits after a plus).
 Searches follow runs of digits and separators instead of backtracking, so any text takes linear time.
 
-Rewriting is cautious, so that prose stays clean: a bare `` at `` counts only before a name with a disguised
-dot and a usual top label, spelled digits only in chains of three or more, ``plus`` only before such a chain
+Rewriting is cautious, so that prose stays clean: a bare `` at `` counts only before a name with a usual
+top label that has a disguised dot or follows letters with digits or marks, spelled digits only in chains of three or more, ``plus`` only before such a chain
 or an area code in brackets. A span of the rewritten tape is added unless a base span of its kind covers it;
 base spans always stay, and the counts by kind are those of the base.
 
@@ -157,6 +157,12 @@ _AT_FORMS = re.compile(
     + rb"| {1,2}(?:" + _any(ATS) + rb") {1,2}" + _HIDDEN_NAME + rb"|[_-]at[_-]" + _HIDDEN_NAME + rb"|&#64;|&commat;"
     + rb"| {1,2}@ {0,2}" + _ANY_NAME + rb"|@ {1,2}" + _ANY_NAME + rb")"
 )
+#: A bare " at " before a plain name counts if what stands before it is no word of prose: letters with digits or marks.
+_AT_NAME = re.compile(
+    rb"(?<=[a-z0-9._%+-]) {1,2}(?:" + _any(ATS) + rb") {1,2}(?=(?:" + _NAME + rb"\.){1,4}(?:[a-z]{2}|" + _any(TOP_LABELS) + rb")(?![a-z0-9\x80-]))"
+)
+_ACCOUNT_TAIL = re.compile(rb"[a-z0-9._%+-]+\Z")
+_ACCOUNT = re.compile(rb"(?=[^a-z]*[a-z])(?=[a-z]*[0-9._%+-]+[a-z0-9])[a-z0-9._%+-]+\Z")
 _VALUE = {w.encode("latin-1"): 48 + d for d, forms in enumerate(SPELLED) for w in forms}
 _SPELLED = re.compile(rb"(?<![a-z0-9\x80])(?:" + b"|".join(sorted(_VALUE, key=len, reverse=True)) + rb")" + _END)
 #: What may stand between two spelled digits of one chain.
@@ -197,7 +203,12 @@ def _spelled(tape: Tape) -> tuple[Tape, np.ndarray]:
 def normalise(tape: Tape) -> Tape:
     """The transducers after folding: dots, at signs, spelled digits, plus, letters among digits."""
     tape = tape.rewrite([(m.start(), m.end(), _DOT) for m in _DOT_FORMS.finditer(tape.sym.tobytes())])
-    tape = tape.rewrite([(m.start(), m.end(), 64) for m in _AT_FORMS.finditer(tape.sym.tobytes())])
+    text = tape.sym.tobytes()
+    signs = {m.start(): m.end() for m in _AT_FORMS.finditer(text)}
+    for m in _AT_NAME.finditer(text):
+        if _ACCOUNT.match(_ACCOUNT_TAIL.search(text, max(0, m.start() - 64), m.start()).group()):
+            signs.setdefault(m.start(), m.end())
+    tape = tape.rewrite([(s, e, 64) for s, e in sorted(signs.items())])
     tape, heads = _spelled(tape)
     marked = tape.sym.copy()
     marked[heads] = 2

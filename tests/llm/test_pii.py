@@ -72,6 +72,9 @@ def test_disguises_map_back_to_their_source():
         ("write to kang.42 [at] mail8 [dot] example [dot] com today", "email", "kang.42 [at] mail8 [dot] example [dot] com", "kang.42@mail8.example.com"),
         ("kang(at)mail.example.com", "email", "kang(at)mail.example.com", "kang@mail.example.com"),
         ("so kang AT mail DOT example DOT com.", "email", "kang AT mail DOT example DOT com", "kang@mail.example.com"),
+        ("ask kang.42 at mail8.example.com today", "email", "kang.42 at mail8.example.com", "kang.42@mail8.example.com"),
+        ("ask kang dot 42 at mail8 dot example dot com", "email", "kang dot 42 at mail8 dot example dot com", "kang.42@mail8.example.com"),
+        ("ip 65[.]231[.]209[.]153", "ip", "65[.]231[.]209[.]153", "65.231.209.153"),
         ("kang_at_mail_dot_com", "email", None, None),
         ("ü kаng＠mаil．cоm ü", "email", "kаng＠mаil．cоm", "kang@mail.com"),
         ("ka​ng@ma­il.com", "email", "ka​ng@ma­il.com", "kang@mail.com"),
@@ -94,7 +97,7 @@ def test_disguises_map_back_to_their_source():
 
 
 def test_prose_stays_clean():
-    for text in ["look at the dot product of two vectors", "we met at example.com yesterday", "one two and three at six", "plus 10 000 000 euros de plus",
+    for text in ["look at the dot product of two vectors", "we met at example.com yesterday", "version 2.0 at example.com", "it ended. at example.com", "(2) at example.com", "one two and three at six", "plus 10 000 000 euros de plus",
                  "see section (a) of v1.2.3, at 5 dot 5", "un deux trois nous irons", "acht null drei vier", "5 plus 5", "la société – né en 1990 – compte 1 200 personnes",
                  "привет, мир", "Ελλάδα", "x | y | z 1 | 2"]:
         assert added(text) == [], (text, added(text))
