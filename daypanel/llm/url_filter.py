@@ -94,7 +94,10 @@ def probe(pages: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
     """Add ``maybe``: whether the filter holds all bits of ``key``."""
     if blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES:
         table = F.broadcast(table)
-    at = pages.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).join(table, "block", "left")
+    # Pages without a key are in no block; numbers below zero spread them, so that they are no hot key of the join.
+    apart = -1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]), F.lit(1 << 16))
+    block = F.when(F.col("key").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(blocks))).otherwise(apart)
+    at = pages.withColumn("block", block).join(table, "block", "left")
     held = [F.col(f"w{i}").bitwiseAND(b) != 0 for i, b in enumerate(_bits(F.col("key")))]
     maybe = F.coalesce(reduce(lambda a, b: a & b, held), F.lit(False)) & F.col("key").isNotNull()
     return at.withColumn("maybe", maybe).drop("block", *[f"w{i}" for i in range(WORDS)])

@@ -56,6 +56,23 @@ def test_beyond_the_broadcast_limit_and_empty(spark, monkeypatch):
     assert {r.verdict for r in U.judge(pages, listed.limit(0)).collect()} == {"allow"}
 
 
+def test_pages_without_a_key_are_spread(spark, monkeypatch):
+    """Beyond the broadcast limit the pages are shuffled by block; those without a key do not share one."""
+    monkeypatch.setattr(U, "BROADCAST_BYTES", 0)
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("key"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        probed = U.probe(pages, U.bloom_filter(spark.range(9).select(F.concat(F.lit("k"), "id").alias("key")), 4), 4)
+        sizes = [r["count"] for r in probed.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / len(sizes) and len(sizes) > 1
+        assert not probed.where("maybe").head(1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
     plan = U.judge(pages, pages.select("url"))._jdf.queryExecution().toString()
