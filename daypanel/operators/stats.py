@@ -18,7 +18,10 @@ TREND_LABELS = ("sinkend", "gleichbleibend", "steigend")
 
 
 def linear_fit(df: DataFrame, key: str, y: str, x: str) -> DataFrame:
-    """Least-squares line per group on every detail row; NULL for groups with fewer than two points."""
+    """Least-squares line per group on every detail row; NULL for groups with fewer than two points.
+
+    A window over the group, for groups that a last-n frame bounds; ``linear_fit_summary`` is for any others.
+    """
     group = Window.partitionBy(q(key))
     enough = F.regr_count(q(y), q(x)).over(group) >= 2
     return df.withColumns(
