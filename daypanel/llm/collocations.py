@@ -51,21 +51,30 @@ _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _SOLID = ~_BREAK
 _SOLID[[0x20, 0x09]] = False
 _LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+#: Bytes below which compression does not pay.
+_FEW = 64
 #: Between pieces in the first relation.
 _GAP = 0
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers from zero up: width and length, then their lowest bytes, their next bytes and so on, compressed."""
+    """Numbers from zero up: width and length, then their lowest bytes, their next bytes and so on, compressed. Few numbers go as they are."""
     top = int(values.max()) if len(values) else 0
     width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
     planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    if len(planes) < _FEW:
+        return bytes([width | 0x80]) + planes
     return bytes([width]) + len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    width, n = data[0], int.from_bytes(data[1:9], "little")
-    planes = np.frombuffer(pa.decompress(data[9:], width * n, "zstd"), dtype=np.uint8).reshape(width, n)
+    if data[0] & 0x80:
+        width = data[0] & 0x7F
+        raw, n = data[1:], (len(data) - 1) // width
+    else:
+        width, n = data[0], int.from_bytes(data[1:9], "little")
+        raw = pa.decompress(data[9:], width * n, "zstd")
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(width, n)
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 

@@ -105,6 +105,10 @@ def test_packed_numbers_round_trip():
         assert C.unpack(C.pack(x)).tolist() == x.tolist()
         assert C.unpack_rising(C.pack_rising(np.sort(x))).tolist() == sorted(x.tolist())
     assert C.unpack(C.pack(np.zeros(0, np.int64))).tolist() == []
+    for n in (1, 2, 63, 64, 65, 1000):
+        x = np.arange(n, dtype=np.int64) * 77_777
+        assert C.unpack(C.pack(x)).tolist() == x.tolist()
+    assert len(C.pack(np.array([5]))) == 2
 
 
 def test_staged_tables_go(spark):
