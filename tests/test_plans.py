@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from daypanel.operators import select, stats
 from daypanel.operators.metrics import enrich_panel
@@ -62,6 +63,30 @@ def test_null_safe_join_is_an_equi_join(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_panels_with_a_small_file_are_not_broadcast(spark):
+    from daypanel.operators.joins import join_natural, join_suffixed
+    from daypanel.plans.panels import COUNTRY_KEY, join_measures
+    from daypanel.session import stage
+
+    # Each series is flat, so the file holds a few bits a row.
+    user, day = F.expr("id div 500"), F.expr("date_add(date'2020-01-01', cast(id % 500 as int))")
+    flat = spark.range(100_000, numPartitions=2).select(
+        F.when(user > 9, F.concat(F.lit("P"), user)).alias("Province/State"), F.concat(F.lit("C"), user % 10).alias("Country/Region"),
+        F.lit(1.0).alias("Lat"), F.lit(2.0).alias("Long"), day.alias("date"), F.lit(7.0).alias("conf"),
+    )
+    conf = stage(flat, "flat")
+    dea, rec = [conf.where(F.col("Country/Region") != gone).withColumnRenamed("conf", x) for x, gone in (("dea", "C1"), ("rec", "C2"))]
+    got = join_measures(conf, dea, rec)
+    counts = [F.count(x) for x in ("conf", "dea", "rec")]
+    assert got.agg(F.count(F.lit(1)), *counts).first() == (100_000, 100_000, 90_000, 90_000)
+    natural = join_measures(conf, dea, rec, natural=True)
+    assert natural.agg(F.count(F.lit(1)), *counts).first() == (100_000, 100_000, 90_000, 90_000)
+    both = join_suffixed(conf, conf, COUNTRY_KEY, ("_1", "_2"))
+    for joined, n in ((got, 2), (natural, 2), (both, 1), (join_natural(conf, rec), 1)):
+        text = plan(joined)
+        assert count(r"\bSortMergeJoin ", text) == n and "Broadcast" not in text
+
+
 def test_scans_read_only_needed_columns(spark):
     text = plan(P.country_enriched(spark, SF).select("region", "conf"))
     assert set(re.findall(r"ReadSchema: struct<([^>]*)>", text)) == {"ts:timestamp_ntz", "ts:timestamp_ntz,user_id:bigint"}
